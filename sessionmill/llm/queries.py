@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sessionmill.llm import best_fit_packing, exact_dedup, license_scan, pfair_mix, quality_rules, simhash
+from sessionmill.llm import best_fit_packing, exact_dedup, license_scan, pfair_mix, quality_model, quality_rules, simhash
 
 QUERIES = {
     "op2_best_fit_packing": best_fit_packing.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_pfair_mix": pfair_mix.query,
+    "op5_quality_model": quality_model.query,
     "op6_simhash": simhash.query,
     "op7_quality_rules": quality_rules.query,
     "op8_license_scan": license_scan.query,
