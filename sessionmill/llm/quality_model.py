@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.arrays import Texts, texts
+from sessionmill.llm.arrays import Texts, scramble, texts
 from sessionmill.llm.common import fold
 
 #: Labelled documents that are learned from, at most: those with the smallest hashes of their ids.
@@ -42,9 +42,11 @@ _CLASSES = {"symbols": _class(b"#*$%&|<>"), "bangs": _class(b"!"), "stops": _cla
 
 def _repeated(group: np.ndarray, keys: np.ndarray, n_groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By group: rows whose key stood before in the group, the count of the most common key, and a mark for each such row."""
-    order = np.lexsort((keys, group))
+    with np.errstate(over="ignore"):
+        keys = scramble(keys + group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(keys)
     g, k = group[order], keys[order]
-    again = np.r_[False, (g[1:] == g[:-1]) & (k[1:] == k[:-1])] if len(g) else np.empty(0, bool)
+    again = np.r_[False, k[1:] == k[:-1]] if len(g) else np.empty(0, bool)
     repeats = np.bincount(g[again], minlength=n_groups)
     most = np.zeros(n_groups, np.int64)
     if len(g):
