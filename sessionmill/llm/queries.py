@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessionmill.llm import best_fit_packing, exact_dedup, language_id, license_scan, pfair_mix, quality_model, quality_rules, simhash
+from sessionmill.llm import best_fit_packing, exact_dedup, hmm_lm, language_id, license_scan, pfair_mix, quality_model, quality_rules, simhash
 
 QUERIES = {
     "op2_best_fit_packing": best_fit_packing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_simhash": simhash.query,
     "op7_quality_rules": quality_rules.query,
     "op8_license_scan": license_scan.query,
+    "op9_hmm_lm": hmm_lm.query,
     "op10_language_id": language_id.query,
 }
 
