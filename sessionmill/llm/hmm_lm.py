@@ -14,7 +14,6 @@ the tokens of other words meet their counts in a join.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.llm.arrays import Texts, hash_words, texts
-from sessionmill.llm.common import checkpointed, fold, set_checkpoint_dir
+from sessionmill.llm.common import checkpointed, fold, shared_table
 
 STATES = 8
 ITERATIONS = 5
@@ -286,15 +285,6 @@ def symbol_frequency(v: Vocabulary, n_texts: int) -> np.ndarray:
     return out
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder as Parquet and read them again, so that later steps read only the columns they need."""
-    spark = df.sparkSession
-    set_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def hmm_scores(docs: DataFrame, held_out: Column, states: int = STATES, iterations: int = ITERATIONS, max_frequent: int = MAX_FREQUENT, max_symbols: int = MAX_SYMBOLS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, one row per input row.
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sessionmill.llm import best_fit_packing, exact_dedup, hmm_lm, language_id, license_scan, pfair_mix, quality_model, quality_rules, simhash
+from sessionmill.llm import best_fit_packing, exact_dedup, hmm_lm, language_id, license_scan, pfair_mix, quality_model, quality_rules, simhash, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.query,
     "op2_best_fit_packing": best_fit_packing.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_pfair_mix": pfair_mix.query,
