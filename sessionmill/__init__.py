@@ -1,0 +1 @@
+"""Analytics over append-only JSONL session logs of coding agents, on Spark."""
