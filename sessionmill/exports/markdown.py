@@ -7,12 +7,13 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionmill.functions.jsonx import at, blocks, kind, str_at
 from sessionmill.operators.search import content_of
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def indented(texts: pd.Series) -> pd.Series:
     """JSON texts on several lines; nulls stay."""
 
