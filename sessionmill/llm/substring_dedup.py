@@ -185,7 +185,8 @@ def passages(docs: DataFrame, hot: np.ndarray, window: int) -> DataFrame:
                 words = pa.array(words.to_numpy(zero_copy_only=False), pa.binary(), mask=copy).take(pa.array(rows)) if len(rows) else pa.array([], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(shard[rows]), words, *(pa.array(x[rows]) for x in (ids[t.lo + doc], keys[t.lo + doc], at, n))], ["shard", "words", "id", "key", "at", "n"])
 
-    return docs.select("id", "key", "text", "runs").mapInArrow(run, "shard long, words binary, id long, key long, at long, n long")
+    # With no_id, so that documents are shuffled in the same shape here and at the end, and so only once.
+    return docs.select("id", "key", "text", "runs", "no_id").mapInArrow(run, "shard long, words binary, id long, key long, at long, n long")
 
 
 def index_shards(rows: DataFrame, window: int, index_words: int = INDEX_WORDS) -> DataFrame:
@@ -294,7 +295,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, anchor_words: int = AN
     most = found.where("key is null").orderBy(F.desc("n"), "anchor").limit(MAX_HOT)  # bounded
     hot = np.array([r["anchor"] for r in most.select("anchor").collect()], np.int64)
     by_doc = found.where("key is not null").groupBy("key").agg(F.collect_list(F.struct("at", "n", "anchor")).alias("runs"))
-    rows = passages(read.join(by_doc, "key").select("id", "key", "text", "runs"), hot, window)
+    rows = passages(read.join(by_doc, "key").select("id", "key", "text", "runs", "no_id"), hot, window)
     return read, index_shards(rows, window, index_words)
 
 
