@@ -32,7 +32,7 @@ RULES = (
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 20 * n_words"),
     Rule("symbols", "10 * n_symbols > 3 * n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_lines", "n_dup_lines > 2 and 10 * n_dup_lines > 3 * n_lines"),
     Rule("exclamation", "10 * (length(body) - length(replace(body, '!', ''))) > 3 * n_words"),
     Rule("ellipsis", "10 * regexp_count(body, '(?m)(\\\\.\\\\.\\\\.|…)[ \\\\t\\\\r]*$') > 3 * n_lines"),
     Rule("bullets", "10 * regexp_count(body, '(?m)^[ \\\\t]*[-*•]') > 9 * n_lines"),
@@ -163,7 +163,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words
             OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-            OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 3 * n_lines
+            OR 10 * n_symbols > 3 * n_words OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines)
             OR 10 * (length(body) - length(replace(body, '!', ''))) > 3 * n_words
             OR 10 * len(list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\r]*$'))) > 3 * n_lines
             OR 10 * len(list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) > 9 * n_lines
