@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,15 @@ BETWEEN_TRANSCRIPTS = "\n\n---\n\n"
 PREVIEW_CHARACTERS = 2_000
 
 
+def export_filename(fmt: str, session_id: str | None = None, now: datetime | None = None) -> str:
+    """A name for a download: the session's id with anything but letters, digits, - and _ as -; or a time stamp for several."""
+    if session_id is not None:
+        name = "".join(c if c.isalnum() or c in "-_" else "-" for c in session_id)
+    else:
+        name = f"sessions-{now or datetime.now(timezone.utc):%Y%m%dT%H%M%S}"
+    return f"{name}.{FILES[fmt][0]}"
+
+
 def exported(events: DataFrame, facts: DataFrame, fmt: str, max_events: int | None = SESSION_RING) -> DataFrame:
     """Rows of session_id and line (or text, for markdown), most recent session first.
 

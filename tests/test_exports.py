@@ -1,11 +1,12 @@
 import json
 import os
+from datetime import datetime
 
 import pytest
 from helpers import events_of
 
 from sessionmill.__main__ import main
-from sessionmill.exports.write import BETWEEN_TRANSCRIPTS, exported, preview_text, stream_text, write_dataset
+from sessionmill.exports.write import BETWEEN_TRANSCRIPTS, export_filename, exported, preview_text, stream_text, write_dataset
 from sessionmill.operators import sessions as S
 
 
@@ -105,3 +106,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["export", *root, "-f", "jsonl", "-o", f"{tmp_path}/new/out.jsonl"]) == 0
     assert [json.loads(x) for x in open(f"{tmp_path}/new/out.jsonl")] == TRIO
     assert main(["export", *root, "-s", "nobody"]) == 1 and main(["export", *root, "-f", "huggingface"]) == 2
+
+
+def test_file_names():
+    assert export_filename("markdown", "a b/ü_1") == "a-b-ü_1.md"
+    assert export_filename("openai", now=datetime(2024, 1, 2, 3, 4, 5)) == "sessions-20240102T030405.jsonl"
