@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from sessionmill.llm.common import normalised
 
 
+#: Groups with at least this part of all rows are large; there can't be more of them.
+LARGE_GROUPS = 1_000
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
     out = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("content"))
     return out.select("doc_id", "content", digest(F.col("content")).alias("digest"), F.xxhash64("content").alias("mark"))
@@ -62,10 +66,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .alias("group_size"),
         )
     )
-    rows = _keyed(docs, id_col, text_col, digest).drop("content")
-    return rows.join(groups, ["digest", "mark"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"
+    # A row finds its group by its digests. There are at most LARGE_GROUPS groups with so large a
+    # share of the rows, and these are sent to every task; their rows then spread over the shuffle
+    # by keys of their own instead of meeting under one.
+    large = groups.where(F.col("group_size") * LARGE_GROUPS >= docs.count())
+    large = large.select("digest", "mark", F.col("keep_id").alias("large_keep"), F.col("group_size").alias("large_size"))
+    rows = _keyed(docs, id_col, text_col, digest).drop("content").join(F.broadcast(large), ["digest", "mark"], "left")
+    held = F.col("large_size").isNotNull()
+    rows = rows.withColumn("by", F.when(held, F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))).otherwise(F.col("digest").cast("string")))
+    others = groups.select(F.col("digest").cast("string").alias("by"), "mark", "keep_id", "group_size")
+    out = rows.join(others, ["by", "mark"], "left").select(
+        "doc_id", F.when(held, F.col("large_keep")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("large_size", "group_size").alias("group_size"), "digest"
     )
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
