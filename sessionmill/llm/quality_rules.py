@@ -42,8 +42,8 @@ RULES = (
 )
 
 
-def _repeat_words(w: Column) -> Column:
-    """Words covered by three-word windows that occur twice or more in the text."""
+def _sorted_windows(w: Column) -> Column:
+    """Hash and place of each three-word window, equal ones side by side."""
     windows = F.when(F.size(w) < 3, F.array().cast("array<struct<h:bigint,p:int>>")).otherwise(
         F.transform(
             F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))),
@@ -62,7 +62,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     base = base.withColumn("words", words(F.col("body")))
     base = base.withColumn("lines", F.filter(F.split("body", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != ""))
-    base = base.withColumn("sorted", _repeat_words(F.col("words")))
+    base = base.withColumn("sorted", _sorted_windows(F.col("words")))
     z = F.col("sorted")
     again = F.filter(
         z,
