@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionmill.exports.write import exported
@@ -347,20 +347,14 @@ def dedup_by_session_line(spark, sf_dir):
 @query("bookmarked_first", EV + "SELECT session_id, user_id % 5 = 0 AS bookmarked, CASE WHEN user_id % 3 = 0 THEN 'a,b' ELSE '' END AS tags, row_number() OVER (ORDER BY user_id % 5 = 0 DESC, last_ms DESC, session_id) AS place FROM facts QUALIFY place <= 50")
 def bookmarked_first(spark, sf_dir):
     facts = S.session_facts(events_table(spark, sf_dir))
-    user = F.substring("session_id", 2, 20).cast("long")
-    bookmarks = facts.where(user % 5 == 0).select("session_id")
-    tags = facts.where(user % 3 == 0).select("session_id", B.add_tags(F.array(F.lit("a")), F.array(F.lit("b"), F.lit("a"))).alias("tags"))
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().withColumn("session_id", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    bookmarks = users.where("user_id % 5 = 0").select("session_id")
+    tags = users.where("user_id % 3 = 0").select("session_id", B.add_tags(F.array(F.lit("a")), F.array(F.lit("b"), F.lit("a"))).alias("tags"))
     rows = B.bookmarked_first(B.with_sidecar(facts, bookmarks, tags)).limit(50)
-    place = F.row_number().over(_first_rows()).cast("long")
+    place = F.row_number().over(Window.partitionBy().orderBy(F.desc("bookmarked"), F.desc("last_seen"), "session_id")).cast("long")  # of the 50 rows
     return rows.select("session_id", "bookmarked", F.array_join("tags", ",").alias("tags"), place.alias("place"))
 
 
-def _first_rows():
-    from pyspark.sql import Window
-
-    return Window.partitionBy().orderBy(F.desc("bookmarked"), F.desc("last_seen"), "session_id")
-
-
 @query("display_formats", EV + f"""SELECT session_id, printf('$%.4f', cost_usd) AS cost, CASE WHEN cwd IS NULL THEN '(unknown project)' ELSE string_split(cwd, '/')[-1] END AS project, session_id AS file, session_id AS short,
   CASE WHEN s < 5 THEN 'now' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' WHEN s < 86400 THEN (s // 3600) || 'h' ELSE (s // 86400) || 'd' END AS ago, ago < 10000 AS live FROM (SELECT *, epoch_ms(TIMESTAMP '{NOW}') - last_ms AS ago, CAST(floor((epoch_ms(TIMESTAMP '{NOW}') - last_ms) / 1000.0) AS BIGINT) AS s FROM facts)""")
 def display_formats(spark, sf_dir):
