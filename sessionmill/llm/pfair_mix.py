@@ -119,9 +119,9 @@ def pfair_mix(
             raise ValueError(f"no weight for sources {missing}")
     plan = phases({k: -(-n // block_rows) for k, n in sizes.items()}, weights, max(period, len(sizes)))
 
-    # Number the rows of each source: hash buckets of some thousand rows, their sizes added up in two levels.
+    # Number the rows of each source: hash buckets of some hundred rows, their sizes added up in two levels.
     rows = sum(sizes.values())
-    side = max(1, math.isqrt(max(1, rows // 2048)))
+    side = max(1, math.isqrt(max(1, rows // 256)))
     by_hash = F.xxhash64(F.col(id_col).cast("string"), F.lit("mix"))
     hashed = named.withColumn("__hash", by_hash)
     hashed = hashed.withColumn("__high", F.pmod(F.xxhash64("__hash"), F.lit(side)).cast("int"))
