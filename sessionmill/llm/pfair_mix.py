@@ -102,7 +102,7 @@ def pfair_mix(
     `weights`: by source (a source it lacks, or null, needs an entry of its own), or a function of
     the row counts; by default in proportion to their square roots. Weights are rounded to
     1/`period`, and each source gets at least one slot of a period. Rows of a source are taken in
-    the order of a hash of their ids; rows that share an id in any order. Null is a source of its
+    the order of a hash of their ids; rows that share an id in the order of a hash of the whole row. Null is a source of its
     own. At most 1,000 sources can be mixed, else ValueError. An empty table gives an empty result.
     """
     named = docs.withColumn("__source", _source_key(F.col(source_col)))
@@ -132,8 +132,10 @@ def pfair_mix(
     high = high.select("__source", "__high", F.coalesce(F.sum("n").over(before("__source", "__high")), F.lit(0)).alias("__before_high"))
     low = counts.select("__source", "__high", "__low", F.coalesce(F.sum("n").over(before("__source", "__high", "__low")), F.lit(0)).alias("__before_low"))
     offsets = low.join(high, ["__source", "__high"]).select("__source", "__high", "__low", (F.col("__before_high") + F.col("__before_low")).alias("__before"))
-    bucket = Window.partitionBy("__source", "__high", "__low").orderBy("__hash", id_col)
-    numbered = hashed.withColumn("__row", F.row_number().over(bucket)).join(offsets, ["__source", "__high", "__low"])
+    # Rows that share an id go by the hash of all they hold, so that a task that runs again numbers them alike.
+    content = F.xxhash64(*(c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))))
+    bucket = Window.partitionBy("__source", "__high", "__low").orderBy("__hash", id_col, "__content")
+    numbered = hashed.withColumn("__content", content).withColumn("__row", F.row_number().over(bucket)).join(offsets, ["__source", "__high", "__low"])
     numbered = numbered.withColumn("__index", F.col("__before") + F.col("__row") - 1)
     numbered = numbered.withColumn("__block", F.floor(F.col("__index") / block_rows))
 
