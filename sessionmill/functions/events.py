@@ -73,10 +73,14 @@ def summary_of(entry: Column, event_type: Column, shown: Column, top: Column, in
     )
 
 
-def parsed(lines: DataFrame) -> DataFrame:
-    """Add `entry` to rows of `raw`; NULL where a line is blank or no JSON value."""
-    trimmed = trim_all(F.col("raw"))
-    return lines.withColumn("entry", F.when(trimmed != "", parsed_line(trimmed)))
+def parsed(lines: DataFrame, keep_bad: bool = False) -> DataFrame:
+    """Add `entry` to rows of `raw`. Blank and malformed lines go, or with keep_bad stay with a NULL entry.
+
+    The entry comes out of a generator, which computes it once; a plain column would be computed again by each filter on it.
+    """
+    line = trim_all(F.col("raw"))
+    entry = F.array_compact(F.array(parsed_line(line)))
+    return lines.select("*", (F.explode_outer if keep_bad else F.explode)(entry).alias("entry"))
 
 
 def enriched(lines: DataFrame) -> DataFrame:
@@ -86,7 +90,7 @@ def enriched(lines: DataFrame) -> DataFrame:
     stands for it.
     """
     entry, top, inner = F.col("entry"), F.col("top"), F.col("inner")
-    rows = parsed(lines).where("entry is not null")
+    rows = parsed(lines)
     rows = rows.withColumns({"top": blocks(at(entry, "$.content")), "inner": blocks(at(entry, "$.message.content"))})
     both = F.concat(top, inner)
     rows = rows.withColumns(

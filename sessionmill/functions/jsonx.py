@@ -59,9 +59,22 @@ def strings_of(items: Column, path: str) -> Column:
     return F.array_compact(F.transform(items, lambda b: str_at(b, path)))
 
 
+#: Follows a line when it is parsed, to see where the line's value ends.
+_MARK = '"<end of line>"'
+
+
 def parsed_line(line: Column) -> Column:
-    """The JSON value of a whole line, or NULL. The parser allows trailing text, so the line must parse both as a member and as the only element."""
+    """The JSON value of a whole line, or NULL.
+
+    The parser stops at the end of a value and allows trailing text. So the line is parsed as the
+    first of two elements, the second a mark: a line that closes the array early, or holds more than
+    one value, gives another array. A line that holds the mark itself is parsed in two other ways,
+    as a member and as the only element, and must pass both.
+    """
+    marked = F.try_parse_json(F.concat(F.lit("["), line, F.lit(f",{_MARK}]")))
+    only = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
     member = F.try_parse_json(F.concat(F.lit('{"e":'), line, F.lit("}")))
-    element = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
-    alone = F.size(F.try_variant_get(element, "$", "array<variant>")) == 1
-    return F.when(member.isNotNull() & alone, F.try_variant_get(element, "$[0]", "variant"))
+    plain = F.when(F.contains(line, F.lit(_MARK)), F.when(member.isNotNull(), only)).otherwise(marked)
+    wanted = F.when(F.contains(line, F.lit(_MARK)), F.lit(1)).otherwise(F.lit(2))
+    # Bound to a lambda's variable, so that the line is parsed once.
+    return F.get(F.transform(F.array(F.try_variant_get(plain, "$", "array<variant>")), lambda a: F.when((F.size(a) == wanted) & ((wanted == 1) | (text_of(F.get(a, F.lit(1))) == _MARK[1:-1])), F.get(a, F.lit(0)))), F.lit(0))

@@ -56,9 +56,15 @@ def usage_type() -> str:
     return "struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint>"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Over all cores, where a table has fewer parts: parsing costs far more than moving the base columns. A table of many parts is left alone."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enriched(event_lines(spark.read.parquet(f"{sf_dir}/events.parquet")))
+    return enriched(event_lines(spread(spark.read.parquet(f"{sf_dir}/events.parquet"))))
 
 
 def conversations_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enriched(conversation_lines(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return enriched(conversation_lines(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))

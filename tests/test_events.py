@@ -116,7 +116,8 @@ def test_preview_counts_characters_and_cuts_bytes(spark):
     assert cut("é" * 121, 120) == "é" * 60 + "…"
 
 
-STRICT = [(x, True) for x in ('{"a":1}', "[1]", '"s"', "3")] + [(x, False) for x in ("{} x", "1,2", "bad", "{}]", "1}", '1,"f":2', "NaN")]
+STRICT = [(x, True) for x in ('{"a":1}', "[1]", '"s"', "3")] + [(x, False) for x in ("{} x", "1,2", "bad", "{}]", "1}", '1,"f":2', "NaN", "[1],[2", '1,"<end of line>"],[3', '1,"<end of line>"')]
+STRICT += [('"<end of line>"', True), ('{"a":"<end of line>"}', True)]
 
 
 def test_strict_lines(spark):
