@@ -36,7 +36,7 @@ RUN = 48
 HOT_RUNS = 5_000
 MAX_HOT = 100_000
 #: Words in one FM-index, unless one anchor has more.
-INDEX_WORDS = 1 << 20
+INDEX_WORDS = 1 << 19
 
 _ANCHOR_BITS = np.uint64((1 << 48) - 1)
 
