@@ -33,7 +33,7 @@ MAX_FREQUENT = 1 << 20
 MAX_SYMBOLS = 1 << 14
 BUCKETS = 1 << 12
 #: Tokens that the recursions hold at once, in one task (a longer text stands alone).
-BATCH_TOKENS = 1 << 20
+BATCH_TOKENS = 1 << 19
 SMOOTH = 0.1
 
 
