@@ -53,18 +53,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wins against another id. Other columns of `docs` are ignored, whatever their names. An empty
     table gives an empty result.
     """
+    # Either column needs all sums, so that both uses of the groups below read one and the same shuffle.
+    one = (F.col("contents") == 1) & (F.col("group_size") > 0)
+    sole = lambda c: F.when(one, F.col(c)).otherwise(F.raise_error(F.lit("two contents share both digests")).cast("long")).alias(c)
     groups = (
         winners(docs, id_col, text_col, salts, digest)
         .groupBy("digest", "mark")
         .agg(F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("contents"))
-        .select(
-            "digest",
-            "mark",
-            "keep_id",
-            F.when(F.col("contents") == 1, F.col("group_size"))
-            .otherwise(F.raise_error(F.lit("two contents share both digests")).cast("long"))
-            .alias("group_size"),
-        )
+        .select("digest", "mark", sole("keep_id"), sole("group_size"))
     )
     # A row finds its group by its digests. There are at most LARGE_GROUPS groups with so large a
     # share of the rows, and these are sent to every task; their rows then spread over the shuffle
