@@ -2,7 +2,7 @@
 
 1. quality: a classifier trained on the labels drops documents that it finds bad;
 2. exact_dedup: one document of each group of equal texts stays;
-3. near_dedup: one document of each group of near-equal texts stays;
+3. near_dedup: one document of each group of near-equal texts (0.8 of their five-word shingles, in a chain) stays;
 4. mix: all documents, sorted so that any stretch holds the sources by target weight;
 5. pack: stretches of the mix are packed into training sequences.
 """
@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionmill.llm import best_fit_packing, exact_dedup, pfair_mix, quality_model, simhash
+from sessionmill.llm import best_fit_packing, exact_dedup, jaccard, pfair_mix, quality_model
 from sessionmill.llm.common import shared_table
 
 #: Documents with a lower score go. Low, as a clean document that is lost can't be had back later.
@@ -35,7 +35,7 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.near_dedup(docs)
+    return jaccard.near_dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,222 @@
+"""Near-dedup by the exact Jaccard similarity of five-word shingles.
+
+Shingles have one order: common ones last, the others by hash. Of two sets with similarity 0.8 each holds
+at most a fifth of its shingles alone, so the first k shingles that they share are among the first
+n - ceil(0.8 n) + k of either. Sets that meet under k such shingles are compared as wholes. Under a shingle
+of many sets, all are first compared with one of them; only sets that are still apart are then paired, so
+a large group of near copies never gives all its pairs.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sessionmill.llm.arrays import scramble, texts
+from sessionmill.llm.common import checkpointed, shared_table
+from sessionmill.llm.components import components
+
+SHINGLE_WORDS = 5
+#: Documents on which common shingles are counted, about; a shingle of COMMON of them goes last. Only the order depends on it.
+SAMPLE, COMMON, MAX_COMMON = 20_000, 5, 100_000
+#: Sets under one shingle that are all paired at once.
+FEW = 16
+MAX_BROADCAST = 100_000
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_sets(column: pa.Array):
+    """The distinct shingles of each text as sorted 64-bit hashes; a text of fewer words is one shingle, of no words none."""
+    for t in texts(column, lower=True):
+        h, cuts, k = t.hashes, t.word_offsets.tolist(), SHINGLE_WORDS
+        m = max(len(h) - k + 1, 0)
+        with np.errstate(over="ignore"):
+            rolled = np.zeros(m, np.uint64)
+            for i in range(k):
+                rolled = rolled * _STEP + h[i : i + m]
+            rolled = scramble(rolled)
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi - lo >= k:
+                    yield np.unique(rolled[lo : hi - k + 1])
+                else:
+                    yield np.array([xxhash.xxh64_intdigest(h[lo:hi].tobytes(), 1)] if hi > lo else [], np.uint64)
+
+
+def node_of(shingles: np.ndarray) -> int:
+    """A 64-bit hash that stands for the set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))
+
+
+def needed(n):
+    """(shingles that a set of n shares with any similar one, k)."""
+    least = -(-4 * n // 5)
+    return least, np.minimum(4 + n // 20, least)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(rows).view(np.int64) if rows else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat))
+
+
+def _sets(batches):
+    for batch in batches:
+        rows = list(shingle_sets(batch.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array([node_of(r) for r in rows], pa.int64()), _lists(rows)], ["node", "shingles"])
+
+
+def _prefixes(common: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            nodes, sizes, heads = [], [], []
+            for s in shingle_sets(batch.column(1)):
+                least, k = needed(len(s))
+                at = np.minimum(np.searchsorted(common, s), max(len(common) - 1, 0))
+                last = common[at] == s if len(common) else np.zeros(len(s), bool)
+                nodes.append(node_of(s))
+                sizes.append(len(s))
+                heads.append(np.concatenate([s[~last], s[last]])[: len(s) - least + k])
+            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(heads)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "head"])
+
+    return run
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles of many documents, by a sample."""
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(_sets, "node long, shingles array<long>")
+    counts = some.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= COMMON)
+    rows = counts.orderBy(F.desc("c"), "s").limit(MAX_COMMON).select("s").toArrow()
+    return np.sort(rows.column(0).to_numpy().view(np.uint64))
+
+
+def _groups(batches, columns: int):
+    """The columns of a partition in the order of the first, and where each of its groups of two or more begins and ends."""
+    parts = [[np.asarray(b.column(i)) for i in range(columns)] for b in batches if b.num_rows]
+    if not parts:
+        return [np.empty(0, np.int64)] * columns, np.empty(0, np.int64), np.empty(0, np.int64)
+    rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    order = np.lexsort((rows[1], rows[0]))
+    rows = [r[order] for r in rows]
+    starts = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
+    ends = np.r_[starts[1:], len(order)]
+    more = ends - starts > 1
+    return rows, starts[more], ends[more]
+
+
+def _batch(a: np.ndarray, b: np.ndarray, kind: int) -> pa.RecordBatch:
+    columns = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), kind, np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["a", "b", "kind"])
+
+
+def _similar_sizes(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+
+
+def _meet(batches):
+    """Of rows (s, node, n): pairs of few sets (kind 0), pairs with the first of many (1), the shingles of many (2)."""
+    (s, node, n), starts, ends = _groups(batches, 3)
+    many = ends - starts > FEW
+    bounds = np.zeros(len(s) + 1, np.int64)
+    bounds[starts[~many]] += 1
+    bounds[ends[~many]] -= 1
+    at = np.flatnonzero(np.cumsum(bounds[:-1]) > 0)
+    for d in range(1, FEW):
+        x, y = at[:-d], at[d:]
+        same = (s[x] == s[y]) & _similar_sizes(n[x], n[y])
+        if same.any():
+            yield _batch(node[x[same]], node[y[same]], 0)
+    for lo, hi in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
+        others = lo + 1 + np.flatnonzero(_similar_sizes(n[lo], n[lo + 1 : hi]))
+        yield _batch(np.full(len(others), node[lo]), node[others], 1)
+        yield pa.RecordBatch.from_arrays([pa.array(s[lo : lo + 1]), pa.array(s[lo : lo + 1]), pa.array([2], pa.int32())], ["a", "b", "kind"])
+
+
+def _apart(batches):
+    """Of rows (s, n, node, root): pairs of similar size under one shingle that no chain of links connects yet."""
+    (_, n, node, root), starts, ends = _groups(batches, 4)
+    for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+        if (root[lo:hi] == root[lo]).all():
+            continue
+        stops = lo + np.searchsorted(n[lo:hi], 5 * n[lo:hi] // 4, "right")
+        held, size = [], 0
+        for i in range(lo, hi):
+            js = i + 1 + np.flatnonzero(root[i + 1 : stops[i - lo]] != root[i])
+            if len(js):
+                held.append((np.full(len(js), node[i]), node[js]))
+                size += len(js)
+            if held and (size > 1 << 18 or i == hi - 1):
+                yield _batch(*map(np.concatenate, zip(*held, strict=True)), 0)
+                held, size = [], 0
+        if held:
+            yield _batch(*map(np.concatenate, zip(*held, strict=True)), 0)
+
+
+def _enough(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs (a, b, c) that meet under as many shingles as similar sets must."""
+
+    def k(n: str):
+        return f"least(4 + {n} div 20, (4 * {n} + 4) div 5)"
+
+    held = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    return held.where(f"c >= least({k('na')}, {k('nb')})").select("a", "b")
+
+
+def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets with a similarity of 0.8 or more."""
+    pairs = checkpointed(pairs)
+    nodes = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    few = nodes.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    sets = docs.select("text").mapInArrow(_sets, "node long, shingles array<long>")
+    sets = shared_table(sets.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
+    return checkpointed(both.where("9 * both >= 4 * sum").select("a", "b"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Return doc_id and component_id (the smallest id of the group), one row per input row.
+
+    Documents belong together when a chain of texts connects them, each with a Jaccard similarity of at
+    least 0.8 to the next, by distinct shingles of five words in lower case (ASCII only). Null, empty and
+    blank texts have no shingle and form one group; a text of fewer words than a shingle is one shingle.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = dict(docs.dtypes)["doc_id"]
+    heads = shared_table(docs.mapInArrow(_prefixes(common_shingles(docs)), f"doc_id {kind}, node long, n long, head array<long>"))
+    sizes = heads.select("node", "n").distinct()
+    rows = heads.dropDuplicates(["node"]).select("node", "n", F.explode("head").alias("s")).select("s", "node", "n")
+    met = rows.repartition("s").mapInArrow(_meet, "a long, b long, kind int")
+    met = checkpointed(met.groupBy("a", "b", "kind").agg(F.count(F.lit(1)).alias("c")))
+    pairs = met.where("kind < 2").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    links = _links(docs, _enough(pairs, sizes))
+    roots = components(links)
+    many = met.where("kind = 2").select(F.col("a").alias("s"))
+    n_many = many.count()
+    if n_many:
+        named = roots.withColumnRenamed("node", "x")
+        again = rows.join(F.broadcast(many) if n_many <= MAX_BROADCAST else many, "s", "left_semi")
+        again = again.join(named, again["node"] == named["x"], "left").select("s", "n", "node", F.coalesce("root", "node").alias("root"))
+        more = again.repartition("s").mapInArrow(_apart, "a long, b long, kind int").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+        pairs = met.where("kind = 0").select("a", "b", "c").unionByName(more).groupBy("a", "b").agg(F.sum("c").alias("c"))
+        ra, rb = roots.toDF("a", "ra"), roots.toDF("b", "rb")
+        pairs = _enough(pairs, sizes).join(ra, "a", "left").join(rb, "b", "left")
+        pairs = pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        roots = components(links.unionByName(_links(docs, pairs)))
+    found = heads.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    found = checkpointed(found)
+    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "root").select("doc_id", "component_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stay, with all their columns: those whose id is the smallest of their group.
+
+    Rows with a null id stay only where a group has no other id; rows that share the smallest id of a group all stay.
+    """
+    groups = near_groups(docs, id_col=id_col, text_col=text_col)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
+    return docs.join(stay, docs[id_col].eqNullSafe(stay["__keep"]), "left_semi")

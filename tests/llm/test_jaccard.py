@@ -1,0 +1,80 @@
+import random
+import re
+from collections import Counter
+
+import awkward
+import corpus_pipeline as pipeline
+import pytest
+from pyspark.sql import functions as F
+
+from sessionmill.llm import jaccard
+
+
+def shingles(text, k=5):
+    w = [x for x in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode().lower()) if x]
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+def linked(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def slow_groups(rows):
+    """The smallest id of each row's group, in the order of the rows."""
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and linked(sets[i], sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return [min((r[0] for r, g in zip(rows, group, strict=True) if g == own and r[0] is not None), default=None) for own in group]
+
+
+def planted():
+    """Texts with copies in which some words differ, common passages, and a crowd of near copies."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(500)]
+    texts = [[rng.choice(vocabulary) for _ in range(rng.choice((3, 6, 12, 40, 150, 700)))] for _ in range(60)]
+    passage = [rng.choice(vocabulary) for _ in range(60)]
+    for base in list(texts):
+        for changes in (1, max(1, len(base) // 60), max(1, len(base) // 40)):
+            copy = list(base)
+            for _ in range(changes):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(copy)
+    texts += [passage + [rng.choice(vocabulary) for _ in range(rng.choice((5, 10, 14, 18, 60)))] for _ in range(50)]
+    crowd = [rng.choice(vocabulary) for _ in range(150)]
+    for _ in range(60):
+        copy = list(crowd)
+        copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        texts.append(copy)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("few,common", [(16, 5), (2, 5), (2, 10**9)])
+def test_planted_near_copies_against_brute_force(spark, monkeypatch, few, common):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    rows = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in jaccard.near_groups(docs).collect()}
+    want = slow_groups(rows)
+    assert [got[i] for i, _ in rows] == want and len(set(want)) < len(rows) - 59
+
+
+def test_stage_drops_near_copies(spark):
+    """Copies with every fortieth word changed: similar by shingles, but often far apart by their fingerprints."""
+    rows = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.dedup_near(spark, docs, "").collect()} == set(slow_groups(rows))
+
+
+def test_awkward_rows(spark):
+    docs = awkward.frame(spark)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.near_groups(docs).collect())
+    assert got == Counter(zip((i for i, _ in rows), slow_groups(rows), strict=True))
+    assert jaccard.near_dedup(docs).schema == docs.schema
+    none = awkward.empty(spark).select(F.col("doc_id"), F.col("text"))
+    assert jaccard.near_groups(none).count() == 0 and jaccard.near_dedup(none).count() == 0
