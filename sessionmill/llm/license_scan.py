@@ -41,6 +41,30 @@ SENTENCES = (
     ("ccby_long", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("ccbysa_long", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("ccbync_long", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("rights_reserved", "All rights reserved."),
+    ("gpl2_notice", "This work is licensed under the GNU General Public License, version 2."),
+    ("gpl2_notice", "Licensed under the GNU General Public License, version 2."),
+    ("gpl2_grant", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("lgpl21_notice", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("lgpl3_notice", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("agpl3_notice", "Licensed under the GNU Affero General Public License, version 3."),
+    ("mpl2_notice", "Licensed under the Mozilla Public License, version 2.0."),
+    ("mpl2_notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v."),  # up to the stop in "v. 2.0"
+    ("cc0_notice", "Licensed under CC0 1.0."),
+    ("cc0_waiver", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("unlicense_notice", "This is free and unencumbered software released into the public domain."),
+    ("spdx_gpl2", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("spdx_gpl2", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("spdx_gpl3", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("spdx_lgpl21", "SPDX-License-Identifier: LGPL-2.1-only"),
+    ("spdx_lgpl21", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("spdx_lgpl3", "SPDX-License-Identifier: LGPL-3.0-only"),
+    ("spdx_lgpl3", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("spdx_agpl3", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("spdx_agpl3", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("spdx_mpl2", "SPDX-License-Identifier: MPL-2.0"),
+    ("spdx_cc0", "SPDX-License-Identifier: CC0-1.0"),
+    ("spdx_unlicense", "SPDX-License-Identifier: Unlicense"),
     ("spdx_apache", "SPDX-License-Identifier: Apache-2.0"),
     ("spdx_mit", "SPDX-License-Identifier: MIT"),
     ("spdx_gpl3", "SPDX-License-Identifier: GPL-3.0-only"),
@@ -67,10 +91,27 @@ RULES = (
     ("CC-BY-SA-4.0", ("ccbysa_long",)),
     ("CC-BY-NC-4.0", ("ccbync_notice",)),
     ("CC-BY-NC-4.0", ("ccbync_long",)),
+    ("All-rights-reserved", ("rights_reserved",)),
+    ("GPL-2.0", ("gpl2_notice",)),
+    ("GPL-2.0", ("gpl2_grant", "gpl_warranty")),
+    ("GPL-2.0", ("spdx_gpl2",)),
+    ("LGPL-2.1", ("lgpl21_notice",)),
+    ("LGPL-2.1", ("spdx_lgpl21",)),
+    ("LGPL-3.0", ("lgpl3_notice",)),
+    ("LGPL-3.0", ("spdx_lgpl3",)),
+    ("AGPL-3.0", ("agpl3_notice",)),
+    ("AGPL-3.0", ("spdx_agpl3",)),
+    ("MPL-2.0", ("mpl2_notice",)),
+    ("MPL-2.0", ("spdx_mpl2",)),
+    ("CC0-1.0", ("cc0_notice",)),
+    ("CC0-1.0", ("cc0_waiver",)),
+    ("CC0-1.0", ("spdx_cc0",)),
+    ("Unlicense", ("unlicense_notice",)),
+    ("Unlicense", ("spdx_unlicense",)),
 )
 
 #: Each known sentence has one of these, in lower case, within a single word.
-ANCHORS = ("licens", "warrant", "permission", "redistribut", "copyright")
+ANCHORS = ("licens", "warrant", "permission", "redistribut", "copyright", "reserved", "unencumbered")
 
 #: A sentence ends at a stop or mark before white space; in the first reading also at a line end, in the second only at an empty line.
 LINE_ENDS = r"(?<=[.!?])[\x20\x09-\x0D]+|\n"
