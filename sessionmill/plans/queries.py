@@ -381,7 +381,7 @@ def matched_tool_calls(spark, sf_dir):
 
 def _export(spark, sf_dir: str, fmt: str) -> DataFrame:
     events = conversations_table(spark, sf_dir)
-    return exported(events, S.sessions(events), fmt)
+    return exported(events, S.sessions(events), fmt, max_events=None)
 
 
 def _record_query(fmt: str, list_name: str, first: str, sql_first: str, where: str, id_name: str = "session_id"):
