@@ -36,6 +36,17 @@ def fold(id_col: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes to differ from all columns of `df`."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def set_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the shared folder that the cluster names; choose one only where none is named (local runs)."""
     sc = spark.sparkContext
@@ -64,3 +75,26 @@ def shared_table(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+#: Rows under one key that a join still lets meet; a key with more is hot. Of hot keys there are at most MAX_HOT, those with the largest share.
+HOT_ROWS, MAX_HOT = 10_000, 100_000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "left", n_rows: int | None = None) -> DataFrame:
+    """Join `rows` (`n_rows` of them, if known) with `facts`, which has one row for each value of `key`, without meeting at a hot key.
+
+    The facts of hot keys, whose number is bounded, are sent to every task, so their rows stay where
+    they are; the other rows meet their facts by a shuffle. Both tables are read more than once: cut
+    their lineage before.
+    """
+    if (rows.count() if n_rows is None else n_rows) <= HOT_ROWS:
+        return rows.join(facts, key, how)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > HOT_ROWS) & F.col(key).isNotNull())
+    hot = [r[0] for r in counts.orderBy(F.desc("n")).limit(MAX_HOT).select(key).collect()]  # bounded
+    if not hot:
+        return rows.join(facts, key, how)
+    spark = rows.sparkSession
+    named = F.broadcast(spark.createDataFrame([(x,) for x in hot], f"{key} {dict(rows.dtypes)[key]}"))
+    few = F.broadcast(facts.join(named, key, "left_semi"))
+    return rows.join(named, key, "left_semi").join(few, key, how).unionByName(rows.join(named, key, "left_anti").join(facts, key, how))

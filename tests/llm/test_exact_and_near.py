@@ -3,7 +3,6 @@ from collections import Counter, defaultdict
 
 import awkward
 import numpy as np
-import pyarrow as pa
 import pytest
 import xxhash
 from helpers import SMALL, assert_same, duck
@@ -130,11 +129,21 @@ def test_components(spark, links):
     assert all(got.get(x, x) == want[x] for x in items) and not set(got) - items
 
 
-def test_near_dedup_keeps_columns(spark):
-    docs = awkward.frame(spark)
-    kept = simhash.near_dedup(docs)
-    assert kept.schema == docs.schema
-    groups = {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect()}
-    assert {r.doc_id for r in kept.collect()} == set(groups.values())
-    assert simhash.near_groups(awkward.empty(spark)).count() == 0 and simhash.near_dedup(awkward.empty(spark)).count() == 0
-    assert simhash.fingerprint(b"") == simhash.fingerprint(b" \n") == 0 and pa.array([1])
+@pytest.mark.parametrize("hot", [10_000, 50])
+def test_long_chains_fold_in_few_rounds(spark, monkeypatch, hot):
+    """Two chains of a thousand that meet at their largest nodes, and a hub."""
+    monkeypatch.setattr("sessionmill.llm.common.HOT_ROWS", hot)
+    rounds = []
+    monkeypatch.setattr(components, "checkpointed", lambda df: rounds.append(1) or df.checkpoint(eager=True))
+    n = 1000
+    left, right = list(range(0, 2 * n, 2)), list(range(1, 2 * n, 2))
+    links = [*zip(left, left[1:], strict=False), *zip(right, right[1:], strict=False), (left[-1], right[-1])]
+    links += [(5000, 5001 + i) for i in range(300)] + [(9000 - i, 9001) for i in range(300)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(got[x] == 0 for x in range(1, 2 * n)) and all(got[5001 + i] == 5000 for i in range(300)) and got[9001] == got[8990] == 8701
+    assert len(rounds) <= 1 + 2 * 13
+
+
+def test_no_documents(spark):
+    assert simhash.near_groups(awkward.empty(spark)).count() == 0
+    assert simhash.fingerprint(b"") == simhash.fingerprint(b" \n") == 0

@@ -7,7 +7,8 @@ import corpus_pipeline as pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from sessionmill.llm import jaccard
+from sessionmill.llm import shingles as shingle_module
+from sessionmill.llm import simhash
 
 
 def shingles(text, k=5):
@@ -52,13 +53,12 @@ def planted():
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("few,common", [(16, 5), (2, 5), (2, 10**9)])
-def test_planted_near_copies_against_brute_force(spark, monkeypatch, few, common):
-    monkeypatch.setattr(jaccard, "FEW", few)
-    monkeypatch.setattr(jaccard, "COMMON", common)
+@pytest.mark.parametrize("tile,set_tile,common", [(4096, 1024, 5), (4096, 8, 5), (8, 4096, 10**9), (6, 5, 5)])
+def test_planted_near_copies_against_brute_force(spark, monkeypatch, tile, set_tile, common):
+    monkeypatch.setattr(shingle_module, "COMMON", common)
     rows = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: r.component_id for r in jaccard.near_groups(docs).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs, tile=tile, set_tile=set_tile).collect()}
     want = slow_groups(rows)
     assert [got[i] for i, _ in rows] == want and len(set(want)) < len(rows) - 59
 
@@ -73,8 +73,22 @@ def test_stage_drops_near_copies(spark):
 def test_awkward_rows(spark):
     docs = awkward.frame(spark)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    got = Counter((r.doc_id, r.component_id) for r in jaccard.near_groups(docs).collect())
-    assert got == Counter(zip((i for i, _ in rows), slow_groups(rows), strict=True))
-    assert jaccard.near_dedup(docs).schema == docs.schema
+    got = Counter((r.doc_id, r.component_id) for r in simhash.similar_groups(docs).collect())
+    groups = slow_groups(rows)
+    assert got == Counter(zip((i for i, _ in rows), groups, strict=True))
+    kept = simhash.near_dedup(docs)
+    assert kept.schema == docs.schema and Counter(r.doc_id for r in kept.collect()) == Counter(set(groups))
     none = awkward.empty(spark).select(F.col("doc_id"), F.col("text"))
-    assert jaccard.near_groups(none).count() == 0 and jaccard.near_dedup(none).count() == 0
+    assert simhash.similar_groups(none).count() == 0 and simhash.near_dedup(none).count() == 0
+
+
+def test_one_row_of_each_group_stays_though_ids_repeat(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    shape = "doc_id long, text string, gone_id int, _gone_mark int"
+    rows = [(1, a, 1, 1), (3, a, 2, 2), (3, b, 3, 3), (3, b, 4, 4), (4, b, 5, 5), (None, a, 6, 6)]
+    got = simhash.near_dedup(spark.createDataFrame(rows, shape)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, a), (3, b)]
+    same = spark.createDataFrame([(7, a if i % 2 else b, i, i) for i in range(60)], shape)
+    assert sorted(r.text for r in simhash.near_dedup(same).collect()) == [a, b]
+    none = spark.createDataFrame([(None, a, i, i) for i in range(60)], shape)
+    assert simhash.near_dedup(none).count() == 1
