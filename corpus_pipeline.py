@@ -9,11 +9,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionmill.llm import best_fit_packing, exact_dedup, jaccard, pfair_mix, quality_model
+from sessionmill.llm import best_fit_packing, exact_dedup, pfair_mix, quality_model, simhash
 from sessionmill.llm.common import shared_table
 
 #: Documents with a lower score go. Low, as a clean document that is lost can't be had back later.
@@ -35,7 +34,7 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.near_dedup(docs)
+    return simhash.near_dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +42,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that stand together in a file of the mix share a lane; without files, lanes go by hash."""
-    lane = F.pmod(F.xxhash64("_metadata.file_name"), F.lit(1 << 40)) * (1 << 20) + F.floor(F.col("_metadata.row_index") / LANE_ROWS)
-    try:
-        docs.select(lane)
-    except AnalysisException:
-        lane = None
+    """Rows that stand together in a file of the mix share a lane; for rows that are not in files, lanes go by hash."""
+    stretch = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / LANE_ROWS))
+    lane = stretch if docs.inputFiles() else None
     return best_fit_packing.best_fit_packing(docs, lane=lane, lane_rows=LANE_ROWS)
 
 
