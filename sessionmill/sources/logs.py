@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionmill.functions.events import enriched, parsed
@@ -24,30 +24,49 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def _numbered(lines: DataFrame, counted: Column) -> DataFrame:
+    """Adds line_index: how many `counted` lines of the file came before, over all its parts.
+
+    A large file is read in parts, each by one task from its first line to its last. The lines of a
+    part are numbered by their place in the task; a small table of one row for each part says how many
+    lines came before it.
+    """
+    lines = lines.withColumn("place", F.monotonically_increasing_id()).withColumn("counted", counted)
+    parts = lines.groupBy("source_path", "part").agg(F.min("place").alias("first"), F.count_if("counted").alias("n"))
+    before = Window.partitionBy("source_path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("source_path", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return lines.join(parts, ["source_path", "part"])
+
+
 def read_lines(spark: SparkSession, root: str, index: str = "physical") -> DataFrame:
     """One row for each line of each *.jsonl file below `root` (the suffix is case-sensitive).
 
-    line_index counts all lines from 0, or with index="nonempty" only those that are not blank. A
-    missing root gives no rows. Lines that are not UTF-8 are skipped but counted. observed_at is the
-    file's time of modification. A file is read as one row at first, so it must be under 2 GB; larger
-    logs can be read with the `session_tail` source.
+    Files of any size are read in parts by many tasks. line_index counts all lines from 0, or with
+    index="nonempty" only those that are not blank. A missing root gives no rows. A line that is not
+    UTF-8 is skipped but counted; the others of its file stay, whatever characters they hold.
+    observed_at is the file's time of modification.
     """
     root = expand(root)
+    if index not in ("physical", "nonempty"):
+        raise ValueError(f"unknown line numbering {index!r}")
     if not _exists(spark, root):
         return spark.createDataFrame([], LINES)
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
-    files = files.select(
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root)
+    lines = lines.select(
         F.col("_metadata.file_path").alias("source_path"),
         F.regexp_extract("_metadata.file_name", r"^(.*)\.[^.]*$", 1).alias("fallback_id"),
+        F.col("_metadata.file_block_start").alias("part"),
         F.col("_metadata.file_modification_time").alias("observed_at"),
-        F.is_valid_utf8("value").alias("valid"),
-        F.posexplode(F.split("value", "\n")).alias("line_index", "raw"),
+        F.col("value").alias("raw"),
     )
-    lines = files.where(F.col("valid") | ~F.contains("raw", F.lit("�"))).where(trim_all(F.col("raw")) != "")
-    if index == "nonempty":
-        lines = lines.withColumn("line_index", F.row_number().over(Window.partitionBy("source_path").orderBy("line_index")) - 1)
-    elif index != "physical":
-        raise ValueError(f"unknown line numbering {index!r}")
+    valid = F.is_valid_utf8("raw")
+    blank = valid & (trim_all(F.when(valid, F.col("raw"))) == "")
+    if index == "physical":
+        lines = _numbered(lines, F.lit(True)).withColumn("line_index", F.col("before") + F.col("place") - F.col("first"))
+        lines = lines.where(valid & ~blank)
+    else:
+        lines = _numbered(lines, valid & ~blank).where("counted")
+        lines = lines.withColumn("line_index", F.col("before") + F.row_number().over(Window.partitionBy("source_path", "part").orderBy("place")) - 1)
     return lines.select("source_path", "fallback_id", F.col("line_index").cast("long").alias("line_index"), "raw", "observed_at")
 
 

@@ -34,6 +34,36 @@ def test_line_numbers_and_bad_lines(spark, tmp_path):
     assert [r.raw for r in corrupt_lines(spark, str(tmp_path)).collect()] == ["{bad"]
 
 
+def test_a_bad_line_takes_no_other_with_it(spark, tmp_path):
+    good = '{"type":"user","content":"� stands here"}\n'.encode()
+    write(f"{tmp_path}/a.jsonl", good + b'{"type":"\xff"}\n' + good + b"\n" + good)
+    assert sorted(r.line_index for r in read_lines(spark, str(tmp_path)).collect()) == [0, 2, 4]
+    assert sorted(r.line_index for r in read_lines(spark, str(tmp_path), "nonempty").collect()) == [0, 1, 2]
+
+
+def test_files_in_many_parts(spark, tmp_path):
+    """Parts of 100 bytes that cut lines anywhere: each line once, under its own number."""
+    want = {}
+    for name, n in (("a", 300), ("b", 1), ("c", 57)):
+        rows = [f'{{"n": {i}, "x": "{"é" * (i % 40)}"}}' if i % 7 else "" for i in range(n)]
+        write(f"{tmp_path}/{name}.jsonl", "\n".join(rows) + "\n" * (n % 2))
+        want |= {(name, i): r for i, r in enumerate(rows) if r}
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in keep:
+            spark.conf.set(k, "100")
+        lines = read_lines(spark, str(tmp_path))
+        assert lines.select("source_path").rdd.getNumPartitions() >= 1
+        assert {(r.fallback_id, r.line_index): r.raw for r in lines.collect()} == want and lines.count() == len(want)
+        order = {}
+        for name, i in sorted(want):
+            order[(name, sum(1 for x in order if x[0] == name))] = want[(name, i)]
+        assert {(r.fallback_id, r.line_index): r.raw for r in read_lines(spark, str(tmp_path), "nonempty").collect()} == order
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
 def test_tilde(monkeypatch):
     monkeypatch.setenv("HOME", "/home/test")
     assert [expand(p) for p in ("~/x", "~", "/abs", "rel")] == ["/home/test/x", "/home/test", "/abs", "rel"]
