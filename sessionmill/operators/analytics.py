@@ -69,26 +69,23 @@ def latencies(events: DataFrame) -> DataFrame:
     return answered.select("session_id", "seq", (F.unix_millis("event_ts") - F.unix_millis("asked")).alias("latency_ms")).where("latency_ms is not null")
 
 
-def percentile_at(rows: DataFrame, value: str, shares: dict[str, float], groups: int = 4096) -> DataFrame:
+def percentile_at(rows: DataFrame, value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
     """One row: for each share p the value at place floor(n * p) of the sorted values (from 0), or 0 without values.
 
-    Values are counted first, so repeated ones travel once; the running count is made in two steps,
-    over ranges of values and then inside the one range that holds the wanted place, so no task sorts
-    all values.
+    Approximate quantiles a little below and above each share give a bracket that is sure to hold the
+    wanted value, however the values are spread. Values below it are only counted, those above it
+    left out, and those inside, a few of `accuracy` parts of all, are sorted.
     """
-    counts = rows.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")).where("v is not null")
-    bounds = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    width = F.greatest((F.col("hi") - F.col("lo")).cast("double"), F.lit(1.0))
-    placed = counts.crossJoin(F.broadcast(bounds)).withColumn("range", F.least(F.floor((F.col("v") - F.col("lo")) / width * groups), F.lit(groups - 1)))
-    ranges = placed.groupBy("range").agg(F.sum("n").alias("n"), F.max("total").alias("total"))  # at most `groups` rows
-    ranges = ranges.withColumn("until", F.sum("n").over(Window.partitionBy().orderBy("range")))
-    wanted = ranges.select("range", "until", "n", "total", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.lit(p).alias("p")) for k, p in shares.items()))).alias("w"))
-    wanted = wanted.select("range", F.col("w.name").alias("name"), F.floor(F.col("total") * F.col("w.p")).alias("place"), (F.col("until") - F.col("n")).alias("before"), "until")
-    wanted = wanted.where("place >= before and place < until")
-    inside = placed.select("range", "v", "n").join(F.broadcast(wanted), "range")
-    order = Window.partitionBy("name").orderBy("v")
-    inside = inside.withColumn("upto", F.sum("n").over(order) + F.col("before"))
-    found = inside.where("place < upto").groupBy("name").agg(F.min("v").alias("v"))
+    values = rows.select(F.col(value).alias("v")).where("v is not null")
+    edges = [min(max(p + side * 3 / accuracy, 0.0), 1.0) for p in shares.values() for side in (-1, 1)]
+    bounds = values.agg(F.percentile_approx("v", edges, accuracy).alias("at"), F.count(F.lit(1)).alias("total"))
+    wanted = [F.struct(F.lit(k).alias("name"), F.floor(F.col("total") * F.lit(p)).alias("place"), F.get("at", F.lit(2 * i)).alias("lo"), F.get("at", F.lit(2 * i + 1)).alias("hi")) for i, (k, p) in enumerate(shares.items())]
+    bounds = bounds.select(F.explode(F.array(*wanted)).alias("w")).select("w.*")
+    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    near = counts.crossJoin(F.broadcast(bounds)).where("v <= hi")  # bounds: one row for each share
+    near = near.groupBy("name", "place", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("name").orderBy(F.asc_nulls_first("v")))
+    found = near.withColumn("upto", upto).where("place < upto").groupBy("name").agg(F.min("v").alias("v"))
     return found.agg(*(F.coalesce(F.max(F.when(F.col("name") == k, F.col("v"))), F.lit(0)).alias(k) for k in shares))
 
 
@@ -123,10 +120,12 @@ def scaled(rows: DataFrame, value: str = "n", partition: str | None = None) -> D
 
 
 def matched_tool_calls(events: DataFrame) -> DataFrame:
-    """Extension: each embedded tool use with the result that carries its id, in the same session."""
+    """Extension: each embedded tool use with the first result, embedded or top-level, that carries its id in the same session."""
     both = F.concat(blocks(at(F.col("entry"), "$.content")), blocks(at(F.col("entry"), "$.message.content")))
     uses = events.select("session_id", "seq", F.explode(of_kind(both, "tool_use")).alias("b"))
     uses = uses.select("session_id", F.col("seq").alias("use_seq"), str_at(F.col("b"), "$.id").alias("tool_use_id"), str_at(F.col("b"), "$.name").alias("tool"))
-    results = events.select("session_id", F.col("seq").alias("result_seq"), F.explode("tool_results").alias("tool_use_id"))
+    top = F.when(F.col("event_type") == "tool_result", F.array_compact(F.array(str_at(F.col("entry"), "$.tool_use_id"))))
+    every = F.concat("tool_results", F.coalesce(top, F.array().cast("array<string>")))
+    results = events.select("session_id", F.col("seq").alias("result_seq"), F.explode(every).alias("tool_use_id"))
     results = results.groupBy("session_id", "tool_use_id").agg(F.min("result_seq").alias("result_seq"))
     return uses.join(results, ["session_id", "tool_use_id"], "left")
