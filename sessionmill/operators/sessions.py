@@ -105,10 +105,9 @@ def parse_session_list(value: str | None) -> list[str] | None:
 
 
 def deduplicated(events: DataFrame, key: str = "file") -> DataFrame:
-    """Events once each. By file and line, or with key="session" by session and line, the first in order."""
-    if key == "file":
-        return events.dropDuplicates(["source_path", "line_index"])
-    if key != "session":
+    """Events once each, by file and line, or with key="session" by session and line: the first to arrive."""
+    keys = {"file": ["source_path", "line_index"], "session": ["session_id", "line_index"]}
+    if key not in keys:
         raise ValueError(f"unknown key {key!r}")
-    first = Window.partitionBy("session_id", "line_index").orderBy("seq")
+    first = Window.partitionBy(*keys[key]).orderBy("observed_at", "seq")
     return events.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
