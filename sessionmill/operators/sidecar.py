@@ -24,6 +24,12 @@ def toggled(ids: set[str], one: str) -> set[str]:
     return ids ^ {one}
 
 
+def toggled_rows(bookmarks: DataFrame, ids: DataFrame) -> DataFrame:
+    """A bookmarks table with each session of `ids` added if it was absent, else taken out."""
+    marks = bookmarks.select("session_id").distinct().withColumn("n", F.lit(1)).unionByName(ids.select("session_id").distinct().withColumn("n", F.lit(1)))
+    return marks.groupBy("session_id").agg(F.sum("n").alias("n")).where("n = 1").select("session_id")
+
+
 def add_tags(tags: Column, more: Column) -> Column:
     """Union in order of first appearance."""
     return F.array_distinct(F.concat(F.coalesce(tags, F.array().cast("array<string>")), more))

@@ -2,6 +2,7 @@ import pytest
 from helpers import events_of
 from pyspark.sql import functions as F
 
+from sessionmill.functions.text import format_count
 from sessionmill.operators import analytics as A
 from sessionmill.operators import search as Q
 from sessionmill.operators import sessions as S
@@ -17,20 +18,26 @@ def said(*names):
     return {"content": [{"type": "tool_use", "name": n} for n in names]}
 
 
-def test_aggregates(spark):
-    usage = {"model": "sonnet", "usage": {"input_tokens": 10, "output_tokens": 5}}
-    df = events_of(spark, entry("user"), entry("assistant", message=usage), entry("user", "b"))
-    a = {r.session_id: r for r in S.sessions(df).collect()}["a"]
-    assert (a.event_count, a.user_count, a.assistant_count, a.input_tokens, a.output_tokens) == (2, 1, 1, 10, 5) and a.cost_usd > 0
-    assert tuple(api.health(df).first()) == (2, 3)
+def test_facts_of_two_sessions(spark):
+    """A garden planner in four turns, and a weather question without an answer."""
+    counters = lambda i, o: {"model": "haiku-mini", "usage": {"input_tokens": i, "output_tokens": o}}
+    garden = [entry("user", "garden"), entry("assistant", "garden", message=counters(700, 31)), entry("system", "garden"), entry("assistant", "garden", message=counters(40, 9))]
+    df = events_of(spark, *garden, entry("user", "weather"))
+    facts = {r.session_id: r for r in S.sessions(df).collect()}
+    g, w = facts["garden"], facts["weather"]
+    assert (g.event_count, g.user_count, g.assistant_count, g.input_tokens, g.output_tokens, g.model) == (4, 1, 2, 740, 40, "haiku-mini")
+    assert g.cost_usd == pytest.approx((740 * 1.0 + 40 * 5.0) / 1e6)
+    assert (w.event_count, w.user_count, w.assistant_count, w.input_tokens, w.cost_usd, w.model) == (1, 1, 0, 0, 0.0, None)
+    assert tuple(api.health(df).first()) == (2, 5)
 
 
-def test_tool_counts(spark):
-    df = events_of(spark, entry("assistant", message=said("Read", "Bash")), entry("assistant", message=said("Read")), entry("tool_use", name="WebFetch"), entry("tool_use"), entry("tool_result"))
-    a = S.sessions(df).first()
-    assert a.tool_counts == {"Read": 2, "Bash": 1, "WebFetch": 1}
-    assert (a.tool_use_count, a.tool_result_count) == (5, 1)
-    assert [(r.tool, r.n, r.bar_pct) for r in A.top_tools(A.merged_tool_counts(S.sessions(df)), 2).collect()] == [("Read", 2, 100.0), ("Bash", 1, 50.0)]
+def test_tools_of_a_session(spark):
+    plough, sow = said("dig", "rake", "rake", "water"), said("water", "dig", "water")
+    df = events_of(spark, entry("assistant", message=plough), entry("tool_use", name="harvest"), entry("assistant", message=sow), entry("tool_result"), entry("tool_use"), entry("tool_result"))
+    (a,) = S.sessions(df).collect()
+    assert a.tool_counts == {"water": 3, "dig": 2, "rake": 2, "harvest": 1}
+    assert (a.tool_use_count, a.tool_result_count) == (9, 2)
+    assert [(r.tool, r.n, r.bar_pct) for r in A.top_tools(A.merged_tool_counts(S.sessions(df)), 3).collect()] == [("water", 3, 100.0), ("dig", 2, 66.7), ("rake", 2, 66.7)]
 
 
 def test_first_and_last_values(spark):
@@ -40,14 +47,14 @@ def test_first_and_last_values(spark):
     assert S.sessions(events_of(spark, entry("user"))).first().tool_counts == {}
 
 
-def test_ring_and_order(spark):
-    df = events_of(spark, *(entry("user", marker=i) for i in range(55)))
-    assert sorted(e.line_index for e in S.recent_per_session(df, 50).collect()) == list(range(5, 55))
-    assert [e.line_index for e in S.last_events(df, 3).collect()] == [52, 53, 54]
-    assert [e.line_index for e in S.session_events(df, "a", 0).collect()] == []
-    assert S.session_events(df, "nobody").count() == 0
-    two = events_of(spark, entry("user", "old"), entry("user", "new"))
-    assert [r.session_id for r in api.sessions(two).collect()] == ["new", "old"]
+def test_rings_and_recency(spark):
+    df = events_of(spark, *(entry("user" if i % 3 else "system") for i in range(23)))
+    assert {e.line_index for e in S.recent_per_session(df, 9).collect()} == set(range(14, 23))
+    assert [e.line_index for e in S.last_events(df, 4).collect()] == [19, 20, 21, 22]
+    assert S.session_events(df, "a", 0).count() == 0 and S.session_events(df, "z").count() == 0
+    assert [e.line_index for e in S.session_events(df, "a", 2).collect()] == [21, 22]
+    three = events_of(spark, entry("user", "dawn"), entry("user", "noon"), entry("user", "dusk"), entry("system", "dawn"))
+    assert [r.session_id for r in api.sessions(three).collect()] == ["dawn", "dusk", "noon"]
 
 
 def test_unknown_sessions(spark):
@@ -85,12 +92,13 @@ def test_latency_is_the_stateful_loop(spark):
     assert got == loop_latencies(rows)
 
 
-@pytest.mark.parametrize("values", [[], [7], [1, 2], [4, 1, 3, 2], [5] * 9 + [1], list(range(1000, 0, -1))])
+@pytest.mark.parametrize("values", [[], [7], [1, 2], [4, 1, 3, 2], [5] * 9 + [1], list(range(1000, 0, -1)), [*range(3000), 10**15], [-(10**15)] * 70 + list(range(30))])
 def test_percentile_places(spark, values):
-    df = spark.createDataFrame([(v,) for v in values], "x long")
+    df = spark.createDataFrame([(v,) for v in values], "x long").repartition(3)
     s = sorted(values)
-    want = tuple(s[int(len(s) * p)] if s else 0 for p in (0.5, 0.95))
-    assert tuple(A.percentile_at(df, "x", {"p50": 0.5, "p95": 0.95}, groups=8).first()) == want
+    want = tuple(s[int(len(s) * p)] if s else 0 for p in (0.5, 0.95, 0.0))
+    for accuracy in (10_000, 50):
+        assert tuple(A.percentile_at(df, "x", {"p50": 0.5, "p95": 0.95, "p0": 0.0}, accuracy).first()) == want
 
 
 def test_sparkline(spark):
@@ -127,10 +135,15 @@ def test_conversation_parts(spark):
     assert rows[1].only_tool_results and rows[2].parts[0].text == "plain" and len(rows) == 3
 
 
-def test_dedup(spark):
+def test_the_first_to_arrive_stays(spark):
     df = events_of(spark, entry("user"), entry("user")).unionByName(events_of(spark, entry("user"), path="b.jsonl"))
-    both = df.unionByName(df)
-    assert S.deduplicated(both).count() == 3 and S.deduplicated(both, key="session").count() == 2
+    later = df.withColumn("observed_at", F.col("observed_at") + F.expr("INTERVAL 1 HOUR")).withColumn("summary", F.lit("later"))
+    both = later.unionByName(df)
+    for key, n in (("file", 3), ("session", 2)):
+        rows = S.deduplicated(both, key=key).collect()
+        assert len(rows) == n and all(r.summary != "later" for r in rows)
+    with pytest.raises(ValueError):
+        S.deduplicated(df, key="line")
 
 
 def test_sidecar(spark):
@@ -149,3 +162,17 @@ def test_matched_tool_calls(spark):
     df = events_of(spark, entry("assistant", message=use), entry("user", message={"content": [{"type": "tool_result", "tool_use_id": "1"}]}))
     got = {r.tool: r.result_seq and r.result_seq.line_index for r in A.matched_tool_calls(df).collect()}
     assert got == {"N": 1, "M": None}
+    top = events_of(spark, entry("assistant", message=use), entry("tool_result", tool_use_id="2"), entry("tool_result", tool_use_id="2"), entry("tool_result", "b", tool_use_id="1"))
+    assert {r.tool: r.result_seq and r.result_seq.line_index for r in A.matched_tool_calls(top).collect()} == {"N": None, "M": 1}
+
+
+def test_bookmarks_turned_over(spark):
+    ids = lambda *x: B.bookmarks_table(spark, x)
+    assert sorted(r.session_id for r in B.toggled_rows(ids("a", "b"), ids("b", "c")).collect()) == ["a", "c"]
+
+
+def test_drawing_heights_and_counts(spark):
+    rows = spark.createDataFrame([("a", 2), ("a", 4), ("b", 0)], "s string, n long")
+    assert sorted((r.s, r.height) for r in A.scaled(rows, partition="s").collect()) == [("a", 0.5), ("a", 1.0), ("b", 0.0)]
+    assert sorted(r.height for r in A.scaled(rows).collect()) == [0.0, 0.5, 1.0]
+    assert spark.range(1).select(format_count(F.lit(1234567))).first()[0] == "1,234,567"
