@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +70,11 @@ def stream_text(rows: DataFrame, fmt: str) -> Iterator[str]:
         first = False
 
 
+def previews(rows: DataFrame, n: int = PREVIEW_CHARACTERS) -> DataFrame:
+    """The first n characters of each session's export."""
+    return rows.select("session_id", F.left("line", F.lit(n)).alias("preview"))
+
+
 def preview_text(rows: DataFrame, fmt: str, n: int = PREVIEW_CHARACTERS) -> str:
     """The first n characters; later partitions are not computed."""
     out = ""
@@ -86,36 +91,61 @@ def write_file(rows: DataFrame, fmt: str, path: str) -> None:
         out.writelines(stream_text(rows, fmt))
 
 
-def _write_small(spark: SparkSession, path: str, text: str) -> None:
-    """A small file in whatever store the path names."""
+def _write_small(spark: SparkSession, path: str, pieces: Iterable[str]) -> None:
+    """One file, written by the driver, in whatever store the path names."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
     try:
-        out.write(bytearray(text.encode()))
+        for piece in pieces:
+            out.write(bytearray(piece.encode()))
     finally:
         out.close()
 
 
-def write_dataset(events: DataFrame, facts: DataFrame, path: str, max_events: int | None = SESSION_RING) -> None:
-    """A dataset folder: train.jsonl (a folder of part files), dataset_info.json and a README.md card."""
+def dataset_numbers(facts: DataFrame) -> DataFrame:
+    """One row of what a dataset holds."""
+    return facts.agg(F.count(F.lit(1)).alias("num_examples"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("event_count", "input_tokens", "output_tokens", "cost_usd")))
+
+
+def write_dataset(events: DataFrame, facts: DataFrame, path: str, max_events: int | None = SESSION_RING, one_file: bool = False) -> None:
+    """A dataset folder: train.jsonl, dataset_info.json and a README.md card.
+
+    train.jsonl is a folder of part files that tasks write in parallel; with `one_file` it is a single
+    file, through which the driver passes the records one partition at a time.
+    """
     spark = facts.sparkSession
-    write_folder(exported(events, facts, "huggingface", max_events), f"{path}/train.jsonl")
-    t = facts.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("event_count", "input_tokens", "output_tokens", "cost_usd"))).first()
+    rows = exported(events, facts, "huggingface", max_events)
+    if one_file:
+        _write_small(spark, f"{path}/train.jsonl", stream_text(rows, "huggingface"))
+    else:
+        write_folder(rows, f"{path}/train.jsonl")
+    t = dataset_numbers(facts).first()
     info = {
         "description": "Coding-agent sessions, one record each: `messages` holds user and assistant messages whose `content` is a string or a list of content blocks.",
         "citation": "",
         "license": "user-defined",
-        "splits": {"train": {"name": "train", "num_examples": t["n"]}},
+        "splits": {"train": {"name": "train", "num_examples": t["num_examples"]}},
     }
-    _write_small(spark, f"{path}/dataset_info.json", json.dumps(info, indent=2))
-    card = "\n".join(
+    _write_small(spark, f"{path}/dataset_info.json", [json.dumps(info, indent=2)])
+    files = "train.jsonl" if one_file else "train.jsonl/*"
+    # The keys and task names of the front matter.
+    front = {"license": "other", "task_categories": ["conversational", "text-generation"], "pretty_name": "Work logs of coding agents"}
+    told = [
+        ("training records", f"{t['num_examples']:,}"),
+        ("log events behind them", f"{t['event_count']:,}"),
+        ("tokens read by the model", f"{t['input_tokens']:,}"),
+        ("tokens written by the model", f"{t['output_tokens']:,}"),
+        ("what that cost, at list prices", f"${t['cost_usd']:.2f}"),
+    ]
+    card = "".join(
         [
-            "---", "license: other", "task_categories:", "  - conversational", "  - text-generation", "pretty_name: Coding-agent sessions", "---", "",
-            "# Coding-agent sessions", "",
-            f"- Sessions: **{t['n']}**", f"- Events: **{t['event_count']}**", f"- Input tokens: **{t['input_tokens']}**", f"- Output tokens: **{t['output_tokens']}**", f"- Estimated cost: **${t['cost_usd']:.2f}**", "",
-            "Each line of `train.jsonl` is a session: `session_id`, `model`, `cwd`, `git_branch`, `version`, `title`, `messages`, `metadata`.", "",
-            "```python", "from datasets import load_dataset", 'load_dataset("json", data_files="train.jsonl/*")', "```", "",
+            "---\n",
+            *(f"{k}: {v}\n" if isinstance(v, str) else f"{k}:\n" + "".join(f"  - {x}\n" for x in v) for k, v in front.items()),
+            "---\n\n# What agents said and did\n\n| in this folder | |\n| --- | --- |\n",
+            *(f"| {name} | {n} |\n" for name, n in told),
+            "\nOne session is one JSON record: who spoke (`messages`), where and with what (`cwd`, `git_branch`, `version`, `model`), its `title`, and counts in `metadata`.\n",
+            f'\n    datasets.load_dataset("json", data_files="{files}")\n',
         ]
-    )
-    _write_small(spark, f"{path}/README.md", card)
+    )
+    _write_small(spark, f"{path}/README.md", [card])

@@ -10,15 +10,21 @@ from sessionmill.exports.write import BETWEEN_TRANSCRIPTS, export_filename, expo
 from sessionmill.operators import sessions as S
 
 
-def wrap(kind, payload, **more):
-    return {"type": kind, "sessionId": "sid", "message": payload, **more}
+SID = "hedge/7 é"
 
 
-TRIO = [
-    wrap("user", {"content": "hello"}, cwd="/tmp/proj", gitBranch="main"),
-    wrap("assistant", {"model": "opus", "content": [{"type": "text", "text": "hi"}, {"type": "tool_use", "id": "t1", "name": "Read", "input": {"path": "/x"}}], "usage": {"input_tokens": 100, "output_tokens": 50}}, timestamp="2024-01-01T00:00:00Z"),
-    wrap("user", {"content": [{"type": "tool_result", "tool_use_id": "t1", "content": "ok"}]}),
-    {"type": "ai-title", "sessionId": "sid", "aiTitle": "Test session"},
+def turn(kind, said, **more):
+    return {"type": kind, "sessionId": SID, "message": said, **more}
+
+
+ASKED = "When do I cut the hedge?"
+CALL = {"type": "tool_use", "id": "c-1", "name": "calendar", "input": {"crop": "box", "zone": 8}}
+GARDEN = [
+    {"type": "ai-title", "sessionId": SID, "aiTitle": "Hedge care"},
+    turn("user", {"content": ASKED}, cwd="/home/g/garden", version="2.1"),
+    turn("assistant", {"model": "haiku-mini", "content": [CALL, {"type": "text", "text": "A moment."}], "usage": {"input_tokens": 64, "output_tokens": 12, "cache_read_input_tokens": 1000}}, timestamp="2025-06-01T08:30:00Z"),
+    turn("user", {"content": [{"type": "tool_result", "tool_use_id": "c-1", "content": {"months": [6, 9]}}, {"type": "text", "text": "and then?"}]}),
+    turn("assistant", {"model": "haiku-mini", "content": "In June, again in September."}, gitBranch="wip"),
 ]
 
 
@@ -28,86 +34,105 @@ def lines(spark, entries, fmt, **options):
 
 
 def test_messages(spark):
-    (line,) = lines(spark, TRIO, "messages")
+    (line,) = lines(spark, GARDEN, "messages")
     r = json.loads(line)
     assert list(r) == sorted(r)
-    assert [m["role"] for m in r["messages"]] == ["user", "assistant", "user"]
-    assert r["messages"][1]["content"] == TRIO[1]["message"]["content"] and r["messages"][1]["usage"] == {"input": 100, "output": 50, "cache_read": 0, "cache_creation": 0}
-    assert set(r["messages"][0]) == {"role", "content", "timestamp"} and r["messages"][0]["timestamp"] is None
-    assert r["title"] == "Test session" and r["version"] is None and r["metadata"]["event_count"] == 4 and r["metadata"]["tool_counts"] == {"Read": 1}
-    assert set(r["metadata"]) == {"input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "cost_usd", "first_seen", "last_seen", "event_count", "user_count", "assistant_count", "tool_use_count", "tool_result_count", "tool_counts"}
+    assert [(m["role"], m["content"]) for m in r["messages"]] == [(e["type"], e["message"]["content"]) for e in GARDEN[1:]]
+    first, call, _, last = r["messages"]
+    assert set(first) == {"role", "content", "timestamp"} and first["timestamp"] is None
+    assert set(call) == {"role", "content", "timestamp", "model", "usage"} and call["timestamp"] == "2025-06-01T08:30:00Z" and call["model"] == "haiku-mini"
+    assert call["usage"] == {"input": 64, "output": 12, "cache_read": 1000, "cache_creation": 0} and last["usage"] is None
+    assert {k: r[k] for k in ("session_id", "title", "cwd", "version", "git_branch", "model")} == {"session_id": SID, "title": "Hedge care", "cwd": "/home/g/garden", "version": "2.1", "git_branch": "wip", "model": "haiku-mini"}
+    counts = {"input_tokens": 64, "output_tokens": 12, "cache_read_tokens": 1000, "cache_creation_tokens": 0, "event_count": 5, "user_count": 2, "assistant_count": 2, "tool_use_count": 1, "tool_result_count": 1, "tool_counts": {"calendar": 1}}
+    assert {k: v for k, v in r["metadata"].items() if k in counts} == counts
+    assert set(r["metadata"]) == {*counts, "cost_usd", "first_seen", "last_seen"} and r["metadata"]["cost_usd"] == pytest.approx((64 + 12 * 5 + 100) / 1e6)
 
 
 def test_openai(spark):
-    mixed = [{"type": "text", "text": "a"}, {"type": "tool_result", "tool_use_id": "1", "content": [1]}, {"type": "tool_result", "content": None}, {"type": "tool_result"}, {"type": "text", "text": "b"}, {"type": "image"}]
-    more = [wrap("user", {"content": mixed}), wrap("assistant", {"content": None}), {"type": "assistant", "sessionId": "sid", "content": "top"}, wrap("user", {"content": 5}), wrap("assistant", {"content": [{"type": "tool_use"}, {"type": "thinking", "thinking": "x"}]})]
-    (line,) = lines(spark, TRIO + more, "openai")
+    odd = [{"type": "tool_result", "tool_use_id": "c-2", "content": [1, {"b": None}]}, {"type": "text", "text": "one"}, {"type": "tool_result", "content": None}, {"type": "tool_result"}, {"type": "picture"}, {"type": "text", "text": "two"}]
+    more = [turn("user", {"content": odd}), turn("assistant", {"content": None}), {"type": "assistant", "sessionId": SID, "content": "from the top"}, turn("user", {"content": 3.5}), turn("assistant", {"content": [{"type": "thinking", "thinking": "hm"}, {"type": "tool_use"}]})]
+    (line,) = lines(spark, GARDEN + more, "openai")
     got = json.loads(line)["messages"]
-    assert got[0] == {"role": "user", "content": "hello"}
-    assert got[1] == {"role": "assistant", "content": "hi", "model": "opus", "tool_calls": [{"id": "t1", "type": "function", "function": {"name": "Read", "arguments": '{"path":"/x"}'}}]}
-    assert got[2] == {"role": "tool", "tool_call_id": "t1", "content": "ok"}
-    assert got[3:7] == [{"role": "tool", "tool_call_id": i, "content": c} for i, c in (("1", "[1]"), ("", "null"), ("", ""))] + [{"role": "user", "content": "a\nb"}]
-    assert got[7] == {"role": "assistant", "content": None}
-    assert got[8] == {"role": "assistant", "content": None, "tool_calls": [{"id": "", "type": "function", "function": {"name": "", "arguments": "{}"}}]} and len(got) == 9
+    call = {"id": "c-1", "type": "function", "function": {"name": "calendar", "arguments": '{"crop":"box","zone":8}'}}
+    assert got[:5] == [
+        {"role": "user", "content": ASKED},
+        {"role": "assistant", "content": "A moment.", "model": "haiku-mini", "tool_calls": [call]},
+        {"role": "tool", "tool_call_id": "c-1", "content": '{"months":[6,9]}'},
+        {"role": "user", "content": "and then?"},
+        {"role": "assistant", "content": "In June, again in September.", "model": "haiku-mini"},
+    ]
+    assert got[5:9] == [{"role": "tool", "tool_call_id": i, "content": c} for i, c in (("c-2", '[1,{"b":null}]'), ("", "null"), ("", ""))] + [{"role": "user", "content": "one\ntwo"}]
+    # Content at the top of an entry, and content that is no text, say nothing in this format.
+    nameless = {"id": "", "type": "function", "function": {"name": "", "arguments": "{}"}}
+    assert got[9:] == [{"role": "assistant", "content": None}, {"role": "assistant", "content": None, "tool_calls": [nameless]}]
 
 
 def test_sharegpt(spark):
-    empty = [{"type": "tool_result"}, {"type": "tool_result"}]
-    more = [wrap("user", {"content": empty}), {"type": "assistant", "sessionId": "sid", "content": "top"}, wrap("user", {"content": ""})]
-    (line,) = lines(spark, TRIO + more, "sharegpt")
+    more = [turn("user", {"content": [{"type": "tool_result"}, {"type": "tool_result"}, {"type": "tool_result", "content": "x"}]}), {"type": "assistant", "sessionId": SID, "content": "from the top"}, turn("user", {"content": ""})]
+    (line,) = lines(spark, GARDEN + more, "sharegpt")
     r = json.loads(line)
-    assert r["id"] == "sid"
-    assert [(t["from"], t["value"]) for t in r["conversations"]] == [("human", "hello"), ("gpt", "hi"), ("function_call", '{"arguments":{"path":"/x"},"name":"Read"}'), ("tool", "ok"), ("tool", "\n"), ("gpt", "top")]
+    said = [(t["from"], t["value"]) for t in r["conversations"]]
+    assert r["id"] == SID and sorted(said[1:3]) == [("function_call", '{"arguments":{"crop":"box","zone":8},"name":"calendar"}'), ("gpt", "A moment.")]
+    assert said[0] == ("human", ASKED) and sorted(said[3:5]) == [("human", "and then?"), ("tool", '{"months":[6,9]}')]
+    assert said[5:] == [("gpt", "In June, again in September."), ("tool", "\n\nx"), ("gpt", "from the top")]
 
 
 def test_raw(spark):
-    got = lines(spark, TRIO, "jsonl")
-    assert [json.loads(x) for x in got] == TRIO
-    assert lines(spark, TRIO, "jsonl", max_events=1) == got[-1:]
+    assert [json.loads(x) for x in lines(spark, GARDEN, "jsonl")] == GARDEN
+    assert [json.loads(x) for x in lines(spark, GARDEN, "jsonl", max_events=2)] == GARDEN[-2:]
 
 
 def test_markdown(spark):
-    blocks = [{"type": "thinking", "text": "hm"}, {"type": "tool_use", "name": "N", "input": {"k": [1, "é"]}}, {"type": "tool_result", "tool_use_id": "r", "content": {"a": 1}}, {"type": "other"}]
-    (text,) = lines(spark, [*TRIO, wrap("assistant", {"content": blocks}), {"type": "summary", "sessionId": "sid", "summary": "S"}, {"type": "system", "sessionId": "sid"}], "markdown")
-    head = "# Test session\n\n- **ID:** `sid`\n- **Model:** opus\n- **CWD:** `/tmp/proj`\n- **Branch:** `main`\n- **Events:** 7 · **Cost (est.):** $0.0053 · **Tokens out:** 50\n\n"
-    assert text.startswith(head + "## 👤 User\n\nhello\n\n## 🤖 Assistant\n*2024-01-01T00:00:00Z*\n\nhi\n\n**🔧 Tool: `Read`**\n\n```json\n{\n  \"path\": \"/x\"\n}\n```\n\n\n## 👤 User\n\n**📦 Tool result** (`t1`)\n\n```\nok\n```\n\n\n")
-    assert '<details><summary>💭 Thinking</summary>\n\n```\nhm\n```\n\n</details>\n**🔧 Tool: `N`**\n\n```json\n{\n  "k": [\n    1,\n    "é"\n  ]\n}\n```\n\n**📦 Tool result** (`r`)\n\n```\n{\n  "a": 1\n}\n```\n\n' in text
-    assert text.endswith("> **Summary:** S\n\n")
+    odd = [{"type": "thinking", "text": "wet soil"}, {"type": "tool_use", "name": "hose", "input": {"minutes": [10, 20], "où": "là"}}, {"type": "tool_result", "tool_use_id": "c-9", "content": "done"}, {"type": "sketch"}]
+    (text,) = lines(spark, [*GARDEN, turn("assistant", {"content": odd}), {"type": "summary", "sessionId": SID, "summary": "Cut twice"}, {"type": "system", "sessionId": SID}], "markdown")
+    head, *parts = text.split("## ")
+    assert head == f"# Hedge care\n\n- **ID:** `{SID}`\n- **Model:** haiku-mini\n- **CWD:** `/home/g/garden`\n- **Branch:** `wip`\n- **Events:** 8 · **Cost (est.):** $0.0002 · **Tokens out:** 12\n\n"
+    assert [p.split("\n")[0] for p in parts] == ["👤 User", "🤖 Assistant", "👤 User", "🤖 Assistant", "🤖 Assistant"]
+    assert parts[0] == f"👤 User\n\n{ASKED}\n\n"
+    call = '**🔧 Tool: `calendar`**\n\n```json\n{\n  "crop": "box",\n  "zone": 8\n}\n```\n'
+    assert parts[1].startswith("🤖 Assistant\n*2025-06-01T08:30:00Z*\n\n") and call in parts[1] and "\nA moment.\n" in parts[1]
+    assert '**📦 Tool result** (`c-1`)\n\n```\n{\n  "months": [\n    6,\n    9\n  ]\n}\n```\n' in parts[2] and "and then?\n" in parts[2]
+    for piece in ("<details><summary>💭 Thinking</summary>\n\n```\nwet soil\n```\n\n</details>\n", '```json\n{\n  "minutes": [\n    10,\n    20\n  ],\n  "où": "là"\n}\n```\n', "**📦 Tool result** (`c-9`)\n\n```\ndone\n```\n"):
+        assert piece in parts[4]
+    assert text.endswith("> **Summary:** Cut twice\n\n") and "sketch" not in text
 
 
 def test_several_sessions(spark):
-    two = [*TRIO, {"type": "user", "sessionId": "b", "content": "x"}]
+    two = [*GARDEN, {"type": "user", "sessionId": "b", "content": "x"}]
     assert len(lines(spark, two, "messages")) == 2
     events = events_of(spark, *two)
     rows = exported(events, S.sessions(events), "markdown")
     text = "".join(stream_text(rows, "markdown"))
-    assert text.count(BETWEEN_TRANSCRIPTS) == 1 and text.startswith("# Session b")
+    assert text.count(BETWEEN_TRANSCRIPTS) == 1 and text.startswith("# Session b\n")
     assert preview_text(rows, "markdown", 10) == text[:10]
     with pytest.raises(ValueError):
         exported(events, S.sessions(events), "pdf")
 
 
-def test_dataset(spark, tmp_path):
-    events = events_of(spark, *TRIO)
-    write_dataset(events, S.sessions(events), f"{tmp_path}/d")
+@pytest.mark.parametrize("one_file", [False, True])
+def test_dataset(spark, tmp_path, one_file):
+    events = events_of(spark, *GARDEN, {"type": "user", "sessionId": "b", "content": "x"})
+    write_dataset(events, S.sessions(events), f"{tmp_path}/d", one_file=one_file)
     assert sorted(x for x in os.listdir(f"{tmp_path}/d") if x[0] != ".") == ["README.md", "dataset_info.json", "train.jsonl"]
-    assert json.load(open(f"{tmp_path}/d/dataset_info.json"))["splits"]["train"]["num_examples"] == 1
-    assert "- Events: **4**" in open(f"{tmp_path}/d/README.md").read()
-    assert json.loads(spark.read.text(f"{tmp_path}/d/train.jsonl").first().value)["session_id"] == "sid"
+    assert os.path.isfile(f"{tmp_path}/d/train.jsonl") == one_file
+    assert json.load(open(f"{tmp_path}/d/dataset_info.json"))["splits"]["train"]["num_examples"] == 2
+    card = open(f"{tmp_path}/d/README.md").read()
+    assert card.startswith("---\nlicense: other\ntask_categories:\n  - conversational\n") and "| training records | 2 |" in card and "| log events behind them | 6 |" in card
+    assert {json.loads(r.value)["session_id"] for r in spark.read.text(f"{tmp_path}/d/train.jsonl").collect()} == {SID, "b"}
 
 
 def test_command_line(spark, tmp_path, capsys):
     os.makedirs(f"{tmp_path}/logs")
     with open(f"{tmp_path}/logs/s.jsonl", "w") as f:
-        f.writelines(json.dumps(x) + "\n" for x in TRIO)
+        f.writelines(json.dumps(x) + "\n" for x in GARDEN)
     root = ["-w", f"{tmp_path}/logs"]
     assert main(["list", *root]) == 0
-    assert json.loads(capsys.readouterr().out)[0]["session_id"] == "sid"
+    assert json.loads(capsys.readouterr().out)[0]["session_id"] == SID
     assert main(["export", *root, "-f", "jsonl", "-o", f"{tmp_path}/new/out.jsonl"]) == 0
-    assert [json.loads(x) for x in open(f"{tmp_path}/new/out.jsonl")] == TRIO
+    assert [json.loads(x) for x in open(f"{tmp_path}/new/out.jsonl")] == GARDEN
     assert main(["export", *root, "-s", "nobody"]) == 1 and main(["export", *root, "-f", "huggingface"]) == 2
 
 
 def test_file_names():
-    assert export_filename("markdown", "a b/ü_1") == "a-b-ü_1.md"
-    assert export_filename("openai", now=datetime(2024, 1, 2, 3, 4, 5)) == "sessions-20240102T030405.jsonl"
+    assert export_filename("markdown", SID) == "hedge-7-é.md" and export_filename("sharegpt", "_x-Y.z") == "_x-Y-z.jsonl"
+    assert export_filename("openai", now=datetime(2025, 11, 30, 23, 59, 1)) == "sessions-20251130T235901.jsonl"
