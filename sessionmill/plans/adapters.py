@@ -23,15 +23,18 @@ def conversation_lines(conversations: DataFrame) -> DataFrame:
     return conversations.select(F.lit("conversations").alias("source_path"), F.lit("conversations").alias("fallback_id"), c("turn").alias("line_index"), F.to_json(line).alias("raw"), at.alias("observed_at"))
 
 
-def event_lines(events: DataFrame) -> DataFrame:
-    """A user's clicks as user messages, views as assistant messages that use a tool, purchases as top-level tool uses, errors as tool results, sign-ups as system events."""
+def event_lines(events: DataFrame, call: str = "event_id") -> DataFrame:
+    """A user's clicks as user messages, views as assistant messages that use a tool, purchases as top-level tool uses, errors as tool results, sign-ups as system events.
+
+    `call`: what the ids of tool uses and results are made of, event_id or k (a number in props, by which results can meet uses).
+    """
     c = F.col
     k = F.get_json_object("props", "$.k").cast("long")
     rows = events.withColumn("k", k).withColumn("n", F.concat(F.lit("tool"), F.pmod("k", F.lit(12)).cast("string")))
     kind = F.create_map(*(F.lit(x) for x in ("click", "user", "view", "assistant", "purchase", "tool_use", "error", "tool_result", "signup", "system")))
     event_type = F.try_element_at(kind, c("event_type"))
     text = F.concat(F.lit("event "), c("event_id").cast("string"))
-    use = F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), c("n").alias("name"), F.concat(F.lit("t"), c("event_id").cast("string")).alias("id"))
+    use = F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), c("n").alias("name"), F.concat(F.lit("t"), c(call).cast("string")).alias("id"))
     said = F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("id"))
     model = F.element_at(F.array(*(F.lit(m) for m in MODELS)), (F.pmod(c("event_id"), F.lit(4)) + 1).cast("int"))
     usage = F.struct(c("k").alias("input_tokens"), (c("k") * 2).alias("output_tokens"), F.pmod("k", F.lit(5)).alias("cache_read_input_tokens"), F.pmod("k", F.lit(3)).alias("cache_creation_input_tokens"))
@@ -45,7 +48,7 @@ def event_lines(events: DataFrame) -> DataFrame:
         F.when(F.pmod("event_id", F.lit(5)) == 0, F.concat(F.lit("b"), F.pmod("k", F.lit(3)).cast("string"))).alias("gitBranch"),
         F.when(F.pmod("event_id", F.lit(3)) != 0, c("value")).alias("costUSD"),
         F.when(c("event_type") == "purchase", c("n")).alias("name"),
-        F.when(c("event_type") == "error", F.concat(F.lit("t"), c("event_id").cast("string"))).alias("tool_use_id"),
+        F.when(c("event_type") == "error", F.concat(F.lit("t"), c(call).cast("string"))).alias("tool_use_id"),
         F.when(c("event_type") == "click", user).when(c("event_type") == "view", assistant).alias("message"),
     )
     rows = rows.select(F.lit("events").alias("source_path"), F.lit("events").alias("fallback_id"), c("event_id").alias("line_index"), F.to_json(line).alias("raw"), c("ts").cast("timestamp").alias("observed_at"))
@@ -62,8 +65,8 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enriched(event_lines(spread(spark.read.parquet(f"{sf_dir}/events.parquet"))))
+def events_table(spark: SparkSession, sf_dir: str, call: str = "event_id") -> DataFrame:
+    return enriched(event_lines(spread(spark.read.parquet(f"{sf_dir}/events.parquet")), call))
 
 
 def conversations_table(spark: SparkSession, sf_dir: str) -> DataFrame:

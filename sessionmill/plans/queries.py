@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionmill.exports.write import exported
+from sessionmill.exports.write import dataset_numbers, exported, previews
 from sessionmill.functions.pricing import estimated_cost
-from sessionmill.functions.text import format_cost, format_latency, how_long_ago, is_live, preview, project_name, short_filename, short_id
+from sessionmill.functions.text import format_cost, format_count, format_latency, how_long_ago, is_live, preview, project_name, short_filename, short_id
 from sessionmill.operators import analytics as A
 from sessionmill.operators import search as Q
 from sessionmill.operators import sessions as S
@@ -331,28 +331,83 @@ def project_groups(spark, sf_dir):
     return groups.select("cwd", "session_count", millis("last_seen").alias("last_ms"), "project")
 
 
-@query("dedup_events", EV + "SELECT session_id, line_index FROM ec")
+def _overlapping(rows: DataFrame) -> DataFrame:
+    """A snapshot, and a live stream that brings every second event again, later and with another summary."""
+    again = rows.where("line_index % 2 = 0").withColumn("observed_at", F.col("observed_at") + F.expr("INTERVAL 1 DAY")).withColumn("summary", F.lit("again"))
+    return again.unionByName(rows)
+
+
+@query("dedup_events", EV + "SELECT session_id, line_index, ms, CASE event_type WHEN 'user' THEN '👤 event ' || line_index WHEN 'assistant' THEN '🤖 event ' || line_index || ' · 🔧 ' || tool WHEN 'tool_use' THEN '🔧 ' || tool WHEN 'tool_result' THEN '📦 Tool result: t' || line_index ELSE '⚙️  System: ' END AS summary FROM ec")
 def dedup_events(spark, sf_dir):
-    """A snapshot and a stream that overlap: the union holds each event once."""
-    rows = events_table(spark, sf_dir)
-    return S.deduplicated(rows.unionByName(rows)).select("session_id", "line_index")
+    return S.deduplicated(_overlapping(events_table(spark, sf_dir))).select("session_id", "line_index", millis("observed_at").alias("ms"), "summary")
 
 
-@query("dedup_by_session_line", CV + "SELECT session_id, line_index FROM cv")
+@query("dedup_by_session_line", CV + "SELECT session_id, line_index, ms, true AS first_stays FROM cv")
 def dedup_by_session_line(spark, sf_dir):
-    rows = conversations_table(spark, sf_dir)
-    return S.deduplicated(rows.unionByName(rows), key="session").select("session_id", "line_index")
+    rows = S.deduplicated(_overlapping(conversations_table(spark, sf_dir)), key="session")
+    return rows.select("session_id", "line_index", millis("observed_at").alias("ms"), (F.col("summary") != "again").alias("first_stays"))
 
 
-@query("bookmarked_first", EV + "SELECT session_id, user_id % 5 = 0 AS bookmarked, CASE WHEN user_id % 3 = 0 THEN 'a,b' ELSE '' END AS tags, row_number() OVER (ORDER BY user_id % 5 = 0 DESC, last_ms DESC, session_id) AS place FROM facts QUALIFY place <= 50")
-def bookmarked_first(spark, sf_dir):
+def _sidecar(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Session facts, bookmarks of every fifth user, and tags of every third."""
     facts = S.session_facts(events_table(spark, sf_dir))
     users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().withColumn("session_id", F.concat(F.lit("u"), F.col("user_id").cast("string")))
     bookmarks = users.where("user_id % 5 = 0").select("session_id")
-    tags = users.where("user_id % 3 = 0").select("session_id", B.add_tags(F.array(F.lit("a")), F.array(F.lit("b"), F.lit("a"))).alias("tags"))
-    rows = B.bookmarked_first(B.with_sidecar(facts, bookmarks, tags)).limit(50)
-    place = F.row_number().over(Window.partitionBy().orderBy(F.desc("bookmarked"), F.desc("last_seen"), "session_id")).cast("long")  # of the 50 rows
-    return rows.select("session_id", "bookmarked", F.array_join("tags", ",").alias("tags"), place.alias("place"))
+    tags = users.where("user_id % 3 = 0").select("session_id", "user_id", B.add_tags(F.array(F.lit("a")), F.array(F.lit("b"), F.lit("a"))).alias("tags"))
+    return facts, bookmarks, tags
+
+
+@query("bookmarked_first", EV + "SELECT session_id, user_id % 5 = 0 AS bookmarked, CASE WHEN user_id % 3 = 0 THEN 'a,b' ELSE '' END AS tags, last_ms FROM facts")
+def bookmarked_first(spark, sf_dir):
+    facts, bookmarks, tags = _sidecar(spark, sf_dir)
+    rows = B.bookmarked_first(B.with_sidecar(facts, bookmarks, tags.drop("user_id")))
+    return rows.select("session_id", "bookmarked", F.array_join("tags", ",").alias("tags"), millis("last_seen").alias("last_ms"))
+
+
+@query("bookmarked_only", EV + "SELECT session_id FROM facts WHERE user_id % 5 = 0 AND contains(lower(concat_ws(' ', session_id, cwd, git_branch, CASE WHEN user_id % 3 = 0 THEN 'a b' END)), 'a b')")
+def bookmarked_only(spark, sf_dir):
+    facts, bookmarks, tags = _sidecar(spark, sf_dir)
+    return Q.search_sessions(B.with_sidecar(facts, bookmarks, tags.drop("user_id")), "A B", bookmarked_only=True).select("session_id")
+
+
+@query("tags_removed", EV + "SELECT session_id, CASE WHEN user_id % 2 = 0 THEN 'b' ELSE 'a,b' END AS tags, user_id % 2 = 1 AS none_left FROM facts WHERE user_id % 3 = 0")
+def tags_removed(spark, sf_dir):
+    """The tag a is taken from even users; and both tags from odd ones, of which nothing is left."""
+    _, _, tags = _sidecar(spark, sf_dir)
+    kept = F.when(F.col("user_id") % 2 == 0, B.remove_tag(F.col("tags"), "a")).otherwise(F.col("tags"))
+    gone = F.when(F.col("user_id") % 2 == 1, B.remove_tag(B.remove_tag(F.col("tags"), "a"), "b")).otherwise(F.col("tags"))
+    return tags.select("session_id", F.array_join(kept, ",").alias("tags"), gone.isNull().alias("none_left"))
+
+
+@query("bookmarks_toggled", EV + "SELECT session_id FROM facts WHERE (user_id % 5 = 0) <> (user_id % 2 = 0)")
+def bookmarks_toggled(spark, sf_dir):
+    """Bookmarks after every even user's was turned over."""
+    _, bookmarks, _ = _sidecar(spark, sf_dir)
+    even = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 2 = 0").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"))
+    return B.toggled_rows(bookmarks, even)
+
+
+@query("dataset_totals", CV + "SELECT count(DISTINCT session_id) AS num_examples, count(*) AS event_count, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, CAST(round(sum(cost_usd) * 1e9) AS BIGINT) AS cost_nanos FROM cc")
+def dataset_totals(spark, sf_dir):
+    totals = dataset_numbers(S.session_facts(conversations_table(spark, sf_dir)))
+    return totals.withColumn("cost_nanos", nano("cost_usd")).drop("cost_usd")
+
+
+@query("export_previews", CV + ", l AS (SELECT conv_id, '# Session ' || session_id || chr(10) || chr(10) || '- **ID:** `' || session_id || '`' || chr(10) AS head FROM cv GROUP BY ALL) SELECT 'conv-' || conv_id AS session_id, left(head, 20) AS preview FROM l")
+def export_previews(spark, sf_dir):
+    return previews(_export(spark, sf_dir, "markdown"), 20)
+
+
+@query("scaled_sparkline", EV + """, c AS (SELECT session_id, least(23, CAST(floor(CAST(ms - first_ms AS DOUBLE) / greatest(last_ms - first_ms, 1) * 24) AS INTEGER)) AS bin FROM ec JOIN facts USING (session_id)),
+    n AS (SELECT session_id, bin, count(*) AS n FROM c WHERE bin >= 0 GROUP BY ALL), e AS (SELECT session_id, CAST(unnest(range(24)) AS INTEGER) AS bin FROM facts), s AS (SELECT session_id, bin, coalesce(n, 0) AS n FROM e LEFT JOIN n USING (session_id, bin))
+    SELECT session_id, bin, n, n / CAST(greatest(max(n) OVER (PARTITION BY session_id), 1) AS DOUBLE) AS height FROM s""")
+def scaled_sparkline(spark, sf_dir):
+    return A.scaled(A.sparkline(events_table(spark, sf_dir)), partition="session_id")
+
+
+@query("formatted_counts", EV + "SELECT session_id, format('{:,}', output_tokens * 1000 + event_count) AS tokens FROM facts")
+def formatted_counts(spark, sf_dir):
+    return S.session_facts(events_table(spark, sf_dir)).select("session_id", format_count(F.col("output_tokens") * 1000 + F.col("event_count")).alias("tokens"))
 
 
 @query("display_formats", EV + f"""SELECT session_id, printf('$%.4f', cost_usd) AS cost, CASE WHEN cwd IS NULL THEN '(unknown project)' ELSE string_split(cwd, '/')[-1] END AS project, session_id AS file, session_id AS short,
@@ -374,9 +429,10 @@ def retained(spark, sf_dir):
     return B.retained(events_table(spark, sf_dir), 4000).select("session_id", "line_index")
 
 
-@query("matched_tool_calls", EV + "SELECT session_id, line_index, tool, CAST(NULL AS BIGINT) AS result_line FROM ec WHERE event_type = 'assistant'")
+@query("matched_tool_calls", EV + """SELECT u.session_id, u.line_index, u.tool, min(r.line_index) AS result_line FROM ec u
+    LEFT JOIN ec r ON r.session_id = u.session_id AND r.k = u.k AND r.event_type = 'tool_result' WHERE u.event_type = 'assistant' GROUP BY ALL""")
 def matched_tool_calls(spark, sf_dir):
-    return A.matched_tool_calls(events_table(spark, sf_dir)).select("session_id", F.col("use_seq.line_index").alias("line_index"), "tool", F.col("result_seq.line_index").alias("result_line"))
+    return A.matched_tool_calls(events_table(spark, sf_dir, call="k")).select("session_id", F.col("use_seq.line_index").alias("line_index"), "tool", F.col("result_seq.line_index").alias("result_line"))
 
 
 def _export(spark, sf_dir: str, fmt: str) -> DataFrame:
@@ -384,27 +440,36 @@ def _export(spark, sf_dir: str, fmt: str) -> DataFrame:
     return exported(events, S.sessions(events), fmt, max_events=None)
 
 
-def _record_query(fmt: str, list_name: str, first: str, sql_first: str, where: str, id_name: str = "session_id"):
+def _record_query(fmt: str, list_name: str, role: str, said: str, told: str, where: str, id_name: str = "session_id"):
+    """Every message of every record in order, as role and text, with the record's other fields."""
+    more = fmt != "sharegpt"
+    fields = {"model": "string", "title": "string", "metadata.event_count": "bigint", "metadata.input_tokens": "bigint", "metadata.output_tokens": "bigint", "metadata.user_count": "bigint"} if more else {"metadata.event_count": "bigint"}
+    own = {"model": "any_value(model)", "title": "CAST(NULL AS VARCHAR)", "event_count": "count(*)", "input_tokens": "CAST(sum(i) AS BIGINT)", "output_tokens": "CAST(sum(o) AS BIGINT)", "user_count": "count(*) FILTER (WHERE event_type = 'user')"}
+    names = [k.rpartition(".")[2] for k in fields]
+
     @query(
         f"export_{fmt}",
-        CV + f""", m AS (SELECT * FROM cv WHERE {where}) SELECT session_id, count(*) AS messages, {sql_first} AS first_text, CAST((SELECT count(*) FROM cv x WHERE x.session_id = m.session_id) AS BIGINT) AS event_count FROM m GROUP BY session_id
-        UNION ALL SELECT session_id, 0, NULL, count(*) FROM cv WHERE session_id NOT IN (SELECT session_id FROM m) GROUP BY session_id""",
+        CV + f""", m AS (SELECT session_id, count(*) AS messages, string_agg({role} || ': ' || text, chr(10) ORDER BY line_index) AS said FROM cv WHERE {where} GROUP BY 1),
+        f AS (SELECT session_id, {", ".join(f"{own[n]} AS {n}" for n in names)} FROM cv GROUP BY 1)
+        SELECT f.*, coalesce(messages, 0) AS messages, coalesce(said, '') AS said FROM f LEFT JOIN m USING (session_id)""",
     )
     def run(spark, sf_dir):
         record = F.parse_json("line")
+        messages = F.variant_get(record, f"$.{list_name}", "array<variant>")
+        text = F.transform(messages, lambda x: F.concat(F.variant_get(x, told, "string"), F.lit(": "), F.try_variant_get(x, said, "string")))
         return _export(spark, sf_dir, fmt).select(
             F.variant_get(record, f"$.{id_name}", "string").alias("session_id"),
-            F.size(F.variant_get(record, f"$.{list_name}", "array<variant>")).cast("long").alias("messages"),
-            F.try_variant_get(record, first, "string").alias("first_text"),
-            F.variant_get(record, "$.metadata.event_count", "bigint").alias("event_count"),
+            F.size(messages).cast("long").alias("messages"),
+            F.array_join(text, "\n").alias("said"),
+            *(F.variant_get(record, f"$.{k}", kind).alias(n) for (k, kind), n in zip(fields.items(), names, strict=True)),
         )
 
     return run
 
 
-_record_query("messages", "messages", "$.messages[0].content[0].text", "arg_min(text, line_index)", "event_type IN ('user', 'assistant')")
-_record_query("openai", "messages", "$.messages[0].content", "arg_min(text, line_index)", "event_type IN ('user', 'assistant')")
-_record_query("sharegpt", "conversations", "$.conversations[0].value", "arg_min(text, line_index)", "event_type IN ('user', 'assistant') AND text <> ''", "id")
+_record_query("messages", "messages", "event_type", "$.content[0].text", "$.role", "event_type IN ('user', 'assistant')")
+_record_query("openai", "messages", "event_type", "$.content", "$.role", "event_type IN ('user', 'assistant')")
+_record_query("sharegpt", "conversations", "CASE event_type WHEN 'user' THEN 'human' ELSE 'gpt' END", "$.value", "$.from", "event_type IN ('user', 'assistant') AND text <> ''", "id")
 
 
 @query("export_jsonl", CV + "SELECT session_id, event_type, text, i AS input_tokens FROM cv")
