@@ -1,7 +1,8 @@
 """A compressed full-text index over short passages of word numbers, in numpy.
 
-The Burrows-Wheeler transform of the passages is kept in a wavelet matrix: one bit vector for each
-bit of a word number, with counts for every 64 bits. Backward search runs for many patterns at once.
+Only the Burrows-Wheeler transform of the passages is kept, in a wavelet matrix: one bit vector for each
+bit of a word number, with a count for every 64 bits. Neither the passages nor their suffix order stay.
+Matching statistics come from backward search for all places of streamed passages at once.
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ class BitVector:
         own = np.packbits(bits, bitorder="little")
         packed[: len(own)] = own
         self.blocks = packed.view(np.uint64)
-        self.before = np.zeros(len(self.blocks), np.int64)
-        np.cumsum(np.bitwise_count(self.blocks[:-1]), out=self.before[1:])
+        self.before = np.zeros(len(self.blocks), np.uint32)
+        np.cumsum(np.bitwise_count(self.blocks[:-1]), out=self.before[1:], dtype=np.uint32)
         self.ones = int(self.before[-1] + np.bitwise_count(self.blocks[-1]))
         self.zeros = n - self.ones
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         block = at >> 6
         below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[block] + np.bitwise_count(self.blocks[block] & below)
+        return self.before[block].astype(np.int64) + np.bitwise_count(self.blocks[block] & below)
 
 
 class WaveletMatrix:
@@ -52,9 +53,7 @@ class FmIndex:
 
     def __init__(self, symbols: np.ndarray, longest: int):
         n = len(symbols)
-        self.symbols = symbols
-        self.order = suffix_order(symbols, longest)
-        transformed = symbols[self.order - 1]
+        transformed = symbols[suffix_order(symbols, longest) - 1]
         self.counts = np.r_[0, np.cumsum(np.bincount(symbols))]  # symbols smaller than each
         bits = max(1, int(symbols.max()).bit_length()) if n else 1
         self.wavelet = WaveletMatrix(transformed, bits)
@@ -66,17 +65,22 @@ class FmIndex:
         base = self.base[symbol]
         return base + self.wavelet.descend(symbol, lo), base + self.wavelet.descend(symbol, hi)
 
-    def search(self, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix ranges of the patterns symbols[s:s+length]; a pattern that is found to be unique early keeps a range of one."""
-        last = self.symbols[starts + length - 1]
+    def matching_statistics(self, stream: np.ndarray, ends: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of `stream`: the length of the longest stretch ending there that the index holds twice or more, and the first of its suffixes.
+
+        Stretches are followed up to `limit` words; no stretch may reach over the beginning of its passage.
+        """
+        last = stream[ends]
         lo, hi = self.counts[last], self.counts[last + 1]
-        live = np.flatnonzero(hi - lo > 1)
-        for j in range(length - 2, -1, -1):
+        length = np.minimum(hi - lo, 2) // 2
+        live = np.flatnonzero(length)
+        for n in range(1, limit):
             if not len(live):
                 break
-            lo[live], hi[live] = self.extend(self.symbols[starts[live] + j], lo[live], hi[live])
+            lo[live], hi[live] = self.extend(stream[ends[live] - n], lo[live], hi[live])
             live = live[hi[live] - lo[live] > 1]
-        return lo, hi
+            length[live] = n + 1
+        return length, lo
 
 
 def suffix_order(symbols: np.ndarray, longest: int) -> np.ndarray:

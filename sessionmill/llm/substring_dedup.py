@@ -4,13 +4,17 @@
    anchors, and neighbouring windows mostly share theirs, so a document becomes a short list of runs
    (anchor, first window, windows). A run whose anchor occurs nowhere else can't repeat and ends
    here. A task tells the others once of each anchor it holds, however often it holds it.
-2. Passages. The words of the remaining runs go to shards by their anchor. Copies of a passage within
-   a batch stay behind: the first of them stands for all, and the others repeat it for certain. An
-   anchor with very many runs is split window by window, so that no shard is flooded.
+2. Passages. The words of the remaining runs go to shards by their anchor. Equal passages of a batch
+   combine before they are shuffled: the first of them stands for all. An anchor with very many runs is
+   split window by window, so that no shard is flooded.
 3. Index. Each shard builds compressed FM-indexes (wavelet matrix over the Burrows-Wheeler transform)
-   of its distinct passages and streams all their windows through backward search; a range of two or
-   more suffixes is a repeat, of which the earliest place stays.
+   of its passages, equal ones being one text of the index with several places, and streams the passages
+   through backward search. Their matching statistics give, for each place, the length of the longest
+   stretch ending there that the index holds more than once; places of at least `window` words make
+   intervals, of which the earliest stays.
 4. The removed intervals meet their documents again.
+
+Tasks get their rows sorted and work on stretches of bounded size, never on whole partitions.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from sessionmill.llm.arrays import Texts, scramble, texts
 from sessionmill.llm.common import shared_table
 from sessionmill.llm.fm_index import FmIndex
+from sessionmill.llm.tiles import whole_groups
 
 WINDOW = 20
 #: Words of an anchor.
@@ -35,8 +40,10 @@ RUN = 48
 #: An anchor with this many runs is hot: each of its windows goes to a shard of its own. The anchors with most runs come first, and no more are hot than can be told to every task.
 HOT_RUNS = 5_000
 MAX_HOT = 100_000
-#: Words in one FM-index, unless one anchor has more.
-INDEX_WORDS = 1 << 19
+#: Passages in one FM-index, about: whole shards.
+INDEX_ROWS = 1 << 14
+#: Runs that a task works on at once, about.
+RUNS_AT_ONCE = 1 << 20
 
 _ANCHOR_BITS = np.uint64((1 << 48) - 1)
 
@@ -86,16 +93,22 @@ def repeated_runs(docs: DataFrame, window: int, anchor_words: int, hot_runs: int
     """key, at (first word), n (windows) and anchor of the runs whose anchor is found twice or more; in rows without a key, hot anchors and the number of their runs."""
 
     def cut(batches):
-        parts = []
+        parts, size = [], 0
         for batch in batches:
             keys = np.asarray(batch.column(0))
             for t in texts(batch.column(1)):
                 doc, at, n, anchor, times = runs(t, window, anchor_words)
                 parts.append((keys[t.lo + doc], at, n, anchor, times))
-        if not parts:
-            return
+                size += len(doc)
+                if size >= RUNS_AT_ONCE:
+                    yield from ask(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from ask(parts)
+
+    def ask(parts):
         key, at, n, anchor, times = (np.concatenate(x) for x in zip(*parts, strict=True))
-        # One row of each anchor asks the other tasks; the anchor's other rows here are repeated anyway.
+        # One row of each anchor asks the others; the anchor's other rows here are repeated anyway.
         names, first, inverse = np.unique(anchor, return_index=True, return_inverse=True)
         asks = np.zeros(len(key), np.int64)
         asks[first] = np.bincount(inverse, times, minlength=len(names))
@@ -105,10 +118,10 @@ def repeated_runs(docs: DataFrame, window: int, anchor_words: int, hot_runs: int
             yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (goes, key, at << 8 | n, anchor, asks)], ["goes", "key", "place", "anchor", "asks"])
 
     def answer(batches):
-        parts = [[np.asarray(b.column(i)) for i in range(1, 5)] for b in batches if b.num_rows]
-        if not parts:
-            return
-        key, place, anchor, asks = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for table in whole_groups(batches, 1 << 17):
+            yield from told(*(table.column(i).to_numpy() for i in range(1, 5)))
+
+    def told(key, place, anchor, asks):
         asking = np.flatnonzero(asks)
         names, inverse = np.unique(anchor[asking], return_inverse=True)
         total = np.bincount(inverse, asks[asking], minlength=len(names)).astype(np.int64)
@@ -121,7 +134,7 @@ def repeated_runs(docs: DataFrame, window: int, anchor_words: int, hot_runs: int
             yield pa.RecordBatch.from_arrays([blank, blank, pa.array(total[hot]), pa.array(names[hot])], ["key", "at", "n", "anchor"])
 
     asked = docs.select("key", "text").mapInArrow(cut, "goes long, key long, place long, anchor long, asks long")
-    return asked.repartition("goes").mapInArrow(answer, "key long, at long, n long, anchor long")
+    return asked.repartition("goes").sortWithinPartitions("goes").mapInArrow(answer, "key long, at long, n long, anchor long")
 
 
 def spaced(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,6 +170,9 @@ def passages(docs: DataFrame, hot: np.ndarray, window: int) -> DataFrame:
                 a, b = offsets[t.lo], offsets[t.hi]
                 doc = np.repeat(np.arange(t.hi - t.lo), np.diff(offsets[t.lo : t.hi + 1]))
                 at, n, anchor = ats[a:b], ns[a:b], anchors[a:b]
+                # Runs are found by key: those of another document of the same key may reach over the end.
+                inside = at + n + window - 1 <= t.n_words[doc]
+                doc, at, n, anchor = doc[inside], at[inside], n[inside], anchor[inside]
                 split = np.isin(anchor, hot)
                 if split.any():
                     times = np.where(split, n, 1)
@@ -189,44 +205,27 @@ def passages(docs: DataFrame, hot: np.ndarray, window: int) -> DataFrame:
     return docs.select("id", "key", "text", "runs", "no_id").mapInArrow(run, "shard long, words binary, id long, key long, at long, n long")
 
 
-def index_shards(rows: DataFrame, window: int, index_words: int = INDEX_WORDS) -> DataFrame:
-    """key, since, until: words that a repeated window covers, from the rows of passages()."""
+def index_shards(rows: DataFrame, window: int, index_rows: int = INDEX_ROWS) -> DataFrame:
+    """key, id, since, until: words that a repeated window covers, from the rows of passages()."""
 
     def run(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        all_rows = pa.Table.from_batches(parts)
-        shard, ids, keys, at, n = (all_rows.column(x).to_numpy() for x in ("shard", "id", "key", "at", "n"))
-        copy = np.asarray(all_rows.column("words").is_null())
-        out = [(keys[copy], at[copy], (at + n)[copy] + window - 1)]
-        held = np.flatnonzero(~copy)
-        held = held[np.argsort(shard[held], kind="stable")]
-        words = all_rows.column("words").combine_chunks()
-        words = words if not isinstance(words, pa.ChunkedArray) else words.chunk(0)
-        edges = np.flatnonzero(np.r_[True, shard[held][1:] != shard[held][:-1]]) if len(held) else np.empty(0, np.int64)
-        sizes = np.cumsum(n[held] + window)
-        lo = 0
-        while lo < len(held):
-            # Whole shards, up to the size of an index.
-            hi = int(np.searchsorted(sizes, sizes[lo] + index_words))
-            later = edges[edges > lo]
-            stop = later[later <= hi]
-            hi = int(stop[-1]) if len(stop) else int(later[0]) if len(later) else len(held)
-            hi = len(held) if hi >= len(held) or sizes[-1] - sizes[lo] <= index_words else hi
-            own = held[lo:hi]
-            removed = repeats(words.take(pa.array(own)), ids[own], keys[own], at[own], n[own], window)
-            out.append((keys[own][removed[0]], removed[1], removed[2]))
-            lo = hi
-        key, since, until = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(since), pa.array(until)], ["key", "since", "until"])
-
-    return rows.repartition("shard").mapInArrow(run, "key long, since long, until long")
+        for table in whole_groups(batches, index_rows):
+            ids, keys, at, n = (table.column(x).to_numpy() for x in ("id", "key", "at", "n"))
+            words = table.column("words").combine_chunks()
+            copy = np.asarray(words.is_null())
+            out = [(keys[copy], ids[copy], at[copy], (at + n)[copy] + window - 1)]
+            held = np.flatnonzero(~copy)
+            if len(held):
+                row, since, until = repeats(words.take(pa.array(held)), ids[held], keys[held], at[held], n[held], window)
+                out.append((keys[held][row], ids[held][row], since, until))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["key", "id", "since", "until"])
+
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "key long, id long, since long, until long")
 
 
 def repeats(words: pa.Array, ids: np.ndarray, keys: np.ndarray, at: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, first word and word after the last of each stretch that windows with an earlier equal cover."""
-    # Distinct passages; of the rows that hold one, the earliest speaks for it.
+    # Equal passages are one text of the index; of the rows that hold it, the earliest speaks for it.
     encoded = words.dictionary_encode()
     code = np.asarray(encoded.indices)
     place = np.lexsort((at, keys, ids))
@@ -248,16 +247,16 @@ def repeats(words: pa.Array, ids: np.ndarray, keys: np.ndarray, at: np.ndarray,
     symbols = np.zeros(int(lengths.sum() + len(lengths)), np.int64)
     symbols[np.arange(len(numbers)) + t.doc_of_word] = numbers
     index = FmIndex(symbols, int(lengths.max()))
-    # Stream every window of every distinct passage through the index.
+    # Stream the passages through the index: statistics of all places that can end a window.
     windows = lengths - window + 1
     passage = np.repeat(np.arange(len(lengths)), windows)
     offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    lo, hi = index.search(begin[passage] + offset, window)
+    length, lo = index.matching_statistics(symbols, begin[passage] + offset + window - 1, window)
     # When a window starts: by id, then document, then word.
     pairs = np.stack([ids[owner], keys[owner]], axis=1)
     _, doc = np.unique(pairs, axis=0, return_inverse=True)
     when = doc.ravel()[passage] << 40 | (at[owner][passage] + offset)
-    repeated = np.flatnonzero(hi - lo > 1)
+    repeated = np.flatnonzero(length >= window)
     earliest = when.copy()
     if len(repeated):
         by_range = repeated[np.argsort(lo[repeated], kind="stable")]
@@ -282,8 +281,8 @@ def repeats(words: pa.Array, ids: np.ndarray, keys: np.ndarray, at: np.ndarray,
     )
 
 
-def repeated_words(docs: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS, hot_runs: int = HOT_RUNS, index_words: int = INDEX_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The rows of `docs` as id, key and text, and the removed intervals by key: since, until (words, from 0)."""
+def repeated_words(docs: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS, hot_runs: int = HOT_RUNS, index_rows: int = INDEX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows of `docs` as id, key and text, and the removed intervals by key and id: since, until (words, from 0)."""
     last = (1 << 63) - 1
     read = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"),
@@ -296,10 +295,10 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, anchor_words: int = AN
     hot = np.array([r["anchor"] for r in most.select("anchor").collect()], np.int64)
     by_doc = found.where("key is not null").groupBy("key").agg(F.collect_list(F.struct("at", "n", "anchor")).alias("runs"))
     rows = passages(read.join(by_doc, "key").select("id", "key", "text", "runs", "no_id"), hot, window)
-    return read, index_shards(rows, window, index_words)
+    return read, index_shards(rows, window, index_rows)
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS, hot_runs: int = HOT_RUNS, index_words: int = INDEX_WORDS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS, hot_runs: int = HOT_RUNS, index_rows: int = INDEX_ROWS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """Return doc_id, n_words, n_removed, kept_sha256, removed and, if wanted, kept_text, one row per input row.
 
     A word is removed when a window of `window` words that covers it has an equal window with an
@@ -307,22 +306,22 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor_words: int = A
     lists the removed stretches as (since, until), in words from 0. kept_text joins the other words
     by one space. Null counts as a text without words; ids are whole numbers, and a null id comes
     after all others. Rows that share id and text are one document given twice, and get equal
-    answers; of rows that share an id only, one counts as the earlier. A document is named by a
-    64-bit hash of its id and text between the steps. Other columns are ignored; an empty table
+    answers; of rows that share an id only, one counts as the earlier. A document is named by its id
+    and a 64-bit hash of id and text between the steps. Other columns are ignored; an empty table
     gives an empty result.
     """
-    read, removed = repeated_words(docs, window, anchor_words, hot_runs, index_words, id_col, text_col)
-    intervals = removed.groupBy("key").agg(F.collect_list(F.struct("since", "until")).alias("removed"))
+    read, removed = repeated_words(docs, window, anchor_words, hot_runs, index_rows, id_col, text_col)
+    intervals = removed.groupBy("key").agg(F.collect_list(F.struct("id", "since", "until")).alias("removed"))
     joined = read.join(intervals, "key", "left").select("id", "no_id", "text", "removed")
 
     def run(batches):
         for batch in batches:
             sizes, gone, digests, kept_texts, stretches = [], [], [], [], []
-            for text, found in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for own, text, found in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = (text or b"").split()  # bytes: ASCII white space only
                 sizes.append(len(words))
                 merged: list[list[int]] = []
-                for x in sorted((x["since"], x["until"]) for x in found or ()):
+                for x in sorted((x["since"], x["until"]) for x in found or () if x["id"] == own):
                     if merged and x[0] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], x[1])
                     else:

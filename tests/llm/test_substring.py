@@ -30,7 +30,7 @@ def brute(data, window):
     return Counter((i, *out[(END if i is None else i, t or "")]) for i, t in data)
 
 
-@pytest.mark.parametrize("options", [{}, {"window": 5, "anchor_words": 2}, {"window": 6, "anchor_words": 3, "hot_runs": 2, "index_words": 60}, {"window": 20, "hot_runs": 1}])
+@pytest.mark.parametrize("options", [{}, {"window": 5, "anchor_words": 2}, {"window": 6, "anchor_words": 3, "hot_runs": 2, "index_rows": 3}, {"window": 20, "hot_runs": 1}])
 def test_against_brute_force(spark, options):
     data = [(r[0], r[1]) for r in awkward.rows()]
     got = m.substring_dedup(awkward.frame(spark).repartition(5), **options).collect()
@@ -72,16 +72,36 @@ def test_wavelet_ranks():
             assert ranks.tolist() == [int((symbols[:i] == c).sum()) for i in at]
 
 
-def test_search_counts_occurrences():
+def test_matching_statistics_against_counting():
     rng = np.random.default_rng(4)
     passages = [rng.integers(1, 4, rng.integers(6, 15)) for _ in range(30)]
     symbols = np.concatenate([np.r_[p, 0] for p in passages])
     index = FmIndex(symbols, 15)
-    starts = np.concatenate([np.arange(len(p) - 4) + o for p, o in zip(passages, np.cumsum([0] + [len(p) + 1 for p in passages[:-1]]), strict=True)])
-    lo, hi = index.search(starts, 5)
-    windows = [tuple(symbols[s : s + 5]) for s in starts]
-    counts = Counter(windows)
-    assert [counts[w] for w in windows] == (hi - lo).tolist()
+    assert not any(isinstance(x, np.ndarray) and len(x) >= len(symbols) for x in vars(index).values())  # neither text nor suffix order stays
+    stretches = Counter(tuple(p[i:j]) for p in passages for i in range(len(p)) for j in range(i + 1, len(p) + 1))
+    stream, ends, want = [], [], []
+    for p in [*passages, np.array([3, 3, 3, 3, 3, 3, 1, 1, 1]), rng.integers(1, 4, 12)]:
+        for j in range(5, len(p)):
+            ends.append(len(stream) + j)
+            want.append(max((n for n in range(1, 6) if stretches[tuple(p[j + 1 - n : j + 1])] >= 2), default=0))
+        stream += [*p, 0]
+    length, lo = index.matching_statistics(np.array(stream), np.array(ends), 5)
+    assert length.tolist() == want
     order = suffix_order(symbols, 15)
     assert sorted(order.tolist()) == list(range(len(symbols)))
-    assert all(starts[i] in order[lo[i] : hi[i]] for i in range(len(starts)) if hi[i] - lo[i] > 1)  # others stop early
+    for end, n, first in zip(ends, length.tolist(), lo.tolist(), strict=True):
+        if n == 5:
+            assert symbols[order[first] : order[first] + 5].tolist() == stream[end - 4 : end + 1]
+
+
+def test_one_id_on_all_rows(spark):
+    """Rows of one id and different texts: one of two texts counts as the earlier, so what they share goes once."""
+    shared = " ".join(f"s{i}" for i in range(25))
+    texts = [f"a{i} b{i} {shared} c{i}" for i in range(30)]
+    docs = spark.createDataFrame([(7, t) for t in texts] + [(7, texts[0])] * 20, "doc_id long, text string")
+    rows = m.substring_dedup(docs).collect()
+    by_text = {}
+    for r in rows:
+        by_text.setdefault((r.kept_sha256, r.n_removed), 0)
+        by_text[(r.kept_sha256, r.n_removed)] += 1
+    assert len(rows) == 50 and len(by_text) == 30 and sorted(n for (_, n) in by_text) == [0] + [25] * 29
