@@ -17,11 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import normalised
+from sessionmill.llm.common import free_names, normalised
 
-
-#: Groups with at least this part of all rows are large; there can't be more of them.
-LARGE_GROUPS = 1_000
+#: A group of at least LARGE rows is large, or of 1/MAX_LARGE of all rows where that is more; there are at most MAX_LARGE such groups.
+LARGE, MAX_LARGE = 1_000, 100_000
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
@@ -62,10 +61,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("contents"))
         .select("digest", "mark", sole("keep_id"), sole("group_size"))
     )
-    # A row finds its group by its digests. There are at most LARGE_GROUPS groups with so large a
-    # share of the rows, and these are sent to every task; their rows then spread over the shuffle
-    # by keys of their own instead of meeting under one.
-    large = groups.where(F.col("group_size") * LARGE_GROUPS >= docs.count())
+    # A row finds its group by its digests. Large groups, of which there are at most MAX_LARGE, are
+    # sent to every task; their rows then spread over the shuffle by keys of their own instead of
+    # meeting under one.
+    large = groups.where(F.col("group_size") >= max(LARGE, docs.count() // MAX_LARGE))
     large = large.select("digest", "mark", F.col("keep_id").alias("large_keep"), F.col("group_size").alias("large_size"))
     rows = _keyed(docs, id_col, text_col, digest).drop("content").join(F.broadcast(large), ["digest", "mark"], "left")
     held = F.col("large_size").isNotNull()
@@ -80,15 +79,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows of `docs` that stay, with all their columns; of rows that share id and text one stays.
 
-    The ids that stay come from exact_groups(); one join on (id, digest) brings the rows back, and
-    its partitioning also serves the last dropDuplicates.
+    The ids that stay come from exact_groups(); one join on (id, digest) brings the rows back. Rows
+    that share both combine in their task before they are shuffled for it.
     """
-    key = ["__id", "__digest"]
+    key = free_names(docs, "id_as_text", "text_digest")
     best = exact_groups(docs, id_col, text_col, salts).where("kept")
-    best = best.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("digest").alias("__digest"))
-    rows = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = rows.withColumn("__digest", sha256_hex(normalised(F.col(text_col))))
-    return rows.join(best, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    best = best.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key[0]), F.col("digest").alias(key[1]))
+    rows = docs.withColumn(key[0], F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    rows = rows.withColumn(key[1], sha256_hex(normalised(F.col(text_col))))
+    return rows.dropDuplicates(key).join(best.distinct(), key, "left_semi").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
