@@ -1,85 +1,93 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source with weight w is a task of rate w; its i-th block may run from slot floor(i/w) and must run
-before slot ceil((i+1)/w). Earliest deadline first over these windows keeps every source within less
-than one block of its target at every slot. Weights are held as whole numbers of slots in a period,
-so the schedule repeats and one period, made from the source counts alone, places every row by
-arithmetic: rows are numbered within their source by hash order with two small counting shuffles, and
-neither the rows nor the list of blocks meet in one place.
-
-When a source has given its last block, the weights of the others are scaled up and a new period
-begins; so every row gets a slot and none is repeated.
+The fluid target serves all sources at once, each at a rate in proportion to its weight, until it has
+given its last block; x(t) is what a source has been given when t blocks went in all. Its i-th block may
+run from the slot in which x passes i and must have run by the slot in which x reaches i + 1. Earliest
+deadline first over these windows keeps every source within less than one block of its target at every
+slot, as the windows between any two times ask for no more slots than there are. Weights count as the
+exact numbers they are, and windows are computed in whole numbers, so nothing is rounded to a period.
+
+The schedule is made from the block counts alone. There are at most about MAX_SLOTS blocks: a block is
+made of more rows where the table has more. Rows are numbered within their source by hash order with
+two small counting shuffles and find their block's slot in the schedule; neither the rows nor their ids
+meet in one place.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_SOURCES = 1000
-
-
-def quotas(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Slots of a period for each source: largest remainders, at least one each."""
-    if period < len(weights):
-        raise ValueError(f"a period of {period} slots can't serve {len(weights)} sources")
-    total = math.fsum(weights.values())
-    share = {k: w / total * (period - len(weights)) for k, w in weights.items()}
-    out = {k: 1 + math.floor(x) for k, x in share.items()}
-    rest = period - sum(out.values())
-    for k in sorted(share, key=lambda k: (math.floor(share[k]) - share[k], k))[:rest]:
-        out[k] += 1
-    return out
-
-
-def one_period(quota: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in one period, earliest deadline first."""
-    period = sum(quota.values())
-    done = dict.fromkeys(quota, 0)
-    slots: dict[str, list[int]] = {k: [] for k in quota}
-    waiting = [(0, k) for k in sorted(quota)]  # release, source
+from sessionmill.llm.common import free_names
+
+#: Rows of a block, at least, and blocks in all, about: one for each source may come on top.
+BLOCK_ROWS, MAX_SLOTS = 8, 1 << 20
+#: Slots of one source that stand in one row of the schedule.
+STRETCH = 1024
+#: Rows of the schedule that are sent to all executors, at most; a larger one meets the rows by a shuffle.
+MAX_BROADCAST = 1 << 17
+
+
+def whole_weights(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the same proportions."""
+    exact = {k: Fraction(w) for k, w in weights.items()}
+    if bad := sorted(k for k, w in exact.items() if w <= 0):
+        raise ValueError(f"weights must be positive: {bad}")
+    scale = math.lcm(*(w.denominator for w in exact.values())) if exact else 1
+    return {k: int(w * scale) for k, w in exact.items()}
+
+
+class FluidClock:
+    """When the fluid target has given a source so many blocks: served(k, n) slots are over, as a fraction."""
+
+    def __init__(self, blocks: Mapping[str, int], weights: Mapping[str, int]):
+        self.weights = weights
+        order = sorted(blocks, key=lambda k: Fraction(blocks[k], weights[k]))  # in which sources run dry
+        self.dry = [(blocks[k], weights[k]) for k in order]
+        self.about = [blocks[k] / weights[k] for k in order]
+        self.given, self.rate = [0], [sum(weights[k] for k in order)]
+        for n, w in self.dry:
+            self.given.append(self.given[-1] + n)
+            self.rate.append(self.rate[-1] - w)
+
+    def served(self, source: str, n: int) -> tuple[int, int]:
+        """Numerator and denominator."""
+        w = self.weights[source]
+        i = bisect_left(self.about, n / w * (1 - 1e-9))
+        while i < len(self.dry) and self.dry[i][0] * w <= n * self.dry[i][1]:
+            i += 1
+        return self.given[i] * w + self.rate[i] * n, w
+
+
+def schedule(blocks: Mapping[str, int], weights: Mapping[str, float]) -> dict[str, np.ndarray]:
+    """The slots of each source's blocks, in their order; the slots 0, 1, .. are each used once."""
+    clock = FluidClock(blocks, whole_weights({k: weights[k] for k in blocks}))
+    slots = {k: np.empty(n, np.int64) for k, n in blocks.items()}
+    done = dict.fromkeys(blocks, 0)
+    waiting = [(0, k) for k in sorted(k for k, n in blocks.items() if n)]  # release, source
     ready: list[tuple[int, str]] = []  # deadline, source
-    for slot in range(period):
+    for slot in range(sum(blocks.values())):
         while waiting and waiting[0][0] <= slot:
             _, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(done[k] + 1) * period // quota[k]), k))
+            over, per = clock.served(k, done[k] + 1)
+            heapq.heappush(ready, (-(-over // per), k))
         _, k = heapq.heappop(ready)
-        slots[k].append(slot)
+        slots[k][done[k]] = slot
         done[k] += 1
-        if done[k] < quota[k]:
-            heapq.heappush(waiting, (done[k] * period // quota[k], k))
+        if done[k] < blocks[k]:
+            over, per = clock.served(k, done[k])
+            heapq.heappush(waiting, (over // per, k))
     return slots
 
 
-@dataclass(frozen=True)
-class Phase:
-    """From slot `start` on; `taken` blocks of each source went before."""
-
-    start: int
-    taken: dict[str, int]
-    quota: dict[str, int]
-    slots: dict[str, list[int]]
-
-
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int) -> list[Phase]:
-    out: list[Phase] = []
-    start, taken = 0, dict.fromkeys(blocks, 0)
-    while left := {k: n - taken[k] for k, n in blocks.items() if n > taken[k]}:
-        quota = quotas({k: weights[k] for k in left}, period)
-        slots = one_period(quota)
-        out.append(Phase(start, dict(taken), quota, slots))
-        length = min((n - 1) // quota[k] * period + slots[k][(n - 1) % quota[k]] + 1 for k, n in left.items())
-        for k in left:
-            taken[k] += length // period * quota[k] + sum(s < length % period for s in slots[k])
-        start += length
-    return out
-
-
 def _source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source.cast("string")))
 
@@ -92,76 +100,68 @@ def tempered(temperature: float = 0.5) -> Callable[[Mapping[str, int]], dict[str
 def pfair_mix(
     docs: DataFrame,
     weights: Mapping[str | None, float] | Callable[[Mapping[str, int]], Mapping[str, float]] | None = None,
-    block_rows: int = 8,
-    period: int = 1000,
+    block_rows: int | None = None,
     id_col: str = "doc_id",
     source_col: str = "source",
 ) -> DataFrame:
     """The input rows with __block (of its source), __slot and __place (in the whole mix) added.
 
     `weights`: by source (a source it lacks, or null, needs an entry of its own), or a function of
-    the row counts; by default in proportion to their square roots. Weights are rounded to
-    1/`period`, and each source gets at least one slot of a period. Rows of a source are taken in
-    the order of a hash of their ids; rows that share an id in the order of a hash of the whole row. Null is a source of its
-    own. At most 1,000 sources can be mixed, else ValueError. An empty table gives an empty result.
+    the row counts; by default in proportion to their square roots. They must be above 0, and hold as
+    long as a source has rows left; the others then share its part by theirs. There can be any number
+    of sources, but the driver holds a count and a weight of each. `block_rows`: by default
+    BLOCK_ROWS, or as many as make about MAX_SLOTS blocks. Rows of a source are taken in the order of
+    a hash of their ids and of their places in the input, so that rows that share an id spread too; the
+    input must read alike each time, as a table or a checkpoint does. Null is a source of its own.
+    Columns named as the three added ones are replaced; others may have any names. An empty table gives
+    an empty result.
     """
-    named = docs.withColumn("__source", _source_key(F.col(source_col)))
-    sizes = {r["__source"]: r["n"] for r in named.groupBy("__source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    if weights is None:
-        weights = tempered()
+    keep = [c for c in docs.columns if c.lower() not in ("__block", "__slot", "__place")]
+    source, mark, high, low, row, index = free_names(docs, "source_key", "row_hash", "high_bits", "low_bits", "row_in_bucket", "row_index")
+    named = docs.select(*keep, _source_key(F.col(source_col)).alias(source), F.xxhash64(F.col(id_col).cast("string"), F.monotonically_increasing_id()).alias(mark))
+    sizes = {r[0]: r[1] for r in named.groupBy(source).agg(F.count(F.lit(1))).collect()}
+    weights = tempered() if weights is None else weights
     if callable(weights):
         weights = weights(sizes)
     else:
         weights = {"" if k is None else f"={k}": w for k, w in weights.items()}
         if missing := sorted(set(sizes) - set(weights)):
             raise ValueError(f"no weight for sources {missing}")
-    plan = phases({k: -(-n // block_rows) for k, n in sizes.items()}, weights, max(period, len(sizes)))
+    rows = sum(sizes.values())
+    block_rows = block_rows or max(BLOCK_ROWS, -(-rows // MAX_SLOTS))
+    slots = schedule({k: -(-n // block_rows) for k, n in sizes.items()}, weights)
 
     # Number the rows of each source: hash buckets of some hundred rows, their sizes added up in two levels.
-    rows = sum(sizes.values())
     side = max(1, math.isqrt(max(1, rows // 256)))
-    by_hash = F.xxhash64(F.col(id_col).cast("string"), F.lit("mix"))
-    hashed = named.withColumn("__hash", by_hash)
-    hashed = hashed.withColumn("__high", F.pmod(F.xxhash64("__hash"), F.lit(side)).cast("int"))
-    hashed = hashed.withColumn("__low", F.pmod(F.floor(F.xxhash64("__hash") / side), F.lit(side)).cast("int"))
-    counts = hashed.groupBy("__source", "__high", "__low").agg(F.count(F.lit(1)).alias("n"))
-    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    high = counts.groupBy("__source", "__high").agg(F.sum("n").alias("n"))
-    high = high.select("__source", "__high", F.coalesce(F.sum("n").over(before("__source", "__high")), F.lit(0)).alias("__before_high"))
-    low = counts.select("__source", "__high", "__low", F.coalesce(F.sum("n").over(before("__source", "__high", "__low")), F.lit(0)).alias("__before_low"))
-    offsets = low.join(high, ["__source", "__high"]).select("__source", "__high", "__low", (F.col("__before_high") + F.col("__before_low")).alias("__before"))
-    # Rows that share an id go by the hash of all they hold, so that a task that runs again numbers them alike.
-    content = F.xxhash64(*(c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))))
-    bucket = Window.partitionBy("__source", "__high", "__low").orderBy("__hash", id_col, "__content")
-    numbered = hashed.withColumn("__content", content).withColumn("__row", F.row_number().over(bucket)).join(offsets, ["__source", "__high", "__low"])
-    numbered = numbered.withColumn("__index", F.col("__before") + F.col("__row") - 1)
-    numbered = numbered.withColumn("__block", F.floor(F.col("__index") / block_rows))
-
-    # Place each block: its phase, then its turn in the period. Both tables are bounded by sources x period.
-    spark = docs.sparkSession
-    turns, spans = [], []
-    for p, phase in enumerate(plan):
-        for k, q in phase.quota.items():
-            until = plan[p + 1].taken[k] if p + 1 < len(plan) else 1 << 62
-            spans.append((k, p, phase.taken[k], until, phase.start, q))
-            turns += [(k, p, i, s) for i, s in enumerate(phase.slots[k])]
-    spans_df = F.broadcast(spark.createDataFrame(spans, "__source string, __phase int, __from long, __until long, __start long, __quota int"))
-    turns_df = F.broadcast(spark.createDataFrame(turns, "__source string, __phase int, __turn int, __at int"))
-    length = sum(plan[0].quota.values()) if plan else 1
-    placed = numbered.join(spans_df, "__source").where((F.col("__block") >= F.col("__from")) & (F.col("__block") < F.col("__until")))
-    placed = placed.withColumn("__nth", F.col("__block") - F.col("__from"))
-    placed = placed.withColumn("__turn", F.pmod(F.col("__nth"), F.col("__quota")).cast("int")).join(turns_df, ["__source", "__phase", "__turn"])
-    slot = F.col("__start") + F.floor(F.col("__nth") / F.col("__quota")) * length + F.col("__at")
-    placed = placed.withColumn("__slot", slot.cast("long"))
-    place = F.col("__slot") * block_rows + F.pmod(F.col("__index"), F.lit(block_rows))
-    return placed.select(*docs.columns, "__block", "__slot", place.cast("long").alias("__place"))
+    hashed = named.withColumn(high, F.pmod(F.xxhash64(mark), F.lit(side)).cast("int"))
+    hashed = hashed.withColumn(low, F.pmod(F.floor(F.xxhash64(mark) / side), F.lit(side)).cast("int"))
+    counts = hashed.groupBy(source, high, low).agg(F.count(F.lit(1)).alias("n"))
+    before = lambda *keys: F.coalesce(F.sum("n").over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    highs = counts.groupBy(source, high).agg(F.sum("n").alias("n")).select(source, high, before(source, high).alias("before_high"))
+    lows = counts.select(source, high, low, before(source, high, low).alias("before_low"))
+    offsets = lows.join(highs, [source, high]).select(source, high, low, (F.col("before_high") + F.col("before_low")).alias(index))
+    bucket = Window.partitionBy(source, high, low).orderBy(mark)
+    numbered = hashed.withColumn(row, F.row_number().over(bucket)).join(offsets, [source, high, low])
+    numbered = numbered.withColumn(index, F.col(index) + F.col(row) - 1).withColumn("__block", F.floor(F.col(index) / block_rows))
+
+    # Each block finds its slot in the schedule, which is cut into short stretches.
+    stretch, at = free_names(docs, "stretch", "slots_of_stretch")
+    parts = [(k, i // STRETCH, own[i : i + STRETCH]) for k, own in slots.items() for i in range(0, len(own), STRETCH)]
+    cuts = np.cumsum([0, *(len(x) for *_, x in parts)])
+    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *(x for *_, x in parts)])))
+    columns = [pa.array([k for k, *_ in parts], pa.string()), pa.array([i for _, i, _ in parts], pa.int64()), lists]
+    table = docs.sparkSession.createDataFrame(pa.table(columns, [source, stretch, at]))
+    table = F.broadcast(table) if len(parts) <= MAX_BROADCAST else table
+    placed = numbered.withColumn(stretch, F.floor(F.col("__block") / STRETCH)).join(table, [source, stretch])
+    placed = placed.withColumn("__slot", F.get(at, F.pmod("__block", F.lit(STRETCH)).cast("int")))
+    place = F.col("__slot") * block_rows + F.pmod(F.col(index), F.lit(block_rows))
+    return placed.select(*keep, "__block", "__slot", place.cast("long").alias("__place"))
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, all of them and with the same columns, sorted into the mix."""
-    return pfair_mix(docs, **options).orderBy("__place").select(*docs.columns)
+    mixed = pfair_mix(docs, **options)
+    return mixed.orderBy("__place").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
