@@ -68,9 +68,47 @@ SENTENCES = (
     ("spdx_apache", "SPDX-License-Identifier: Apache-2.0"),
     ("spdx_mit", "SPDX-License-Identifier: MIT"),
     ("spdx_gpl3", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("lgpl21_grant", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl_warranty", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("lgpl3_grant", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl3_grant", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl2_notice", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("bsd2_notice", "Licensed under the BSD 2-Clause License."),
+    ("bsd2_notice", "BSD 2-Clause License"),
+    ("bsd3_notice", "Licensed under the BSD 3-Clause License."),
+    ("bsd3_notice", "BSD 3-Clause License"),
+    ("bsd_as_is", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("mit_notice", "MIT License"),
+    ("mit_notice", "The MIT License (MIT)"),
+    ("mit_notice", "This code is licensed under the MIT License."),
+    ("isc_notice", "ISC License"),
+    ("isc_notice", "Licensed under the ISC License."),
+    ("epl2_notice", "Licensed under the Eclipse Public License 2.0."),
+    ("epl2_notice", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("zlib_as_is", "This software is provided 'as-is', without any express or implied warranty."),
+    ("zlib_grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("boost_notice", "Distributed under the Boost Software License, Version 1.0."),
+    ("boost_notice", "Boost Software License - Version 1.0"),
+    ("mpl2_notice", "Mozilla Public License Version 2.0"),
+    ("cc0_notice", "Licensed under CC0 1.0 Universal."),
+    ("ccbynd_notice", "Licensed under CC BY-ND 4.0."),
+    ("ccbyncsa_notice", "Licensed under CC BY-NC-SA 4.0."),
+    ("ccbyncnd_notice", "Licensed under CC BY-NC-ND 4.0."),
+    ("ccbynd_long", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("ccbyncsa_long", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("ccbyncnd_long", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("spdx_bsd2", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("spdx_bsd3", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("spdx_isc", "SPDX-License-Identifier: ISC"),
+    ("spdx_epl2", "SPDX-License-Identifier: EPL-2.0"),
+    ("spdx_zlib", "SPDX-License-Identifier: Zlib"),
+    ("spdx_boost", "SPDX-License-Identifier: BSL-1.0"),
+    ("spdx_ccby", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("spdx_ccbysa", "SPDX-License-Identifier: CC-BY-SA-4.0"),
 )
 
-#: Ordered rules: the licence holds when these identifiers occur in this order, others between them or not.
+#: Ordered rules: the licence holds when these identifiers occur in this order, others between them or not, the first not again.
+#: Where a longer rule with the same beginning holds at the same place, the shorter gives way.
 RULES = (
     ("Apache-2.0", ("apache_notice",)),
     ("Apache-2.0", ("apache_notice_long",)),
@@ -108,14 +146,40 @@ RULES = (
     ("CC0-1.0", ("spdx_cc0",)),
     ("Unlicense", ("unlicense_notice",)),
     ("Unlicense", ("spdx_unlicense",)),
+    ("LGPL-2.1", ("lgpl21_grant", "lgpl_warranty")),
+    ("LGPL-3.0", ("lgpl3_grant", "gpl_warranty")),
+    ("AGPL-3.0", ("agpl3_grant", "gpl_warranty")),
+    ("BSD-2-Clause", ("bsd2_notice",)),
+    ("BSD-2-Clause", ("spdx_bsd2",)),
+    ("BSD-2-Clause", ("rights_reserved", "bsd_grant", "bsd_source", "bsd_binary")),
+    ("BSD-3-Clause", ("bsd3_notice",)),
+    ("BSD-3-Clause", ("spdx_bsd3",)),
+    ("BSD-3-Clause", ("rights_reserved", "bsd_grant", "bsd_source", "bsd_binary", "bsd_names")),
+    ("ISC", ("isc_notice",)),
+    ("ISC", ("spdx_isc",)),
+    ("EPL-2.0", ("epl2_notice",)),
+    ("EPL-2.0", ("spdx_epl2",)),
+    ("Zlib", ("zlib_as_is", "zlib_grant")),
+    ("Zlib", ("spdx_zlib",)),
+    ("BSL-1.0", ("boost_notice",)),
+    ("BSL-1.0", ("spdx_boost",)),
+    ("CC-BY-4.0", ("spdx_ccby",)),
+    ("CC-BY-SA-4.0", ("spdx_ccbysa",)),
+    ("CC-BY-ND-4.0", ("ccbynd_notice",)),
+    ("CC-BY-ND-4.0", ("ccbynd_long",)),
+    ("CC-BY-NC-SA-4.0", ("ccbyncsa_notice",)),
+    ("CC-BY-NC-SA-4.0", ("ccbyncsa_long",)),
+    ("CC-BY-NC-ND-4.0", ("ccbyncnd_notice",)),
+    ("CC-BY-NC-ND-4.0", ("ccbyncnd_long",)),
 )
 
 #: Each known sentence has one of these, in lower case, within a single word.
 ANCHORS = ("licens", "warrant", "permission", "redistribut", "copyright", "reserved", "unencumbered")
 
-#: A sentence ends at a stop or mark before white space; in the first reading also at a line end, in the second only at an empty line.
-LINE_ENDS = r"(?<=[.!?])[\x20\x09-\x0D]+|\n"
-PARAGRAPH_ENDS = r"(?<=[.!?])[\x20\x09-\x0D]+|\n[\x20\x09\x0B-\x0D]*\n"
+#: A sentence ends at a stop or mark before white space, or before ", see"; in the first reading also at a line end, in the second only at an empty line.
+SENTENCE_ENDS = r"(?<=[.!?])[\x20\x09-\x0D]+|,[\x20\x09-\x0D]+(?=[Ss]ee )"
+LINE_ENDS = SENTENCE_ENDS + r"|\n"
+PARAGRAPH_ENDS = SENTENCE_ENDS + r"|\n[\x20\x09\x0B-\x0D]*\n"
 
 
 def normal_sentence(sentence: str) -> str:
@@ -138,16 +202,37 @@ def sentence_map() -> dict[str, str]:
     return out
 
 
-def rule_patterns() -> list[tuple[str, str]]:
-    """Each rule as a pattern over the identifiers joined by spaces."""
-    known, out = sentence_map(), []
+def _in_order(names: list[str]) -> str:
+    """A pattern over identifiers, each with a space on either side."""
+    return ".*".join(f" {x} " for x in names)
+
+
+def matchers() -> list[tuple[str, str, str, list[str]]]:
+    """Each rule as licence, first identifier, pattern of what follows it, and the patterns of the longer rules it gives way to."""
+    known, rules = sentence_map(), []
     for licence, names in RULES:
-        parts: list[str] = []
-        for name in names:
-            sentence = next(s for n, s in SENTENCES if n == name)
-            parts += [known[p] for p in _pieces(sentence)]
-        out.append((licence, ".*".join(f" {p} " for p in parts)))
-    return out
+        sentences = [next(s for n, s in SENTENCES if n == name) for name in names]
+        rules.append((licence, [known[p] for s in sentences for p in _pieces(s)]))
+
+    def inside(short: list[str], long: list[str]) -> bool:
+        rest = iter(long)
+        return len(short) < len(long) and short[0] == long[0] and all(x in rest for x in short)
+
+    return [(licence, ids[0], _in_order(ids[1:]), [_in_order(other[1:]) for _, other in rules if inside(ids, other)]) for licence, ids in rules]
+
+
+def _holds(ids: Column, first: str, rest: str, longer: list[str]) -> Column:
+    """Whether the rule holds in one of the stretches that begin at its first identifier."""
+    if not rest and not longer:
+        return F.contains(ids, F.lit(f" {first} "))
+
+    def one(stretch: Column) -> Column:
+        ok = stretch.rlike(rest) if rest else F.lit(True)
+        for pattern in longer:
+            ok = ok & ~stretch.rlike(pattern)
+        return ok
+
+    return F.exists(F.slice(F.split(ids, f" {first} "), 2, 1 << 30), one)
 
 
 def _ids(body: Column, ends: str) -> Column:
@@ -179,7 +264,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     lines = F.concat(F.lit(" "), F.array_join("by_line", "  "), F.lit(" "))
     paragraphs = F.concat(F.lit(" "), F.array_join("by_paragraph", "  "), F.lit(" "))
-    found = [F.when(lines.rlike(p) | paragraphs.rlike(p), F.lit(licence)) for licence, p in rule_patterns()]
+    found = [F.when(_holds(lines, *how) | _holds(paragraphs, *how), F.lit(licence)) for licence, *how in matchers()]
     return read.select(
         "doc_id",
         F.greatest(F.size("by_line"), F.size("by_paragraph")).cast("long").alias("n_sentences"),
@@ -190,25 +275,3 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def query(spark, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
-def oracle() -> str:
-    known = ", ".join(f"('{k}', '{v}')" for k, v in sentence_map().items())
-    cases = ", ".join(f"CASE WHEN regexp_matches(a, '{p}') OR regexp_matches(b, '{p}') THEN '{licence}' END" for licence, p in rule_patterns())
-    reading = """
-      SELECT rid, string_agg(id, '  ' ORDER BY pos) AS ids, count(*) AS n FROM (
-        SELECT rid, pos, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s
-        FROM (SELECT rid, generate_subscripts(parts, 1) AS pos, unnest(parts) AS s
-              FROM (SELECT rid, string_split(regexp_replace({body}, '([.!?])[\\x20\\x09-\\x0D]+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM d))
-      ) JOIN known ON s = sentence GROUP BY rid"""
-    return f"""
-    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
-    known(sentence, id) AS (VALUES {known}),
-    l AS ({reading.format(body="replace(body, chr(10), '. ' || chr(10))")}),
-    p AS ({reading.format(body="regexp_replace(body, chr(10) || '[ \\t\\x0B-\\x0D]*' || chr(10), '. ', 'g')")}),
-    j AS (SELECT doc_id, coalesce(l.n, 0) AS ln, coalesce(p.n, 0) AS pn, coalesce(l.ids, '') AS li,
-                 ' ' || coalesce(l.ids, '') || ' ' AS a, ' ' || coalesce(p.ids, '') || ' ' AS b
-          FROM d LEFT JOIN l USING (rid) LEFT JOIN p USING (rid))
-    SELECT doc_id, CAST(greatest(ln, pn) AS BIGINT) AS n_sentences, replace(li, '  ', ' ') AS sentence_ids,
-           coalesce(array_to_string(list_sort(list_distinct(list_filter([{cases}], lambda x: x IS NOT NULL))), ','), '') AS licenses
-    FROM j"""
