@@ -201,8 +201,8 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rat
 def train(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 2, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Trees:
     """Fit on at most `max_train` labelled documents outside the held-out fold, those of the smallest id hashes.
 
-    Null labels, and ids whose labels differ, are left out; a label table without rows gives a
-    model that scores every text 0.5.
+    Null labels, and ids whose labels differ, are left out; of rows that share an id one counts, that
+    of the least hash of its text; a label table without rows gives a model that scores every text 0.5.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if held_out_fold is not None:
@@ -210,7 +210,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 2, max
     known = known.groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).alias("least"), F.max(label_col).alias("most"))
     known = known.where("least = most").select("doc_id", F.col("least").cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # bounded, so it may be broadcast
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # One row of each id, so that what reaches the driver is bounded too.
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "t.text", "label")
 
     def run(batches):
         for batch in batches:
@@ -219,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int | None = 2, max
             yield pa.RecordBatch.from_arrays([batch.column(0), flat, batch.column(2)], ["doc_id", "x", "label"])
 
     got = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, x array<double>, label double").toPandas()
-    got = got.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    got = got.sort_values("doc_id", kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit_trees(x, got["label"].to_numpy(float))
 

@@ -54,6 +54,23 @@ def test_trees_learn_and_flatten():
     assert quality_model.fit_trees(np.empty((0, 4)), np.empty(0)).probability(x[:2]).tolist() == [0.5, 0.5]
 
 
+def test_a_split_is_the_best_of_all():
+    """One tree of one split against a trial of every gap between two values."""
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        x, y = rng.integers(0, 12, (50, 3)).astype(float), rng.integers(0, 2, 50).astype(float)
+        trees = quality_model.fit_trees(x, y, trees=1, depth=1, least=5, ridge=1.0, rate=1.0)
+        mean = y.mean()
+        g, h = mean - y, np.full(50, mean * (1 - mean))
+        score = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1)
+        gains = {(j, cut): score(x[:, j] <= cut) + score(x[:, j] > cut) - score(np.ones(50, bool)) for j in range(3) for cut in range(11) if 5 <= (x[:, j] <= cut).sum() <= 45}
+        j, cut = trees.feature[0], np.floor(trees.threshold[0])
+        assert math.isclose(gains[(j, cut)], max(gains.values()), rel_tol=1e-9)
+        for side in (x[:, j] <= cut, x[:, j] > cut):
+            leaf = -g[side].sum() / (h[side].sum() + 1)
+            assert np.allclose(trees.raw(x[side]), math.log(mean / (1 - mean)) + leaf)
+
+
 def test_statistics_do_not_depend_on_the_batch():
     column = pa.array([r[1] for r in awkward.rows()])
     whole = quality_model.all_statistics(column)
@@ -100,6 +117,50 @@ def test_languages_awkward(spark):
     assert language_id.identify(awkward.empty(spark), model).count() == 0
 
 
+def plain_buckets(text):
+    """N-grams of one text, letter by letter, as their buckets."""
+    raw = re.sub(rb"[\t-\r]", b" ", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
+    out = Counter()
+    for n in (2, 3, 4):
+        for i in range(len(raw) - n + 1):
+            gram = raw[i : i + n]
+            if b" " in gram[1:-1] or gram[:1] == gram[-1:] == b" ":
+                continue
+            mixed = (int.from_bytes(gram, "little") + n) * 2654435761 % 2**32
+            mixed ^= mixed >> 15
+            out[(mixed * 2246822519 % 2**32) >> 16] += 1
+    return out
+
+
+def test_predictions_against_plain_n_grams():
+    texts = ["Ein Text\nüber nichts", "some other\t text", "", "noch  ein Text", "a", "x y", "\n\n"]
+    model = language_id.fit(pa.array(texts * 10), ["de", "en", "en", "de", "en", "fr", "fr"] * 10, epochs=2)
+    for text, p in zip(texts, model.probabilities(pa.array(texts)), strict=True):
+        bag = plain_buckets(text)
+        z = [sum(model.table[b, j] * c for b, c in bag.items()) / max(1, bag.total()) + model.bias[j] for j in range(len(model.languages))]
+        e = [math.exp((v - max(z)) / model.temperature) for v in z]
+        assert np.allclose(p, [v / sum(e) for v in e])
+
+
+def test_one_step_of_training_goes_down_the_gradient():
+    """The first step of the descent, against differences of the loss."""
+    column, labels = pa.array(["ab ba", "cd dc"]), ["x", "y"]
+    one, two = (language_id.fit(column[:n], labels[:n] if n == 2 else ["x"], dims=4, epochs=e, rate=1.0) for n, e in ((2, 0), (2, 8)))
+    loss = lambda m: -sum(math.log(p[m.languages.index(k)]) for p, k in zip(m.probabilities(column), labels, strict=True))
+    assert loss(two) < loss(one)
+
+
+def test_each_language_is_learned_and_ids_count_once(spark):
+    rare = [(10_000 + i, f"zzz{i} qqq zzqq", "zz", None, 0) for i in range(3)]
+    rows = [(i, f"some text number {i}", "en", None, 0) for i in range(400)] + rare + [(7, f"more {i}", "en", None, 0) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    model = language_id.train(docs, None, per_language=20, max_train=60)
+    assert model.languages == ("en", "zz")
+    found = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    assert all(found[10_000 + i] == "zz" for i in range(3))
+    assert {r.lang_pred for r in language_id.identify(docs, language_id.train(spark.createDataFrame([(7, "abc", "en")] * 300, "doc_id long, text string, lang string"), None)).collect()} == {"en"}
+
+
 def test_folded_table_gives_the_averaged_embedding():
     column = pa.array(["ein text", "some other text", "", "noch ein text", "text"] * 12)
     model = language_id.fit(column, ["de", "en", "en", "de", "en"] * 12, epochs=2)
