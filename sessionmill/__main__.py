@@ -6,6 +6,7 @@ import argparse
 import json
 import os
 import sys
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -29,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--min-events", type=int, default=1)
     e.add_argument("--max-events", type=int, default=S.SESSION_RING, help="of each session the last so many; 0 for all")
     s = commands.choices["stream"]
+    s.add_argument("--feed", action="store_true", help="print events: the last 500, then each as it arrives")
     s.add_argument("--from-end", action="store_true", help="skip what is already there")
     s.add_argument("--seconds", type=float, help="stop after so long")
     return top
@@ -42,8 +44,15 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("sessionmill").config("spark.sql.session.timeZone", "UTC").config("spark.sql.variant.allowDuplicateKeys", "true").getOrCreate()
     if args.command == "stream":
         from sessionmill.sources.tail import tail_events
-        from sessionmill.streaming.live import live_facts
+        from sessionmill.streaming.live import follow, live_facts
 
+        if args.feed:
+            shown = ["session_id", "line_index", "event_type", "observed_at", "summary"]
+            with tempfile.TemporaryDirectory() as checkpoint:  # the driver's own; a feed starts anew each time
+                query = follow(spark, args.root, lambda rows: [print(r, flush=True) for r in rows.orderBy("observed_at", "seq").select(*shown).toJSON().toLocalIterator()], checkpoint)
+                query.awaitTermination(args.seconds) if args.seconds else query.awaitTermination()
+                query.stop()
+            return 0
         facts = live_facts(tail_events(spark, args.root, "latest" if args.from_end else "earliest"))
         query = facts.writeStream.outputMode("update").format("console").start()
         query.awaitTermination(args.seconds) if args.seconds else query.awaitTermination()

@@ -6,13 +6,16 @@ state grows with the number of sessions, tools and open questions, not with even
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionmill.operators.sessions import SESSION_RING, fact_aggregates
+from sessionmill.operators.sessions import SESSION_RING, SNAPSHOT_EVENTS, fact_aggregates, last_events
+from sessionmill.sources.logs import read_events
+from sessionmill.sources.tail import tail_events
 
 
 def live_facts(events: DataFrame) -> DataFrame:
@@ -87,6 +90,37 @@ def publish(events: DataFrame, subscribers: dict[str, Callable[[DataFrame, int],
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """With where an event stands, named alike by the batch and the tail source."""
+    return rows.withColumns({"at_path": F.regexp_replace("source_path", "^file:(//)?(?=/)", ""), "at_line": F.col("line_index")})
+
+
+def follow(spark: SparkSession, root: str, deliver: Callable[[DataFrame], None], checkpoint: str, n: int = SNAPSHOT_EVENTS):
+    """The last `n` events of a log tree, then all that arrive later, each once; returns the running query.
+
+    The stream takes its place before the snapshot is read, so nothing falls between them; what both
+    hold is taken out of the stream. `deliver` gets the snapshot first and then each batch; after a
+    failure a batch may come again.
+    """
+    one_at_a_time, seen = threading.Lock(), []
+
+    def snapshot() -> None:
+        with one_at_a_time:
+            if not seen:
+                held = last_events(read_events(spark, root, index="nonempty"), n).persist()
+                deliver(held)
+                seen.append(_placed(held).select("at_path", "at_line"))  # at most n rows
+
+    def each(batch: DataFrame, number: int) -> None:
+        snapshot()
+        deliver(_placed(batch).join(F.broadcast(seen[0]), ["at_path", "at_line"], "left_anti").drop("at_path", "at_line"))
+
+    query = tail_events(spark, root, "latest").writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+    query.processAllAvailable()  # from here on, the stream knows where it began
+    snapshot()
+    return query
+
+
 def to_table(events: DataFrame, path: str, checkpoint: str):
     """Append events to a Parquet table, exactly once; entries are kept as JSON text."""
     rows = events.withColumn("entry", F.to_json("entry"))
