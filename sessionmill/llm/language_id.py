@@ -14,14 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionmill.llm.arrays import Texts, texts
 from sessionmill.llm.common import fold
 
-#: Labelled documents that are learned from, at most: those with the smallest hashes of their ids.
-MAX_TRAIN = 2_500
+#: Labelled documents that are learned from: PER_LANGUAGE of each language, those with the smallest hashes of their ids, but about MAX_TRAIN of all languages at most.
+PER_LANGUAGE, MAX_TRAIN = 625, 10_000
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
@@ -135,14 +135,21 @@ def fit(column: pa.Array, labels: list[str], dims: int = 16, epochs: int = 6, ra
     return LanguageModel(languages, np.ascontiguousarray(table), bias, temperature, reject)
 
 
-def train(docs: DataFrame, held_out_fold: int | None = 0, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> LanguageModel:
-    """Fit on at most `max_train` documents with a language, outside the held-out fold."""
+def train(docs: DataFrame, held_out_fold: int | None = 0, per_language: int = PER_LANGUAGE, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> LanguageModel:
+    """Fit on at most `per_language` documents of each language, and `max_train` in all or one of each, outside the held-out fold.
+
+    Of rows that share an id one counts: the least language, and the text of the least hash.
+    """
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     if held_out_fold is not None:
         known = known.where(fold(F.col("doc_id"), 5) != held_out_fold)
-    # Ids first, so that the sort carries no texts; bounded, so it may be broadcast.
-    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = known.join(F.broadcast(chosen), "doc_id").toArrow()
+    # Ids first, so that no sort carries texts; each task keeps no more of a language than the limit. Bounded, so it may be broadcast.
+    ids = known.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    n_languages = known.select("lang").distinct().count()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = ids.withColumn("nth", first).where(F.col("nth") <= max(1, min(per_language, max_train // max(1, n_languages)))).select("doc_id", "lang")
+    rows = known.join(F.broadcast(chosen), ["doc_id", "lang"])
+    rows = rows.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "t.text", "lang").toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(zero_copy_only=False), kind="stable")
     rows = rows.take(pa.array(order))
     return fit(rows.column("text").combine_chunks(), rows.column("lang").to_pylist(), **options)
