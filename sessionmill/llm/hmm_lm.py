@@ -18,12 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.llm.arrays import Texts, hash_words, texts
-from sessionmill.llm.common import checkpointed, fold, shared_table
+from sessionmill.llm.common import checkpointed, fold, shared_table, table
 
 STATES = 8
 ITERATIONS = 5
@@ -195,6 +196,27 @@ def by_length(lengths: list[int], limit: int = BATCH_TOKENS):
         yield group
 
 
+#: Sequences of like length are worked on together, as a group takes as many steps as its longest: limits of the lengths.
+LENGTHS = (256, 2048, 16384)
+
+
+def like_lengths(batches, column: str, width: int):
+    """Tables of rows whose sequences, `width` bytes a token in `column`, have like lengths; each is given out once it has BATCH_TOKENS tokens."""
+    held: dict[int, list[pa.RecordBatch]] = {}
+    size: dict[int, int] = {}
+    for batch in batches:
+        lengths = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False) // width + 1
+        kinds = np.searchsorted(LENGTHS, lengths)
+        for k in np.unique(kinds).tolist():
+            held.setdefault(k, []).append(batch.filter(pa.array(kinds == k)))
+            size[k] = size.get(k, 0) + int(lengths[kinds == k].sum())
+            if size[k] >= BATCH_TOKENS:
+                yield pa.Table.from_batches(held.pop(k))
+                size[k] = 0
+    for parts in held.values():
+        yield pa.Table.from_batches(parts)
+
+
 class Batch:
     """Sequences, longest first, laid out step by step: step t holds symbol t of all that are so long."""
 
@@ -259,11 +281,10 @@ def baum_welch_step(rows: DataFrame, v: Vocabulary, m: Hmm) -> tuple[Hmm, float]
 
     def run(batches):
         move, emit, start, logs = np.zeros((states, states)), np.zeros((v.alphabet, states)), np.zeros(states), 0.0
-        own: list[np.ndarray] = []
-        for batch in batches:
-            own += sequences(batch.column(0).to_pylist(), kind, v.end)
-        for group in by_length([len(s) for s in own]):
-            logs += Batch([own[i] for i in group]).expected(small, move, emit, start)
+        for table in like_lengths(batches, "codes", kind().nbytes):
+            own = sequences(table.column("codes").to_pylist(), kind, v.end)
+            for group in by_length([len(s) for s in own]):
+                logs += Batch([own[i] for i in group]).expected(small, move, emit, start)
         total = np.vstack([emit, move, start, np.full(states, logs)])
         some = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, s]) for s in range(states))], ["row", *names])
@@ -307,19 +328,13 @@ def hmm_scores(docs: DataFrame, held_out: Column, states: int = STATES, iteratio
     kind = np.uint16 if v.alphabet <= 1 << 16 else np.uint32
 
     def likelihood(batches):
-        own, keep = [], []
-        for batch in batches:
-            own += sequences(batch.column(1).to_pylist(), kind, v.end)
-            keep.append(batch.drop_columns(["codes"]))
-        logs = np.zeros(len(own))
-        for group in by_length([len(s) for s in own]):
-            logs[group] = Batch([own[i] for i in group]).forward(m, keep=False)[0]
-        done = 0
-        for batch in keep:
-            n = batch.num_rows
-            total = logs[done : done + n] / np.log(10) + np.asarray(batch.column("within"))
-            done += n
-            yield batch.drop_columns(["within"]).append_column("score", pa.array(total))
+        for table in like_lengths(batches, "codes", kind().nbytes):
+            own = sequences(table.column("codes").to_pylist(), kind, v.end)
+            logs = np.zeros(len(own))
+            for group in by_length([len(s) for s in own]):
+                logs[group] = Batch([own[i] for i in group]).forward(m, keep=False)[0]
+            total = logs / np.log(10) + table.column("within").to_numpy()
+            yield from table.drop_columns(["codes", "within"]).append_column("score", pa.array(total)).to_batches()
 
     id_type = dict(rows.dtypes)["doc_id"]
     summary = table.select("key", "codes", "doc_id", "held_out", "n_tokens", "n_known", "base", "within")
@@ -342,5 +357,5 @@ def hmm_scores(docs: DataFrame, held_out: Column, states: int = STATES, iteratio
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return hmm_scores(docs, fold(F.col("doc_id"), 5) == 1)
