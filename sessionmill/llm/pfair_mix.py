@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import free_names
+from sessionmill.llm.common import free_names, table
 
 #: Rows of a block, at least, and blocks in all, about: one for each source may come on top.
 BLOCK_ROWS, MAX_SLOTS = 8, 1 << 20
@@ -160,10 +160,12 @@ def pfair_mix(
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, all of them and with the same columns, sorted into the mix."""
-    mixed = pfair_mix(docs, **options)
-    return mixed.orderBy("__place").select(*docs.columns)
+    own = docs.columns
+    aside = {c: free_names(docs, f"own_{c}")[0] for c in own if c.lower() in ("__block", "__slot", "__place")}
+    mixed = pfair_mix(docs.withColumnsRenamed(aside), **options).orderBy("__place")
+    return mixed.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in own))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return pfair_mix(docs).select("doc_id", "source", F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__place").alias("place"))

@@ -18,7 +18,7 @@ def test_stages_against_the_operators(spark):
     scores = {r.doc_id: r.score for r in quality_model.quality_scores(docs, quality_model.train(docs, labels)).collect()}
     good = docs.where(docs.doc_id.isin([i for i, s in scores.items() if s >= pipeline.MIN_QUALITY]))
     once = good.where(good.doc_id.isin([r.doc_id for r in exact_dedup.exact_groups(good).collect() if r.kept]))
-    apart = {r.component_id for r in simhash.near_groups(once).collect()}
+    apart = {r.component_id for r in simhash.similar_groups(once).collect()}
     packed = pipeline.run(spark, SMALL).collect()
     assert {r.doc_id for r in packed} == apart
     words = {r.doc_id: len(r.text.replace(" ", "_").split()) for r in docs.collect()}
