@@ -28,7 +28,10 @@ def n_words(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One in so few parts that most cores would stand idle is dealt out anew; others are read as they are."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 4 * rows.rdd.getNumPartitions() <= cores else rows
 
 
 def fold(id_col: Column, modulus: int) -> Column:

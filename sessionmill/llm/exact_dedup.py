@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import free_names, normalised
+from sessionmill.llm.common import free_names, normalised, table
 
 #: A group of at least LARGE rows is large, or of 1/MAX_LARGE of all rows where that is more; there are at most MAX_LARGE such groups.
 LARGE, MAX_LARGE = 1_000, 100_000
@@ -91,7 +91,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 

@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionmill.llm.common import table
+
 # Identifiers and sentences of well-known public licences and notices.
 SENTENCES = (
     ("apache_notice", "Licensed under the Apache License, Version 2.0."),
@@ -274,4 +276,4 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return license_scan(table(spark, sf_dir, "documents"))

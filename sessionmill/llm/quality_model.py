@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.llm.arrays import Texts, scramble, texts
-from sessionmill.llm.common import fold
+from sessionmill.llm.common import fold, table
 
 #: Labelled documents that are learned from, at most: those with the smallest hashes of their ids.
 MAX_TRAIN = 8_000
@@ -255,6 +255,6 @@ def good_documents(docs: DataFrame, trees: Trees, threshold: float = 0.3, text_c
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "labels"))
+    docs, labels = (table(spark, sf_dir, x) for x in ("documents", "labels"))
     scored = quality_scores(docs, train(docs, labels))
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.llm import shingles
-from sessionmill.llm.common import checkpointed, free_names, shared_table, spread_join
+from sessionmill.llm.common import checkpointed, free_names, shared_table, spread_join, table
 from sessionmill.llm.components import components
 from sessionmill.llm.tiles import Forest, group_links, whole_groups
 
@@ -384,5 +384,5 @@ def near_dedup(docs: DataFrame, similarity: float = shingles.SIMILARITY, shingle
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    groups = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    groups = near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.llm.arrays import Texts, scramble, texts
-from sessionmill.llm.common import shared_table
+from sessionmill.llm.common import shared_table, table
 from sessionmill.llm.fm_index import FmIndex
 from sessionmill.llm.tiles import whole_groups
 
@@ -348,5 +348,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor_words: int = A
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
+    found = substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
