@@ -42,6 +42,41 @@ def test_each_rule(spark, rule, text):
     assert row.kept == (not failing and not row.base_failed)
 
 
+COUNTS = {"n_words": 100, "word_chars": 500, "n_symbols": 0, "n_lines": 10, "n_dup_lines": 0, "body": "x" * 500, "words": [f"w{i}" for i in range(100)]}
+
+
+@pytest.mark.parametrize(
+    "rule,passes,fails",
+    [
+        ("short_words", {"word_chars": 200}, {"word_chars": 199}),
+        ("long_words", {"word_chars": 2000}, {"word_chars": 2001}),
+        ("symbols", {"n_symbols": 30}, {"n_symbols": 31}),
+        ("repeated_lines", {"n_dup_lines": 3}, {"n_dup_lines": 4}),
+        ("repeated_lines", {"n_dup_lines": 2, "n_lines": 3}, {"n_dup_lines": 3, "n_lines": 3}),
+        ("exclamation", {"body": "!" * 30}, {"body": "!" * 31}),
+        ("ellipsis", {"body": "x...\n" * 3}, {"body": "x…\t\n" * 4}),
+        ("bullets", {"body": " - x\n" * 9}, {"body": "•x\n*x\n" * 5}),
+        ("few_letters", {"body": "é" * 300}, {"body": "é" * 299}),
+        ("capitals", {"body": "É" * 250}, {"body": "É" * 251}),
+        ("few_distinct_words", {"words": list("abcde")}, {"words": list("abcd")}),
+        ("few_distinct_words", {"n_words": 8000, "words": [str(i) for i in range(200)]}, {"n_words": 8001, "words": [str(i) for i in range(200)]}),
+        ("few_distinct_words", {"n_words": 2000, "words": [str(i) for i in range(100)]}, {"n_words": 2000, "words": [str(i) for i in range(99)]}),
+    ],
+)
+def test_both_sides_of_each_limit(spark, rule, passes, fails):
+    shape = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, body string, words array<string>"
+    rows = spark.createDataFrame([tuple((COUNTS | x).values()) for x in ({}, passes, fails)], shape)
+    own = next(r for r in quality_rules.RULES if r.name == rule)
+    assert [r[0] for r in rows.selectExpr(own.fails).collect()] == [False, False, True]
+
+
+def test_order_by_rejections_per_cost_of_what_is_left():
+    a, b, c, d = rules = [quality_rules.Rule(x, "") for x in "abcd"]
+    # b rejects most per cost; of what it leaves, a rejects nothing more, and c is dear but rejects.
+    assert quality_rules.greedy_order(rules, {0b0011: 10, 0b0010: 5, 0b0100: 2, 0: 50}, [10, 10, 1000, 5]) == [b, c, d, a]
+    assert quality_rules.greedy_order(rules, {}, [0] * 4) == rules
+
+
 def test_the_order_changes_nothing(spark):
     docs = awkward.frame(spark)
     orders = [quality_rules.RULES, quality_rules.RULES[::-1]]
@@ -64,11 +99,36 @@ def test_license_rules(spark):
     mit = "\n\n".join(text[n] for n in ("mit_grant", "mit_keep", "mit_as_is"))
     wrapped = re.sub(r"(.{60}\S*) ", r"\1\n", mit)
     wrong = "\n\n".join(text[n] for n in ("mit_as_is", "mit_keep", "mit_grant"))
-    bsd = "\n".join(text[n] for n in ("bsd_grant", "bsd_source", "bsd_binary"))
-    got = scan(spark, mit, wrapped, wrong, bsd, f"Intro. {bsd}\n{text['bsd_names']}", "Prose. licensed UNDER the apache license version 2.0. More", "License to nothing", "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.")
-    assert got == ["MIT", "MIT", "", "BSD-2-Clause", "BSD-2-Clause,BSD-3-Clause", "Apache-2.0", "", "CC-BY-NC-4.0,MIT"]
+    bsd2 = "\n".join(text[n] for n in ("bsd_grant", "bsd_source", "bsd_binary"))
+    bsd3 = f"Intro. {bsd2}\n{text['bsd_names']}"
+    got = scan(spark, mit, wrapped, wrong, bsd2, bsd3, f"{bsd2}\n{bsd3}", f"{bsd3}\n{bsd2}", "Prose. licensed UNDER the apache license version 2.0. More", "License to nothing", "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.")
+    both = "BSD-2-Clause,BSD-3-Clause"
+    assert got == ["MIT", "MIT", "", "BSD-2-Clause", "BSD-3-Clause", both, both, "Apache-2.0", "", "CC-BY-NC-4.0,MIT"]
+
+
+def test_a_longer_rule_takes_the_place_of_its_parts(spark):
+    text = {n: s for n, s in license_scan.SENTENCES}
+    header = "Copyright (c) 1999 Somebody. All rights reserved.\n\n"
+    parts = [text[n] for n in ("bsd_grant", "bsd_source", "bsd_binary", "bsd_names")]
+    numbered = header + parts[0] + "".join(f"\n\n{i}. {x}" for i, x in enumerate(parts[1:], 1))
+    got = scan(spark, numbered, numbered.rsplit("\n\n3. ", 1)[0], header, numbered + "\n\nAll rights reserved.", "This code is licensed under the MIT License, see below for more")
+    assert got == ["BSD-3-Clause", "BSD-2-Clause", "All-rights-reserved", "All-rights-reserved,BSD-3-Clause", "MIT"]
+
+
+@pytest.mark.parametrize("licence", sorted({x for x, _ in license_scan.RULES}))
+def test_each_rule_finds_its_licence_alone(spark, licence):
+    text = {}
+    for n, s in license_scan.SENTENCES:
+        text.setdefault(n, []).append(s)
+    docs = ["Some words here.\n\n" + "\n\n".join(text[n][i % len(text[n])] for n in names) for x, names in license_scan.RULES if x == licence for i in range(max(len(text[n]) for n in names))]
+    assert scan(spark, *docs) == [licence] * len(docs)
 
 
 def test_awkward_rows(spark):
-    assert license_scan.license_scan(awkward.frame(spark)).count() == len(awkward.rows())
+    long = "word " * 20_000 + "word. Licensed under CC0 1.0. " + "word. " * 20_000
+    data = awkward.rows() + [(9000 + i, t, *awkward.rows()[0][2:]) for i, t in enumerate([long, "Released under the MIT License.", "Released under the MIT License."])]
+    rows = license_scan.license_scan(awkward.frame(spark, data)).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in data)
+    found = {r.doc_id: (r.n_sentences, r.sentence_ids, r.licenses) for r in rows if r.n_sentences}
+    assert found == {9000: (1, "cc0_notice", "CC0-1.0"), 9001: (1, "mit_notice", "MIT"), 9002: (1, "mit_notice", "MIT")}
     assert license_scan.license_scan(awkward.empty(spark)).count() == 0
