@@ -1,10 +1,11 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Documents longer than the largest sequence are cut into pieces of that length; nothing is dropped.
-Pieces go to lanes of bounded size, and each lane is packed by itself in decreasing length: a piece
-goes to the open bin with the least room that holds it; where there is none, every permitted length
-is tried, filled on paper with the longest remaining pieces that fit, and the length of least cost
-per word opens. At the end each bin shrinks to the smallest permitted length that holds its content.
+Documents longer than the largest sequence are cut into pieces of that length; nothing is dropped. A
+piece of just that length fills a bin alone and needs no packing. The others, one of each document at
+most, go to lanes of bounded size, and each lane is packed by itself in decreasing length: a piece goes
+to the open bin with the least room that holds it; where there is none, every permitted length is tried,
+filled on paper with the longest remaining pieces that fit, and the length of least cost per word opens.
+At the end each bin shrinks to the smallest permitted length that holds its content.
 """
 
 from __future__ import annotations
@@ -15,10 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import n_words
+from sessionmill.llm.common import n_words, table
 
 CAPACITIES = (256, 512, 1024, 2048, 4096, 8192)
-RESULT = "doc_id {id}, piece long, start long, length long, lane long, bin long, capacity long, place long"
 
 
 def sequence_cost(capacity: int) -> float:
@@ -104,30 +104,41 @@ def best_fit_packing(
     `length`: an expression for the length of a document, by default its words; null counts as 0.
     A piece covers length words from word `start` on; `bin` is unique within its lane, and pieces
     stand in a bin in the order of `place`. Empty documents are pieces of length 0 and cost no
-    room. `lane`: an expression for the lane, which the caller keeps to bounded size; by default a
-    hash of id and piece over as many lanes as give each about `lane_rows` documents. Rows that
-    share an id are packed each on its own; other columns are ignored; an empty table gives an
-    empty result.
+    room. A piece that fills the largest bin has one to itself, with a number below 0. `lane`: an
+    expression for the lane, which the caller keeps to some `lane_rows` documents; by default a hash of
+    each row's id and place over as many lanes as give each about that many, however many rows share
+    an id. Rows that share an id are packed each on its own; other columns are ignored; an empty table
+    gives an empty result.
     """
     largest = max(capacities)
     size = F.coalesce((n_words(F.col(text_col)) if length is None else length).cast("long"), F.lit(0).cast("long"))
-    sized = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), *([] if lane is None else [lane.cast("long").alias("lane")]))
-    pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.col("size") - 1) / largest), F.lit(0)))))
-    pieces = pieces.withColumn("start", F.col("piece") * largest).withColumn("length", F.least(F.col("size") - F.col("start"), F.lit(largest).cast("long")))
     if lane is None:
         lanes = max(1, -(-docs.count() // lane_rows))
-        pieces = pieces.withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(lanes)).cast("long"))
-    shape = RESULT.format(id=dict(sized.dtypes)["doc_id"])
+        lane = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(lanes))
+    sized = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), lane.cast("long").alias("lane"))
+    whole = F.floor(F.col("size") / largest)
+    sized = sized.select("doc_id", "lane", whole.alias("whole"), (F.col("size") - whole * largest).alias("rest"))
+    id_type = dict(sized.dtypes)["doc_id"]
 
     def pack_lane(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        placed = pd.DataFrame(pack(rows["length"].tolist(), capacities, cost), columns=["bin", "capacity"])
-        rows = pd.concat([rows, placed], axis=1)
-        rows["place"] = rows.groupby("bin").cumcount()
-        return rows[["doc_id", "piece", "start", "length", "lane", "bin", "capacity", "place"]]
-
-    return pieces.select("doc_id", "piece", "start", "length", "lane").groupBy("lane").applyInPandas(pack_lane, shape)
+        rows = rows.sort_values(["rest", "whole", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        packed = rows[(rows["rest"] > 0) | (rows["whole"] == 0)].reset_index(drop=True)
+        alone = rows[(rows["rest"] == 0) & (rows["whole"] > 0)].assign(bin=-1, capacity=0, place=0)
+        placed = pd.DataFrame(pack(packed["rest"].tolist(), capacities, cost), columns=["bin", "capacity"])
+        packed = pd.concat([packed, placed], axis=1)
+        packed["place"] = packed.groupby("bin").cumcount()
+        rows = pd.concat([packed, alone], ignore_index=True)
+        rows["before"] = rows["whole"].cumsum() - rows["whole"]
+        return rows[["doc_id", "lane", "whole", "rest", "bin", "capacity", "place", "before"]]
+
+    lanes = sized.groupBy("lane").applyInPandas(pack_lane, f"doc_id {id_type}, lane long, whole long, rest long, bin long, capacity long, place long, before long")
+    piece = lambda nth, length, bin_, capacity, place: F.struct(nth.alias("piece"), (nth * largest).alias("start"), length.alias("length"), bin_.alias("bin"), capacity.alias("capacity"), place.alias("place"))
+    last = F.filter(F.array(piece(F.col("whole"), F.col("rest"), F.col("bin"), F.col("capacity"), F.col("place"))), lambda x: x["bin"] >= 0)
+    most, first = F.lit(largest).cast("long"), F.lit(0).cast("long")
+    every = F.sequence(first, F.greatest(F.col("whole") - 1, first))
+    full = F.when(F.col("whole") > 0, F.transform(every, lambda i: piece(i, most, -1 - F.col("before") - i, most, first))).otherwise(F.slice(last, 1, 0))
+    return lanes.select("doc_id", "lane", F.explode(F.concat(full, last)).alias("p")).select("doc_id", "p.piece", "p.start", "p.length", "lane", "p.bin", "p.capacity", "p.place")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return best_fit_packing(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return best_fit_packing(table(spark, sf_dir, "documents"))
