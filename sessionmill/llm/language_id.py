@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionmill.llm.arrays import Texts, texts
-from sessionmill.llm.common import fold
+from sessionmill.llm.common import checkpointed, fold, table
 
 #: Labelled documents that are learned from: PER_LANGUAGE of each language, those with the smallest hashes of their ids, but about MAX_TRAIN of all languages at most.
 PER_LANGUAGE, MAX_TRAIN = 625, 10_000
@@ -143,11 +143,15 @@ def train(docs: DataFrame, held_out_fold: int | None = 0, per_language: int = PE
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     if held_out_fold is not None:
         known = known.where(fold(F.col("doc_id"), 5) != held_out_fold)
-    # Ids first, so that no sort carries texts; each task keeps no more of a language than the limit. Bounded, so it may be broadcast.
-    ids = known.groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    n_languages = known.select("lang").distinct().count()
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("nth", first).where(F.col("nth") <= max(1, min(per_language, max_train // max(1, n_languages)))).select("doc_id", "lang")
+    # Ids first, so that no sort carries texts. Of each language only hashes below a share that holds
+    # about four times the limit are sorted, so a language of most rows is no more work than others.
+    ids = known.groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    sizes = checkpointed(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    n_languages = sizes.count()
+    limit = max(1, min(per_language, max_train // max(1, n_languages)))
+    drawn = ids.join(F.broadcast(sizes) if n_languages <= max_train else sizes, "lang").where(F.col("draw") * F.col("rows") < 4.0 * (limit + 10) * (1 << 30))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
+    chosen = drawn.withColumn("nth", first).where(F.col("nth") <= limit).select("doc_id", "lang")  # bounded, so it may be broadcast
     rows = known.join(F.broadcast(chosen), ["doc_id", "lang"])
     rows = rows.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "t.text", "lang").toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(zero_copy_only=False), kind="stable")
@@ -182,6 +186,6 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     found = identify(docs, train(docs))
     return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
