@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessionmill.llm import best_fit_packing, exact_dedup, hmm_lm, language_id, license_scan, license_scan_sql, pfair_mix, quality_model, quality_rules, simhash, substring_dedup
+from sessionmill.llm import best_fit_packing, exact_dedup, hmm_lm, language_id, license_scan, license_scan_sql, periodic_runs, pfair_mix, quality_model, quality_rules, simhash, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_license_scan": license_scan.query,
     "op9_hmm_lm": hmm_lm.query,
     "op10_language_id": language_id.query,
+    "op13_periodic_runs": periodic_runs.query,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
     "op8_license_scan": license_scan_sql.ORACLE,
+    "op13_periodic_runs": periodic_runs.ORACLE,
 }
