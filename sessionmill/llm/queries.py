@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessionmill.llm import best_fit_packing, exact_dedup, hmm_lm, language_id, license_scan, license_scan_sql, periodic_runs, pfair_mix, quality_model, quality_rules, simhash, spelling_variants, substring_dedup
+from sessionmill.llm import best_fit_packing, exact_dedup, hmm_lm, language_id, license_scan, license_scan_sql, periodic_runs, pfair_mix, quality_model, quality_rules, secret_scan, simhash, spelling_variants, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": license_scan.query,
     "op9_hmm_lm": hmm_lm.query,
     "op10_language_id": language_id.query,
+    "op11_secret_scan": secret_scan.query,
     "op12_spelling_variants": spelling_variants.query,
     "op13_periodic_runs": periodic_runs.query,
 }
