@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import n_words, table
+from sessionmill.llm.common import n_words, named, table
 
 CAPACITIES = (256, 512, 1024, 2048, 4096, 8192)
 
@@ -111,27 +112,33 @@ def best_fit_packing(
     gives an empty result.
     """
     largest = max(capacities)
-    size = F.coalesce((n_words(F.col(text_col)) if length is None else length).cast("long"), F.lit(0).cast("long"))
+    size = F.coalesce((n_words(named(text_col)) if length is None else length).cast("long"), F.lit(0).cast("long"))
     if lane is None:
         lanes = max(1, -(-docs.count() // lane_rows))
-        lane = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(lanes))
-    sized = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), lane.cast("long").alias("lane"))
+        lane = F.pmod(F.xxhash64(named(id_col), F.monotonically_increasing_id()), F.lit(lanes))
+    sized = docs.select(named(id_col).alias("doc_id"), size.alias("size"), lane.cast("long").alias("lane"))
     whole = F.floor(F.col("size") / largest)
     sized = sized.select("doc_id", "lane", whole.alias("whole"), (F.col("size") - whole * largest).alias("rest"))
     id_type = dict(sized.dtypes)["doc_id"]
 
-    def pack_lane(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["rest", "whole", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        packed = rows[(rows["rest"] > 0) | (rows["whole"] == 0)].reset_index(drop=True)
-        alone = rows[(rows["rest"] == 0) & (rows["whole"] > 0)].assign(bin=-1, capacity=0, place=0)
-        placed = pd.DataFrame(pack(packed["rest"].tolist(), capacities, cost), columns=["bin", "capacity"])
-        packed = pd.concat([packed, placed], axis=1)
-        packed["place"] = packed.groupby("bin").cumcount()
-        rows = pd.concat([packed, alone], ignore_index=True)
-        rows["before"] = rows["whole"].cumsum() - rows["whole"]
-        return rows[["doc_id", "lane", "whole", "rest", "bin", "capacity", "place", "before"]]
-
-    lanes = sized.groupBy("lane").applyInPandas(pack_lane, f"doc_id {id_type}, lane long, whole long, rest long, bin long, capacity long, place long, before long")
+    def pack_lane(rows: pa.Table) -> pa.Table:
+        # Ids stay as they are: only lengths become numbers of numpy.
+        rows = rows.sort_by([("rest", "descending"), ("whole", "ascending"), ("doc_id", "ascending")])
+        rest, whole = rows["rest"].to_numpy(), rows["whole"].to_numpy()
+        alone = (rest == 0) & (whole > 0)
+        order = np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])
+        n, rest, whole = int((~alone).sum()), rest[order], whole[order]
+        bins, capacity, place = np.full(len(order), -1), np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        if n:
+            bins[:n], capacity[:n] = np.array(pack(rest[:n].tolist(), capacities, cost), np.int64).T
+            by_bin = np.argsort(bins[:n], kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(bins[by_bin]) != 0])
+            place[by_bin] = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
+        columns = [rest, bins, capacity, place, np.cumsum(whole) - whole]
+        rows = rows.take(pa.array(order))
+        return pa.table([rows["doc_id"], rows["lane"], rows["whole"], *map(pa.array, columns)], ["doc_id", "lane", "whole", "rest", "bin", "capacity", "place", "before"])
+
+    lanes = sized.groupBy("lane").applyInArrow(pack_lane, f"doc_id {id_type}, lane long, whole long, rest long, bin long, capacity long, place long, before long")
     piece = lambda nth, length, bin_, capacity, place: F.struct(nth.alias("piece"), (nth * largest).alias("start"), length.alias("length"), bin_.alias("bin"), capacity.alias("capacity"), place.alias("place"))
     last = F.filter(F.array(piece(F.col("whole"), F.col("rest"), F.col("bin"), F.col("capacity"), F.col("place"))), lambda x: x["bin"] >= 0)
     most, first = F.lit(largest).cast("long"), F.lit(0).cast("long")

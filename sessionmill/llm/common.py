@@ -12,6 +12,11 @@ SPACE_CHARS = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+def named(name: str) -> Column:
+    """The column of just this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def normalised(text: Column) -> Column:
     """Each run of white space as one space; null as the empty text."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")

@@ -17,14 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import free_names, normalised, table
+from sessionmill.llm.common import free_names, named, normalised, table
 
 #: A group of at least LARGE rows is large, or of 1/MAX_LARGE of all rows where that is more; there are at most MAX_LARGE such groups.
 LARGE, MAX_LARGE = 1_000, 100_000
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
-    out = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("content"))
+    out = docs.select(named(id_col).alias("doc_id"), normalised(named(text_col)).alias("content"))
     return out.select("doc_id", "content", digest(F.col("content")).alias("digest"), F.xxhash64("content").alias("mark"))
 
 
@@ -85,9 +85,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = free_names(docs, "id_as_text", "text_digest")
     best = exact_groups(docs, id_col, text_col, salts).where("kept")
     best = best.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key[0]), F.col("digest").alias(key[1]))
-    rows = docs.withColumn(key[0], F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = rows.withColumn(key[1], sha256_hex(normalised(F.col(text_col))))
-    return rows.dropDuplicates(key).join(best.distinct(), key, "left_semi").select(*docs.columns)
+    rows = docs.withColumn(key[0], F.coalesce(named(id_col).cast("string"), F.lit("")))
+    rows = rows.withColumn(key[1], sha256_hex(normalised(named(text_col))))
+    return rows.dropDuplicates(key).join(best.distinct(), key, "left_semi").select(*map(named, docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

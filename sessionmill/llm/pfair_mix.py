@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Mapping
 from fractions import Fraction
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import free_names, table
+from sessionmill.llm.common import free_names, named, table
 
 #: Rows of a block, at least, and blocks in all, about: one for each source may come on top.
 BLOCK_ROWS, MAX_SLOTS = 8, 1 << 20
@@ -46,25 +46,36 @@ def whole_weights(weights: Mapping[str, float]) -> dict[str, int]:
 
 
 class FluidClock:
-    """When the fluid target has given a source so many blocks: served(k, n) slots are over, as a fraction."""
+    """When the fluid target has given a source so many blocks: served(k, n) slots are over, as a fraction.
+
+    Sources that run dry at the same time count as one step, and a step is found by halving.
+    """
 
     def __init__(self, blocks: Mapping[str, int], weights: Mapping[str, int]):
         self.weights = weights
-        order = sorted(blocks, key=lambda k: Fraction(blocks[k], weights[k]))  # in which sources run dry
-        self.dry = [(blocks[k], weights[k]) for k in order]
-        self.about = [blocks[k] / weights[k] for k in order]
-        self.given, self.rate = [0], [sum(weights[k] for k in order)]
-        for n, w in self.dry:
-            self.given.append(self.given[-1] + n)
-            self.rate.append(self.rate[-1] - w)
+        steps: dict[Fraction, list[int]] = {}
+        for k, n in blocks.items():
+            step = steps.setdefault(Fraction(n, weights[k]), [0, 0])
+            step[0] += n
+            step[1] += weights[k]
+        self.dry = sorted(steps)
+        self.about = [float(x) for x in self.dry]
+        self.given, self.rate = [0], [sum(weights[k] for k in blocks)]
+        for x in self.dry:
+            self.given.append(self.given[-1] + steps[x][0])
+            self.rate.append(self.rate[-1] - steps[x][1])
 
     def served(self, source: str, n: int) -> tuple[int, int]:
         """Numerator and denominator."""
         w = self.weights[source]
-        i = bisect_left(self.about, n / w * (1 - 1e-9))
-        while i < len(self.dry) and self.dry[i][0] * w <= n * self.dry[i][1]:
-            i += 1
-        return self.given[i] * w + self.rate[i] * n, w
+        low, high = bisect_left(self.about, n / w * (1 - 1e-9)), bisect_right(self.about, n / w * (1 + 1e-9))
+        while low < high:
+            mid = (low + high) // 2
+            if self.dry[mid].numerator * w <= n * self.dry[mid].denominator:
+                low = mid + 1
+            else:
+                high = mid
+        return self.given[low] * w + self.rate[low] * n, w
 
 
 def schedule(blocks: Mapping[str, int], weights: Mapping[str, float]) -> dict[str, np.ndarray]:
@@ -116,10 +127,10 @@ def pfair_mix(
     Columns named as the three added ones are replaced; others may have any names. An empty table gives
     an empty result.
     """
-    keep = [c for c in docs.columns if c.lower() not in ("__block", "__slot", "__place")]
+    keep = [named(c) for c in docs.columns if c.lower() not in ("__block", "__slot", "__place")]
     source, mark, high, low, row, index = free_names(docs, "source_key", "row_hash", "high_bits", "low_bits", "row_in_bucket", "row_index")
-    named = docs.select(*keep, _source_key(F.col(source_col)).alias(source), F.xxhash64(F.col(id_col).cast("string"), F.monotonically_increasing_id()).alias(mark))
-    sizes = {r[0]: r[1] for r in named.groupBy(source).agg(F.count(F.lit(1))).collect()}
+    rows_in = docs.select(*keep, _source_key(named(source_col)).alias(source), F.xxhash64(named(id_col).cast("string"), F.monotonically_increasing_id()).alias(mark))
+    sizes = {r[0]: r[1] for r in rows_in.groupBy(source).agg(F.count(F.lit(1))).collect()}
     weights = tempered() if weights is None else weights
     if callable(weights):
         weights = weights(sizes)
@@ -133,7 +144,7 @@ def pfair_mix(
 
     # Number the rows of each source: hash buckets of some hundred rows, their sizes added up in two levels.
     side = max(1, math.isqrt(max(1, rows // 256)))
-    hashed = named.withColumn(high, F.pmod(F.xxhash64(mark), F.lit(side)).cast("int"))
+    hashed = rows_in.withColumn(high, F.pmod(F.xxhash64(mark), F.lit(side)).cast("int"))
     hashed = hashed.withColumn(low, F.pmod(F.floor(F.xxhash64(mark) / side), F.lit(side)).cast("int"))
     counts = hashed.groupBy(source, high, low).agg(F.count(F.lit(1)).alias("n"))
     before = lambda *keys: F.coalesce(F.sum("n").over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -163,7 +174,7 @@ def mixed_order(docs: DataFrame, **options) -> DataFrame:
     own = docs.columns
     aside = {c: free_names(docs, f"own_{c}")[0] for c in own if c.lower() in ("__block", "__slot", "__place")}
     mixed = pfair_mix(docs.withColumnsRenamed(aside), **options).orderBy("__place")
-    return mixed.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in own))
+    return mixed.select(*(named(aside.get(c, c)).alias(c) for c in own))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

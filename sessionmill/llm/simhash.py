@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.llm import shingles
-from sessionmill.llm.common import checkpointed, free_names, shared_table, spread_join, table
+from sessionmill.llm.common import checkpointed, free_names, named, shared_table, spread_join, table
 from sessionmill.llm.components import components
 from sessionmill.llm.tiles import Forest, group_links, whole_groups
 
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t or b"", shingle_words) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    read = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
     return read.mapInArrow(run, f"doc_id {dict(read.dtypes)['doc_id']}, fp long")
 
 
@@ -356,7 +356,7 @@ def similar_groups(docs: DataFrame, similarity: float = shingles.SIMILARITY, shi
     Sets are told apart by a 64-bit hash. Repeated rows and ids fall in the groups of their texts; other
     columns are ignored; an empty table gives an empty result.
     """
-    found = _similar(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), similarity, shingle_words, tile, set_tile)
+    found = _similar(docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text")), similarity, shingle_words, tile, set_tile)
     least = checkpointed(found.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return spread_join(found, least, "root").select("doc_id", "component_id")
 
@@ -367,20 +367,20 @@ def near_dedup(docs: DataFrame, similarity: float = shingles.SIMILARITY, shingle
     It is the row with the smallest id; a null id stays only where a group has no other. Of rows that
     share that id but not the text the one with the least hash stays, and of rows that share both one.
     """
-    found = _similar(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), similarity, shingle_words, TILE, SET_TILE)
+    found = _similar(docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text")), similarity, shingle_words, TILE, SET_TILE)
     mine = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
     best = found.groupBy("root").agg(F.min(mine).alias("best"))
     judged = checkpointed(spread_join(found, checkpointed(best), "root").select("doc_id", "mark", (mine == F.col("best")).alias("stays")))
     counts = checkpointed(judged.groupBy("doc_id", "mark").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("rows")).where("not stays or rows > 1"))
     gone_id, gone_mark = free_names(docs, "gone_id", "gone_mark")
     names = [F.col("doc_id").alias(gone_id), F.col("mark").alias(gone_mark)]
-    same = docs[id_col].eqNullSafe(F.col(gone_id)) & (F.xxhash64(docs[text_col]) == F.col(gone_mark))
+    same = named(id_col).eqNullSafe(F.col(gone_id)) & (F.xxhash64(named(text_col)) == F.col(gone_mark))
     alone = docs.join(_bounded(counts.select(*names)), same, "left_anti")
     again = counts.where("stays").select(*names)
     if again.isEmpty():
         return alone
     several = docs.join(_bounded(again), same).dropDuplicates([gone_id, gone_mark])
-    return alone.unionByName(several.select(*(docs[c] for c in docs.columns)))
+    return alone.unionByName(several.select(*map(named, docs.columns)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

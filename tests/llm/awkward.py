@@ -3,7 +3,7 @@
 import random
 
 CLASHING = "key node mark root size n bin place row_hash source_key __block __slot __id __keep id_as_text gone_id".split()
-SHAPE = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, score string, fp string, lane string, words string, " + ", ".join(f"{c} string" for c in CLASHING)
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, score string, fp string, lane string, words string, " + ", ".join(f"{c} string" for c in CLASHING) + ", `a.b` string, `doc_id.text` string, `tick``s` string"
 
 
 def rows(seed=0, n=60):
@@ -21,7 +21,7 @@ def rows(seed=0, n=60):
     out += [(None, "a text without an id", "en", None, None), (n + 30, None, "en", "a", 0), (n + 31, "", None, None, 0), (n + 32, " \n\t ", "de", "c", 3), (n + 33, "123 !? 456", "en", "c", 3)]
     out += [(n + 34, ("again and again\n" * 400) + text(20_000), "en", "long", 9), (n + 35, "one", "en", "c", 3), (n + 36, " ", "en", "c", 1)]
     out += [(n + 37, "x " * 300, "en", "c", 3), (n + 38, "x " * 299, "en", "c", 3)]
-    return [(*r, 7, "clash", None, "x", "y", *CLASHING) for r in out]
+    return [(*r, 7, "clash", None, "x", "y", *CLASHING, "dot", "dots", None) for r in out]
 
 
 def frame(spark, data=None):

@@ -185,3 +185,16 @@ def test_packing_awkward(spark):
     places = Counter((r.lane, r.bin, r.place) for r in rows)
     assert max(places.values()) == 1
     assert P.best_fit_packing(awkward.empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "decimal(20,0)"])
+def test_packing_keeps_large_ids_beside_null(spark, kind):
+    ids = [None, 2**53 + 1, 2**53 + 3, -(2**62) - 1, None]
+    docs = spark.createDataFrame([(i, "a b c") for i in ids], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = P.best_fit_packing(docs, lane_rows=100).select(F.col("doc_id").cast("long")).collect()
+    assert sorted(str(r[0]) for r in got) == sorted(map(str, ids))
+
+
+def test_very_many_sources_of_one_block():
+    slots = M.schedule({f"s{i}": 1 for i in range(60_000)}, dict.fromkeys((f"s{i}" for i in range(60_000)), 1.0))
+    assert np.array_equal(np.sort(np.concatenate(list(slots.values()))), np.arange(60_000))
