@@ -158,3 +158,16 @@ def test_awkward_rows_and_digests(spark, seed):
     assert told == hashlib.sha256(b"assign:0:36,hex:6:36").hexdigest()
     assert S.secret_scan(empty(spark)).collect() == []
     assert S.secret_scan(frame(spark)).count() == frame(spark).count()
+
+
+def test_query_over_the_given_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = S.query(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        spans = slow_base(texts[r["doc_id"]])
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x[1] for x in spans) for k in range(3))
+        told = ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        assert r["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        assert r["n_random"] or r["spans"] == told
