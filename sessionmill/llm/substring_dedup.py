@@ -188,14 +188,13 @@ def passages(docs: DataFrame, hot: np.ndarray, window: int) -> DataFrame:
                 words = pa.array(words, pa.binary())
                 code = np.asarray(words.dictionary_encode().indices) if len(words) else np.empty(0, np.int64)
                 order = np.lexsort((at, keys[t.lo + doc], ids[t.lo + doc], code))
-                first_of = np.ones(len(order), bool)
+                first_of, again = np.ones(len(order), bool), np.zeros(len(order), bool)
                 first_of[1:] = code[order[1:]] != code[order[:-1]]
-                copy = np.ones(len(order), bool)
-                copy[order[first_of]] = False
-                # A copy may be the same document given twice: then it is no repeat, and both rows are alike.
-                own = np.empty(len(order), np.int64)
-                own[order] = order[np.flatnonzero(first_of)][np.cumsum(first_of) - 1] if len(order) else 0
-                same = copy & (keys[t.lo + doc] == keys[t.lo + doc[own]]) & (at == at[own]) & (ids[t.lo + doc] == ids[t.lo + doc[own]])
+                # The same document given twice is no repeat: one of equal rows stands for all.
+                for x in (code, ids[t.lo + doc], keys[t.lo + doc], at):
+                    again[1:] = (again[1:] if x is not code else True) & (x[order[1:]] == x[order[:-1]])
+                copy, same = np.empty(len(order), bool), np.empty(len(order), bool)
+                copy[order], same[order] = ~first_of, again
                 rows = np.flatnonzero(~same)
                 shard = np.where(copy, scramble(keys[t.lo + doc].view(np.uint64) + at.astype(np.uint64)).view(np.int64), shard)
                 words = pa.array(words.to_numpy(zero_copy_only=False), pa.binary(), mask=copy).take(pa.array(rows)) if len(rows) else pa.array([], pa.binary())
@@ -293,7 +292,8 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, anchor_words: int = AN
     found = shared_table(repeated_runs(read, window, anchor_words, hot_runs))
     most = found.where("key is null").orderBy(F.desc("n"), "anchor").limit(MAX_HOT)  # bounded
     hot = np.array([r["anchor"] for r in most.select("anchor").collect()], np.int64)
-    by_doc = found.where("key is not null").groupBy("key").agg(F.collect_list(F.struct("at", "n", "anchor")).alias("runs"))
+    # A set, as rows given twice have the same runs; a table, so that both sides of the join are plain shuffles and a key of very many rows is split.
+    by_doc = shared_table(found.where("key is not null").groupBy("key").agg(F.collect_set(F.struct("at", "n", "anchor")).alias("runs")))
     rows = passages(read.join(by_doc, "key").select("id", "key", "text", "runs", "no_id"), hot, window)
     return read, index_shards(rows, window, index_rows)
 
@@ -311,7 +311,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor_words: int = A
     gives an empty result.
     """
     read, removed = repeated_words(docs, window, anchor_words, hot_runs, index_rows, id_col, text_col)
-    intervals = removed.groupBy("key").agg(F.collect_list(F.struct("id", "since", "until")).alias("removed"))
+    intervals = shared_table(removed.groupBy("key").agg(F.collect_set(F.struct("id", "since", "until")).alias("removed")))
     joined = read.join(intervals, "key", "left").select("id", "no_id", "text", "removed")
 
     def run(batches):

@@ -105,3 +105,14 @@ def test_one_id_on_all_rows(spark):
         by_text.setdefault((r.kept_sha256, r.n_removed), 0)
         by_text[(r.kept_sha256, r.n_removed)] += 1
     assert len(rows) == 50 and len(by_text) == 30 and sorted(n for (_, n) in by_text) == [0] + [25] * 29
+
+
+def test_rows_given_very_often(spark):
+    """Equal rows of a document, in the first document of a passage and in a later one, give what one row gives."""
+    text = " ".join(f"w{i}" for i in range(300))
+    later = "x " + " ".join(f"w{i}" for i in range(100, 200)) + " y"
+    data = [(1, text), (2, later), (3, later), (None, text)]
+    want = brute(data, 20)
+    docs = spark.createDataFrame(data * 300, "doc_id long, text string").repartition(7)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in m.substring_dedup(docs, hot_runs=50).collect())
+    assert got == Counter({k: 300 * n for k, n in want.items()})
