@@ -115,7 +115,7 @@ def follow(spark: SparkSession, root: str, deliver: Callable[[DataFrame], None],
         snapshot()
         deliver(_placed(batch).join(F.broadcast(seen[0]), ["at_path", "at_line"], "left_anti").drop("at_path", "at_line"))
 
-    query = tail_events(spark, root, "latest").writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+    query = tail_events(spark, root, "latest", ledger=f"{checkpoint}/ledger" if checkpoint.startswith("/") else None).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
     query.processAllAvailable()  # from here on, the stream knows where it began
     snapshot()
     return query

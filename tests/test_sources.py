@@ -3,7 +3,7 @@ import os
 import pytest
 
 from sessionmill.sources.logs import corrupt_lines, expand, ingest_count, read_events, read_lines
-from sessionmill.sources.tail import log_files, tail_events, whole_lines
+from sessionmill.sources.tail import Ledger, TailReader, counts, line_start, lines_ending, log_sizes, tail_events, tail_lines
 
 
 def write(path, text, mode="w"):
@@ -69,13 +69,98 @@ def test_tilde(monkeypatch):
     assert [expand(p) for p in ("~/x", "~", "/abs", "rel")] == ["/home/test/x", "/home/test", "/abs", "rel"]
 
 
-def test_whole_lines(tmp_path):
-    path = f"{tmp_path}/a.jsonl"
+def test_sizes_and_lines_by_their_ends(tmp_path):
+    path = f"{tmp_path}/p/a.jsonl"
     write(path, "one\n\n two\nrest")
-    assert whole_lines(path, 0, 1 << 20) == (10, 2)
-    assert whole_lines(path, 0, 1) == (4, 1)
-    write(f"{tmp_path}/b.txt", "")
-    assert log_files(str(tmp_path)) == [path]
+    write(f"{tmp_path}/b.txt", "x")
+    write(f"{tmp_path}/c.JSONL", "x")
+    assert log_sizes(str(tmp_path)) == {path: 14} and log_sizes(f"{tmp_path}/none") == {}
+    for cut in range(15):
+        assert [*lines_ending(path, 0, cut), *lines_ending(path, cut, 14)] == [b"one\n", b"\n", b" two\n"]
+    with open(path, "rb") as f:
+        assert [line_start(f, at) for at in range(15)] == [0] * 4 + [4] + [5] * 5 + [10] * 5
+    assert [counts(x) for x in (b"a\n", b" \t\r\n", "\u2028\n".encode(), b"\x1c\n", b"\xff\n", "é\n".encode())] == [True, False, False, False, True, True]
+
+
+def test_line_starts_far_back(tmp_path):
+    path = f"{tmp_path}/a.jsonl"
+    write(path, "x\n" + "y" * 300_000 + "\nz\n")
+    with open(path, "rb") as f:
+        assert line_start(f, 300_000) == 2 and line_start(f, 300_003) == 300_003
+    assert [len(x) for x in lines_ending(path, 250_000, 400_000)] == [300_001, 2]
+
+
+def batches(root, ledger=None, most=1 << 20, part=1 << 20, starting="earliest"):
+    """Offsets and rows of a reader, batch after batch, without Spark; `grow` is called between them."""
+    reader = TailReader({"path": str(root), "startingOffsets": starting, "maxBytes": str(most), "partBytes": str(part), "ledger": str(ledger or "")})
+    at = reader.initialOffset()
+
+    def step():
+        nonlocal at
+        new = reader.latestOffset()
+        rows = [row[2:5] for p in reader.partitions(at, new) for row in reader.read(p)]
+        at = new
+        return rows
+
+    return step
+
+
+@pytest.mark.parametrize("ledger", [True, False])
+@pytest.mark.parametrize("most,part", [(1 << 20, 1 << 20), (7, 3), (1, 1), (64, 5)])
+def test_any_cut_gives_the_same_lines(tmp_path, ledger, most, part):
+    lines = [b'{"a":1}\n', b"\n", b" \r\n", "é\n".encode(), b"\xff\xfe\n", b"x" * 40 + b"\n", b"{bad}\r\n", "\u00a0\n".encode(), b"last\n"]
+    path = f"{tmp_path}/logs/a.jsonl"
+    write(path, b"".join(lines[:4]) + lines[4][:1])
+    step = batches(f"{tmp_path}/logs", tmp_path / "ledger" if ledger else None, most, part)
+    got = [row for _ in range(30) for row in step()]
+    write(path, lines[4][1:] + b"".join(lines[5:]) + b"no end", "a")
+    got += [row for _ in range(120) for row in step()]
+    assert got == [(0, 0, '{"a":1}\n'), (0, 1, "é\n"), (0, 3, "x" * 40 + "\n"), (0, 4, "{bad}\r\n"), (0, 5, "last\n")]
+    write(path, "new\n")
+    assert [row for _ in range(5) for row in step()] == [(1, 0, "new\n")]
+
+
+def test_the_driver_opens_no_log(tmp_path, monkeypatch):
+    write(f"{tmp_path}/a.jsonl", "1\n2\n")
+
+    def no(*args, **more):
+        raise AssertionError("opened a file")
+
+    monkeypatch.setattr("builtins.open", no)
+    for starting in ("earliest", "latest"):
+        reader = TailReader({"path": str(tmp_path), "startingOffsets": starting})
+        start, end = reader.initialOffset(), reader.latestOffset()
+        assert end == {f"{tmp_path}/a.jsonl": [4, 0]} and start == ({} if starting == "earliest" else end)
+        assert len(reader.partitions(start, end)) == 1
+
+
+def test_ledger_saves_counting_and_may_be_lost(tmp_path, monkeypatch):
+    path, folder = f"{tmp_path}/logs/a.jsonl", f"{tmp_path}/ledger"
+    step = batches(f"{tmp_path}/logs", folder)
+    read = []
+    real = lines_ending
+    monkeypatch.setattr("sessionmill.sources.tail.lines_ending", lambda p, a, b: (read.append(b - a), real(p, a, b))[1])
+    for i in range(20):
+        write(path, f"line {i}\n" * 100, "a")
+        assert [n for _, n, _ in step()] == list(range(100 * i, 100 * i + 100))
+    assert sum(read) == os.path.getsize(path)  # nothing was read twice
+    assert len(Ledger(folder, path, 0).known()) == 2
+    for d, _, names in os.walk(folder):
+        for n in names:
+            os.remove(f"{d}/{n}")
+    write(path, "more\n", "a")
+    assert [n for _, n, _ in step()] == [2000]
+
+
+def test_parts_of_a_batch_are_tasks_of_their_own(spark, tmp_path):
+    write(f"{tmp_path}/logs/a.jsonl", "".join(f'{{"n":{i}}}\n' for i in range(3000)))
+    lines = tail_lines(spark, f"{tmp_path}/logs", part_bytes=1000, ledger=f"{tmp_path}/ledger")
+    q = lines.selectExpr("*", "spark_partition_id() as part").writeStream.format("memory").queryName("parts").option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.processAllAvailable()
+    q.stop()
+    rows = spark.table("parts").orderBy("line_index").collect()
+    assert [r.line_index for r in rows] == list(range(3000)) and all(f":{r.line_index}}}" in r.raw for r in rows)
+    assert len({r.part for r in rows}) > 20
 
 
 @pytest.fixture
