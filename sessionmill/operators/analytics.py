@@ -119,13 +119,22 @@ def scaled(rows: DataFrame, value: str = "n", partition: str | None = None) -> D
     return rows.withColumn("height", F.col(value) / F.greatest(F.max(value).over(over), F.lit(1)))
 
 
-def matched_tool_calls(events: DataFrame) -> DataFrame:
-    """Extension: each embedded tool use with the first result, embedded or top-level, that carries its id in the same session."""
+def tool_uses(events: DataFrame) -> DataFrame:
+    """A row for each embedded tool use: session_id, seq, observed_at, tool_use_id, tool."""
     both = F.concat(blocks(at(F.col("entry"), "$.content")), blocks(at(F.col("entry"), "$.message.content")))
-    uses = events.select("session_id", "seq", F.explode(of_kind(both, "tool_use")).alias("b"))
-    uses = uses.select("session_id", F.col("seq").alias("use_seq"), str_at(F.col("b"), "$.id").alias("tool_use_id"), str_at(F.col("b"), "$.name").alias("tool"))
+    uses = events.select("session_id", "seq", "observed_at", F.explode(of_kind(both, "tool_use")).alias("b"))
+    return uses.select("session_id", "seq", "observed_at", str_at(F.col("b"), "$.id").alias("tool_use_id"), str_at(F.col("b"), "$.name").alias("tool"))
+
+
+def tool_results(events: DataFrame) -> DataFrame:
+    """A row for each result, embedded or top-level: session_id, seq, observed_at, tool_use_id."""
     top = F.when(F.col("event_type") == "tool_result", F.array_compact(F.array(str_at(F.col("entry"), "$.tool_use_id"))))
     every = F.concat("tool_results", F.coalesce(top, F.array().cast("array<string>")))
-    results = events.select("session_id", F.col("seq").alias("result_seq"), F.explode(every).alias("tool_use_id"))
-    results = results.groupBy("session_id", "tool_use_id").agg(F.min("result_seq").alias("result_seq"))
+    return events.select("session_id", "seq", "observed_at", F.explode(every).alias("tool_use_id"))
+
+
+def matched_tool_calls(events: DataFrame) -> DataFrame:
+    """Extension: each embedded tool use with the first result, embedded or top-level, that carries its id in the same session."""
+    uses = tool_uses(events).select("session_id", F.col("seq").alias("use_seq"), "tool_use_id", "tool")
+    results = tool_results(events).groupBy("session_id", "tool_use_id").agg(F.min("seq").alias("result_seq"))
     return uses.join(results, ["session_id", "tool_use_id"], "left")

@@ -9,11 +9,11 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionmill.operators.sessions import SESSION_RING, SNAPSHOT_EVENTS, fact_aggregates, last_events
+from sessionmill.operators.analytics import tool_results, tool_uses
+from sessionmill.operators.sessions import SNAPSHOT_EVENTS, fact_aggregates, last_events
 from sessionmill.sources.logs import read_events
 from sessionmill.sources.tail import tail_events
 
@@ -33,47 +33,23 @@ def live_rate(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     return events.withWatermark("observed_at", watermark).groupBy(F.window("observed_at", "1 minute")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def live_deduplicated(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Each event once, where repeats arrive within the watermark."""
-    return events.withWatermark("observed_at", watermark).dropDuplicatesWithinWatermark(["source_path", "line_index"])
+def live_matched_tool_calls(events: DataFrame, within: str = "10 minutes") -> DataFrame:
+    """Each embedded tool use with the first result that arrives at most `within` before or after it, or with none once that time is over (append mode).
 
-
-def _in_order(rows: list[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(rows, ignore_index=True).sort_values(["source_path", "line_index"], kind="stable")
-
-
-def _answer(key, parts, state):
-    asked = state.get[0] if state.exists else None
-    out = []
-    for row in _in_order(list(parts)).itertuples(index=False):
-        if row.event_type == "user":
-            asked = int(row.ms)
-        elif asked is not None:
-            out.append((key[0], row.source_path, int(row.line_index), int(row.ms) - asked))
-            asked = None
-    state.update((asked,))
-    if out:
-        yield pd.DataFrame(out, columns=["session_id", "source_path", "line_index", "latency_ms"])
-
-
-def live_latencies(events: DataFrame) -> DataFrame:
-    """Latency of each answer as it arrives. State: the time of a session's open question."""
-    turns = events.where(F.col("event_type").isin("user", "assistant"))
-    turns = turns.select("session_id", "source_path", "line_index", "event_type", F.unix_millis("event_ts").alias("ms"))
-    return turns.groupBy("session_id").applyInPandasWithState(_answer, "session_id string, source_path string, line_index long, latency_ms long", "asked long", "append", "NoTimeout")
-
-
-def live_rings(events: DataFrame, n: int = SESSION_RING) -> DataFrame:
-    """The last n events of each session as JSON, after each batch that changes them (update mode)."""
-
-    def ring(key, parts, state):
-        kept = list(state.get[0]) if state.exists else []
-        kept = [*kept, *_in_order(list(parts))["line"]][-n:]
-        state.update((kept,))
-        yield pd.DataFrame({"session_id": [key[0]], "n": [len(kept)], "lines": [kept]})
-
-    rows = events.select("session_id", "source_path", "line_index", F.to_json("entry").alias("line"))
-    return rows.groupBy("session_id").applyInPandasWithState(ring, "session_id string, n long, lines array<string>", "lines array<string>", "update", "NoTimeout")
+    Rows are session_id, use_path, use_line, tool_use_id, tool, result_path and result_line. State holds uses and results of about the last
+    two such times.
+    """
+    events = events.withWatermark("observed_at", within)  # of all events, so that time goes on where there are no tools
+    uses, results = tool_uses(events), tool_results(events)
+    uses = uses.select("session_id", "tool_use_id", "tool", F.col("seq.source_path").alias("use_path"), F.col("seq.line_index").alias("use_line"), F.col("observed_at").alias("used_at"))
+    results = results.dropDuplicatesWithinWatermark(["session_id", "tool_use_id"])
+    results = results.select(
+        F.col("session_id").alias("of_session"), F.col("tool_use_id").alias("of_use"), F.col("seq.source_path").alias("result_path"), F.col("seq.line_index").alias("result_line"),
+        F.col("observed_at").alias("answered_at"),
+    )
+    near = f"answered_at >= used_at - interval {within} and answered_at <= used_at + interval {within}"
+    both = uses.join(results, F.expr(f"session_id = of_session and tool_use_id = of_use and {near}"), "left_outer")
+    return both.select("session_id", "use_path", "use_line", "tool_use_id", "tool", "result_path", "result_line")
 
 
 def publish(events: DataFrame, subscribers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str):
@@ -125,3 +101,12 @@ def to_table(events: DataFrame, path: str, checkpoint: str):
     """Append events to a Parquet table, exactly once; entries are kept as JSON text."""
     rows = events.withColumn("entry", F.to_json("entry"))
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+
+
+def subscribe(spark: SparkSession, path: str, deliver: Callable[[DataFrame, int], None], checkpoint: str, files_per_batch: int = 1000):
+    """Start a reader of a table that to_table() fills. Each has a place of its own in it, kept in its checkpoint: it can be stopped and
+    goes on from there, start over with a new checkpoint, or lag without holding up another. After a failure a batch may come again
+    with the same number. Entries are JSON text."""
+    shape = spark.read.parquet(path).schema
+    rows = spark.readStream.schema(shape).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return rows.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).start()

@@ -7,7 +7,7 @@ from sessionmill.operators import analytics as A
 from sessionmill.operators import sessions as S
 from sessionmill.sources.logs import read_events
 from sessionmill.sources.tail import tail_events
-from sessionmill.streaming import live
+from sessionmill.streaming import live, stateful
 
 
 def grow(root, turns):
@@ -38,22 +38,6 @@ def test_facts_as_in_batch(spark, tmp_path):
     assert [got[c] for c in same] == [want[c] for c in same] and got.event_count == 7
 
 
-def test_latency_as_in_batch(spark, tmp_path):
-    root = f"{tmp_path}/logs"
-    q = live.live_latencies(tail_events(spark, root)).writeStream.outputMode("append").format("memory").queryName("lat").start()
-    run(q, root)
-    want = [(r.seq.line_index, r.latency_ms) for r in A.latencies(read_events(spark, root)).orderBy("seq").collect()]
-    assert sorted((r.line_index, r.latency_ms) for r in spark.table("lat").collect()) == want == [(1, 2000), (4, 4000)]
-
-
-def test_rings(spark, tmp_path):
-    root = f"{tmp_path}/logs"
-    q = live.live_rings(tail_events(spark, root), 2).writeStream.outputMode("update").format("memory").queryName("ring").start()
-    run(q, root)
-    last = spark.table("ring").collect()[-1]
-    assert last.n == 2 and [json.loads(x)["type"] for x in last.lines] == ["assistant", "system"]
-
-
 def test_tools_and_rate(spark, tmp_path):
     root = f"{tmp_path}/logs"
     q = live.live_tool_counts(tail_events(spark, root)).writeStream.outputMode("complete").format("memory").queryName("tools").start()
@@ -70,7 +54,7 @@ def test_publish_reaches_all_and_table_restarts(spark, tmp_path):
 
         return f
 
-    q = live.publish(live.live_deduplicated(tail_events(spark, root)), {n: add(n) for n in counts}, f"{tmp_path}/cp1")
+    q = live.publish(stateful.live_deduplicated(tail_events(spark, root)), {n: add(n) for n in counts}, f"{tmp_path}/cp1")
     run(q, root)
     assert counts == {"a": 7, "b": 7}
     for _ in range(2):  # the second start goes on from the first one's checkpoint
