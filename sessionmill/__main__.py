@@ -10,7 +10,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-from sessionmill.exports.write import FILES, exported, stream_text, write_dataset, write_file, write_folder
+from sessionmill.exports.fragments import write_export
+from sessionmill.exports.write import FILES, exported, stream_text, write_dataset, write_folder
 from sessionmill.operators import sessions as S
 from sessionmill.plans.api import UnknownSession
 from sessionmill.sources.logs import expand, read_events
@@ -72,11 +73,12 @@ def main(argv: list[str] | None = None) -> int:
     if args.format == "huggingface":
         write_dataset(events, chosen, expand(args.out), keep)
         return 0
+    if args.out and not args.folder:
+        write_export(events, chosen, args.format, expand(args.out), keep)
+        return 0
     rows = exported(events, chosen, args.format, keep)
-    if args.out and args.folder:
+    if args.out:
         write_folder(rows, expand(args.out))
-    elif args.out:
-        write_file(rows, args.format, expand(args.out))
     else:
         sys.stdout.writelines(stream_text(rows, args.format))
     return 0

@@ -43,8 +43,8 @@ def _shown(content: Column, pretty: Column) -> Column:
     return F.coalesce(F.when(kind(content) == "STRING", F.concat(str_at(content, "$"), F.lit("\n"))).otherwise(listed), F.lit(""))
 
 
-def transcripts(events: DataFrame, facts: DataFrame) -> DataFrame:
-    """session_id, last_seen and text, for each session of `facts`."""
+def pieces(events: DataFrame) -> DataFrame:
+    """session_id, seq and piece: the text of each event that has one."""
     entry, event_type = F.col("entry"), F.col("event_type")
     rows = events.where(event_type.isin("user", "assistant", "summary"))
     content = F.when(event_type == "assistant", at(entry, "$.message.content")).otherwise(content_of(entry))
@@ -58,8 +58,11 @@ def transcripts(events: DataFrame, facts: DataFrame) -> DataFrame:
         .when(event_type == "assistant", F.concat(F.lit("## 🤖 Assistant\n"), stamp, F.lit("\n"), body, F.lit("\n")))
         .otherwise(F.concat(F.lit("> **Summary:** "), F.col("told"), F.lit("\n\n")))
     )
-    pieces = rows.select("session_id", F.struct("seq", piece.alias("piece")).alias("p")).where("p.piece is not null")
-    told = pieces.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"]), "").alias("told"))
+    return rows.select("session_id", "seq", piece.alias("piece")).where("piece is not null")
+
+
+def headings(facts: DataFrame) -> DataFrame:
+    """session_id, last_seen and head: what stands above a session's events."""
     line = lambda label, c, mark="": F.coalesce(F.concat(F.lit(f"- **{label}:** {mark}"), c, F.lit(f"{mark}\n")), F.lit(""))
     head = F.concat(
         F.lit("# "),
@@ -71,4 +74,11 @@ def transcripts(events: DataFrame, facts: DataFrame) -> DataFrame:
         line("Branch", F.col("git_branch"), "`"),
         F.format_string("- **Events:** %d · **Cost (est.):** $%.4f · **Tokens out:** %d\n\n", "event_count", "cost_usd", "output_tokens"),
     )
-    return facts.join(told, "session_id", "left").select("session_id", "last_seen", F.concat(head, F.coalesce("told", F.lit(""))).alias("text"))
+    return facts.select("session_id", "last_seen", head.alias("head"))
+
+
+def transcripts(events: DataFrame, facts: DataFrame) -> DataFrame:
+    """session_id, last_seen and text, for each session of `facts`."""
+    own = pieces(events).select("session_id", F.struct("seq", "piece").alias("p"))
+    told = own.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"]), "").alias("told"))
+    return headings(facts).join(told, "session_id", "left").select("session_id", "last_seen", F.concat("head", F.coalesce("told", F.lit(""))).alias("text"))

@@ -119,19 +119,40 @@ FORMATS = {
 }
 
 
+def item_texts(events: DataFrame, parts) -> DataFrame:
+    """session_id, seq and text: the items of each event that has some, as JSON with commas between them."""
+    rows = events.select("session_id", "seq", parts(F.col("event_type"), F.col("entry")).alias("parts")).where(F.size("parts") > 0)
+    return rows.select("session_id", "seq", F.array_join(F.transform("parts", lambda x: F.to_json(x)), ",").alias("text"))
+
+
+def _record(fmt: str, items: Column) -> Column:
+    _, list_name, fields = FORMATS[fmt]
+    times = {"first_seen", "last_seen"}
+    metadata = F.struct(*(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias(c) if c in times else F.col(c).alias(c) for c in METADATA))
+    record = F.struct(*(F.col(c).alias(k) for k, c in fields.items()), items.alias(list_name), metadata.alias("metadata"))
+    return F.to_json(F.to_variant_object(record))
+
+
+def record_ends(facts: DataFrame, fmt: str) -> DataFrame:
+    """session_id, last_seen, head and tail: a session's record and its line end, without its items.
+
+    The record is written with an empty list, whose place is the first such pair of brackets after its name: names before it in the
+    record hold text, in which a quote has a backslash before it.
+    """
+    list_name = FORMATS[fmt][1]
+    empty = F.lit(f'"{list_name}":[')
+    line = facts.select("session_id", "last_seen", _record(fmt, nothing()).alias("line"))
+    cut = F.locate(f'"{list_name}":[]', F.col("line")) + F.length(empty) - 1
+    return line.select("session_id", "last_seen", F.left("line", cut).alias("head"), F.concat(F.substr("line", cut + 1), F.lit("\n")).alias("tail"))
+
+
 def records(events: DataFrame, facts: DataFrame, fmt: str) -> DataFrame:
     """session_id, last_seen and line (the JSON record), for each session of `facts`."""
-    parts, list_name, fields = FORMATS[fmt]
-    items = collected(events, parts(F.col("event_type"), F.col("entry")))
+    items = collected(events, FORMATS[fmt][0](F.col("event_type"), F.col("entry")))
     rows = facts.join(items, "session_id", "left").withColumn("items", F.coalesce("items", nothing()))
-    times = {"first_seen", "last_seen"}
-    metadata = F.struct(*(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias(c) if c in times else F.col(c).alias(c) for c in METADATA))
-    record = F.struct(*(F.col(c).alias(k) for k, c in fields.items()), F.col("items").alias(list_name), metadata.alias("metadata"))
-    return rows.select("session_id", "last_seen", F.to_json(F.to_variant_object(record)).alias("line"))
+    return rows.select("session_id", "last_seen", _record(fmt, F.col("items")).alias("line"))
 
 
 def raw_lines(events: DataFrame) -> DataFrame:
     """session_id, seq and line: each entry as normalised JSON."""
     return events.select("session_id", "seq", F.to_json("entry").alias("line"))
-
-

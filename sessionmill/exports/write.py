@@ -10,6 +10,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionmill.exports.fragments import BETWEEN_TRANSCRIPTS, HEAD, joints, write_export, write_one_file
 from sessionmill.exports.markdown import transcripts
 from sessionmill.exports.records import FORMATS, raw_lines, records
 from sessionmill.operators.sessions import SESSION_RING, recent_per_session
@@ -23,7 +24,6 @@ FILES = {
     "markdown": ("md", "text/markdown; charset=utf-8"),
     "huggingface": ("jsonl", "application/x-ndjson"),
 }
-BETWEEN_TRANSCRIPTS = "\n\n---\n\n"
 PREVIEW_CHARACTERS = 2_000
 
 
@@ -86,9 +86,9 @@ def preview_text(rows: DataFrame, fmt: str, n: int = PREVIEW_CHARACTERS) -> str:
 
 
 def write_file(rows: DataFrame, fmt: str, path: str) -> None:
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8", newline="") as out:
-        out.writelines(stream_text(rows, fmt))
+    """One file of an export's rows, written by many tasks; write_export() does the same for sessions of any size."""
+    text = F.col("line") if fmt == "markdown" else F.concat("line", F.lit("\n"))
+    write_one_file(rows.select(F.lit(HEAD).alias("kind"), text.alias("text")), path, joints(fmt))
 
 
 def _write_small(spark: SparkSession, path: str, pieces: Iterable[str]) -> None:
@@ -111,15 +111,14 @@ def dataset_numbers(facts: DataFrame) -> DataFrame:
 def write_dataset(events: DataFrame, facts: DataFrame, path: str, max_events: int | None = SESSION_RING, one_file: bool = False) -> None:
     """A dataset folder: train.jsonl, dataset_info.json and a README.md card.
 
-    train.jsonl is a folder of part files that tasks write in parallel; with `one_file` it is a single
-    file, through which the driver passes the records one partition at a time.
+    train.jsonl is a folder of part files; with `one_file` it is a single file. Tasks write either in parallel, but only the
+    latter way takes a session of any size.
     """
     spark = facts.sparkSession
-    rows = exported(events, facts, "huggingface", max_events)
     if one_file:
-        _write_small(spark, f"{path}/train.jsonl", stream_text(rows, "huggingface"))
+        write_export(events, facts, "huggingface", f"{path}/train.jsonl", max_events)
     else:
-        write_folder(rows, f"{path}/train.jsonl")
+        write_folder(exported(events, facts, "huggingface", max_events), f"{path}/train.jsonl")
     t = dataset_numbers(facts).first()
     info = {
         "description": "Coding-agent sessions, one record each: `messages` holds user and assistant messages whose `content` is a string or a list of content blocks.",
