@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionmill.functions.jsonx import at, blocks, of_kind, str_at
 from sessionmill.functions.text import project_name
+from sessionmill.operators.sessions import BLOCK_LINES, block_of
 
 TOP_TOOLS, TOP_SESSIONS, SPARK_BINS, TIMELINE_MINUTES = 15, 10, 24, 60
 
@@ -60,33 +63,66 @@ def project_groups(facts: DataFrame) -> DataFrame:
     return groups.withColumn("project", project_name(F.when(F.col("cwd") != "__unknown__", F.col("cwd"))))
 
 
-def latencies(events: DataFrame) -> DataFrame:
-    """Milliseconds from a user event to the first assistant event after it, other events aside."""
-    turns = events.where(F.col("event_type").isin("user", "assistant")).select("session_id", "seq", "event_type", "event_ts")
-    order = Window.partitionBy("session_id").orderBy("seq")
-    turns = turns.withColumn("before", F.lag("event_type").over(order)).withColumn("asked", F.lag("event_ts").over(order))
-    answered = turns.where("event_type = 'assistant' and before = 'user'")
-    return answered.select("session_id", "seq", (F.unix_millis("event_ts") - F.unix_millis("asked")).alias("latency_ms")).where("latency_ms is not null")
-
+def latencies(events: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """Milliseconds from a user event to the first assistant event after it, other events aside.
 
-def percentile_at(rows: DataFrame, value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
-    """One row: for each share p the value at place floor(n * p) of the sorted values (from 0), or 0 without values.
-
-    Approximate quantiles a little below and above each share give a bracket that is sure to hold the
-    wanted value, however the values are spread. Values below it are only counted, those above it
-    left out, and those inside, a few of `accuracy` parts of all, are sorted.
+    A session is worked on in blocks of lines, so a large one is many tasks. What a block leaves open is carried to the next by a small
+    table of the first and last turn of each block.
+    """
+    turns = events.where(F.col("event_type").isin("user", "assistant"))
+    turns = turns.select("session_id", F.col("seq.source_path").alias("path"), F.col("seq.line_index").alias("line"), "event_type", "event_ts")
+    turns = turns.withColumn("block", block_of(F.col("line"), block_lines))
+    block = ("session_id", "path", "block")
+    order = Window.partitionBy(*block).orderBy("line")
+    turns = turns.withColumns({"before": F.lag("event_type").over(order), "asked": F.lag("event_ts").over(order), "after": F.lead("event_type").over(order)})
+    inside = turns.where("event_type = 'assistant' and before = 'user'").select("session_id", "path", "line", "event_ts", "asked")
+    turn = F.struct("event_type", "event_ts", "line")
+    ends = turns.where("before is null or after is null").groupBy(*block).agg(F.min_by(turn, "line").alias("first"), F.max_by(turn, "line").alias("last"))
+    ends = ends.withColumn("open", F.lag("last").over(Window.partitionBy("session_id").orderBy("path", "block")))
+    across = ends.where("first.event_type = 'assistant' and open.event_type = 'user'").select("session_id", "path", "first.line", "first.event_ts", F.col("open.event_ts").alias("asked"))
+    seq = F.struct(F.col("path").alias("source_path"), F.col("line").alias("line_index"))
+    both = inside.unionByName(across)
+    return both.select("session_id", seq.alias("seq"), (F.unix_millis("event_ts") - F.unix_millis("asked")).alias("latency_ms")).where("latency_ms is not null")
+
+
+def percentile_at(rows: DataFrame, value: str, shares: dict[str, float], bins: int = 4096) -> DataFrame:
+    """One row: for each share p the value at place floor(n * p) of the sorted values (from 0), or 0 without values. Any numbers; nulls are left out.
+
+    Nothing is sorted. Values are counted in equal bins between the least and the greatest, all shares in one job; the bin that holds a
+    share's place is cut into bins again, until one value is left: a few passes, however the values are spread. The driver sees
+    `bins` counts of each share.
     """
     values = rows.select(F.col(value).alias("v")).where("v is not null")
-    edges = [min(max(p + side * 3 / accuracy, 0.0), 1.0) for p in shares.values() for side in (-1, 1)]
-    bounds = values.agg(F.percentile_approx("v", edges, accuracy).alias("at"), F.count(F.lit(1)).alias("total"))
-    wanted = [F.struct(F.lit(k).alias("name"), F.floor(F.col("total") * F.lit(p)).alias("place"), F.get("at", F.lit(2 * i)).alias("lo"), F.get("at", F.lit(2 * i + 1)).alias("hi")) for i, (k, p) in enumerate(shares.items())]
-    bounds = bounds.select(F.explode(F.array(*wanted)).alias("w")).select("w.*")
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    near = counts.crossJoin(F.broadcast(bounds)).where("v <= hi")  # bounds: one row for each share
-    near = near.groupBy("name", "place", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.sum("n").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("name").orderBy(F.asc_nulls_first("v")))
-    found = near.withColumn("upto", upto).where("place < upto").groupBy("name").agg(F.min("v").alias("v"))
-    return found.agg(*(F.coalesce(F.max(F.when(F.col("name") == k, F.col("v"))), F.lit(0)).alias(k) for k in shares))
+    kind = values.dtypes[0][1]
+    values.persist()
+    try:
+        n, low, high = values.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+        places = {k: math.floor(n * p) for k, p in shares.items()}
+        within = {k: (low, high, 0) for k in shares if places[k] < n}  # least, greatest, values below
+        while todo := {k: x for k, x in within.items() if x[0] != x[1]}:
+            asks = [F.when(F.col("v").between(F.lit(a), F.lit(b)), F.struct(F.lit(k).alias("name"), _bin(F.col("v"), a, b, bins).alias("bin"), "v")) for k, (a, b, _) in todo.items()]
+            held = values.select(F.explode(F.array_compact(F.array(*asks))).alias("x")).groupBy("x.name", "x.bin")
+            for r in sorted(held.agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("low"), F.max("x.v").alias("high")).collect(), key=lambda r: (r["name"], r["bin"])):
+                k = r["name"]
+                if k in todo:  # its place is in this bin or a later one
+                    below = within[k][2]
+                    here = below + r["n"] > places[k]
+                    within[k] = (r["low"], r["high"], below) if here else (*within[k][:2], below + r["n"])
+                    if here:
+                        todo.pop(k)
+    finally:
+        values.unpersist()
+    return rows.sparkSession.range(1).select(*(F.lit(within[k][0] if k in within else 0).cast(kind).alias(k) for k in shares))
+
+
+def _bin(v: Column, low, high, bins: int) -> Column:
+    """Which of the bins between two values; the two are never in the same."""
+    if isinstance(low, int) and high - low < 1 << 62:
+        from_low = v.cast("long") - F.lit(low)
+        width = -(-(high - low + 1) // bins)
+        return ((from_low - F.pmod(from_low, F.lit(width))) / F.lit(width)).cast("long") if width > 1 else from_low
+    share = (v.cast("double") - float(low)) / (float(high) - float(low))
+    return F.least(F.floor(share * bins), F.lit(bins - 1)).cast("long")
 
 
 def latency_percentiles(events: DataFrame) -> DataFrame:

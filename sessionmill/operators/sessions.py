@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SESSION_RING = 5_000
 GLOBAL_RING = 20_000
 SNAPSHOT_EVENTS = 500
+#: Lines of a file that one task takes of a session.
+BLOCK_LINES = 1 << 16
 
 FACT_COLUMNS = (
     "session_id", "first_seen", "last_seen", "last_entry_timestamp", "cwd", "git_branch", "version", "model", "title", "event_count", "user_count",
@@ -67,12 +69,27 @@ def order_sessions(facts: DataFrame) -> DataFrame:
     return facts.orderBy(F.desc("last_seen"), "session_id")
 
 
-def recent_per_session(events: DataFrame, n: int | None = SESSION_RING) -> DataFrame:
-    """The last n events of each session; None keeps all."""
+def block_of(line_index: Column, block_lines: int = BLOCK_LINES) -> Column:
+    """Which stretch of a file's lines a line is in; a session of any size is many of them."""
+    return F.floor(line_index / block_lines)
+
+
+def recent_per_session(events: DataFrame, n: int | None = SESSION_RING, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """The last n events of each session; None keeps all.
+
+    Counts of blocks of lines tell how many events come after each block, so blocks that are too old fall away as a whole, and each of the
+    others keeps its own last ones: no session is sorted in one task.
+    """
     if n is None:
         return events
-    newest = Window.partitionBy("session_id").orderBy(F.desc("seq"))
-    return events.withColumn("__nth", F.row_number().over(newest)).where(F.col("__nth") <= n).drop("__nth")
+    block = ["session_id", "__path", "__block"]
+    rows = events.withColumns({"__path": F.col("seq.source_path"), "__block": block_of(F.col("seq.line_index"), block_lines)})
+    later = Window.partitionBy("session_id").orderBy(F.desc("__path"), F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("__n"))
+    kept = counts.select(*block, F.coalesce(F.sum("__n").over(later), F.lit(0)).alias("__after")).where(F.col("__after") < n)
+    newest = Window.partitionBy(*block).orderBy(F.desc("seq"))
+    rows = rows.join(kept, block).withColumn("__nth", F.row_number().over(newest)).where(F.col("__nth") + F.col("__after") <= n)
+    return rows.select(*events.columns)
 
 
 def last_events(events: DataFrame, n: int = GLOBAL_RING) -> DataFrame:

@@ -239,6 +239,26 @@ def recent_per_session(spark, sf_dir):
     return S.recent_per_session(events_table(spark, sf_dir), 20).select("session_id", "line_index")
 
 
+# A third of all events in one session, in small blocks: what a hot session does to the operators above.
+HOT = EV.replace("SELECT 'u' || user_id AS session_id", "SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE 'u' || user_id END AS session_id")
+assert HOT != EV
+
+
+def hot_table(spark, sf_dir):
+    events = events_table(spark, sf_dir)
+    return events.withColumn("session_id", F.when(F.pmod("line_index", F.lit(3)) == 0, "hot").otherwise(F.col("session_id")))
+
+
+@query("latency_hot_session", HOT + LATENCY + "SELECT session_id, line_index, latency_ms FROM lat")
+def latency_hot_session(spark, sf_dir):
+    return A.latencies(hot_table(spark, sf_dir), 1024).select("session_id", F.col("seq.line_index").alias("line_index"), "latency_ms")
+
+
+@query("recent_hot_session", HOT + "SELECT session_id, line_index FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_index DESC) AS rn FROM ec) WHERE rn <= 3000")
+def recent_hot_session(spark, sf_dir):
+    return S.recent_per_session(hot_table(spark, sf_dir), 3000, 1024).select("session_id", "line_index")
+
+
 @query("tail_events", EV + "SELECT session_id, line_index FROM ec ORDER BY ts DESC, line_index DESC LIMIT 500")
 def tail_events(spark, sf_dir):
     return S.last_events(events_table(spark, sf_dir), 500).select("session_id", "line_index")

@@ -88,8 +88,26 @@ def test_latency_is_the_stateful_loop(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["user", "assistant", "system", "tool_use"]), rng.randrange(59_000)) for _ in range(200)]
     df = events_of(spark, *(entry(k, timestamp=at(t)) for k, t in rows))
-    got = [r.latency_ms for r in A.latencies(df).orderBy("seq").collect()]
-    assert got == loop_latencies(rows)
+    for block_lines in (1 << 16, 1, 3, 50):  # whatever the cuts
+        got = [r.latency_ms for r in A.latencies(df, block_lines).orderBy("seq").collect()]
+        assert got == loop_latencies(rows)
+
+
+@pytest.mark.parametrize("block_lines", [1, 4, 1 << 16])
+@pytest.mark.parametrize("n", [1, 5, 30, 1000])
+def test_rings_of_blocks(spark, n, block_lines):
+    """Sessions over several files and blocks, one of them with half of all events."""
+    a = events_of(spark, *(entry("user", "hot" if i % 2 else f"s{i % 5}") for i in range(60)), path="a.jsonl")
+    b = events_of(spark, *(entry("user", "hot" if i % 3 else f"s{i % 7}") for i in range(40)), path="b.jsonl", start=3)
+    df = a.unionByName(b)
+    every = {}
+    for r in sorted(df.select("session_id", "seq").collect(), key=lambda r: tuple(r.seq)):
+        every.setdefault(r.session_id, []).append(tuple(r.seq))
+    got = {}
+    for r in S.recent_per_session(df, n, block_lines).collect():
+        got.setdefault(r.session_id, []).append(tuple(r.seq))
+    assert {k: sorted(v) for k, v in got.items()} == {k: v[-n:] for k, v in every.items()}
+    assert S.recent_per_session(df, n, block_lines).columns == df.columns
 
 
 @pytest.mark.parametrize("values", [[], [7], [1, 2], [4, 1, 3, 2], [5] * 9 + [1], list(range(1000, 0, -1)), [*range(3000), 10**15], [-(10**15)] * 70 + list(range(30))])
@@ -97,8 +115,21 @@ def test_percentile_places(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x long").repartition(3)
     s = sorted(values)
     want = tuple(s[int(len(s) * p)] if s else 0 for p in (0.5, 0.95, 0.0))
-    for accuracy in (10_000, 50):
-        assert tuple(A.percentile_at(df, "x", {"p50": 0.5, "p95": 0.95, "p0": 0.0}, accuracy).first()) == want
+    for bins in (4096, 2, 7):
+        assert tuple(A.percentile_at(df, "x", {"p50": 0.5, "p95": 0.95, "p0": 0.0}, bins).first()) == want
+    for kind in ("double", "int") if max(map(abs, values), default=0) < 2**31 else ("double",):
+        typed = df.select(F.col("x").cast(kind))
+        assert tuple(A.percentile_at(typed, "x", {"p50": 0.5, "p95": 0.95, "p0": 0.0}, 16).first()) == want
+
+
+def test_percentiles_of_far_apart_and_of_real_numbers(spark):
+    wide = [-(2**63), 2**63 - 1, 2**62, 2**62 + 1, 2**62 + 2, 5, 6, -(2**62)]
+    df = spark.createDataFrame([(v,) for v in wide], "x long")
+    shares = {f"p{i}": i / 8 for i in range(8)}
+    assert list(A.percentile_at(df, "x", shares, 4).first()) == sorted(wide)
+    real = [0.1 * i * (-1) ** i for i in range(50)] + [1e300, 1e-300, 0.1, 0.1]
+    df = spark.createDataFrame([(v,) for v in real] + [(None,)], "x double")
+    assert A.percentile_at(df, "x", {"p": 0.3, "q": 0.99}, 8).first() == (sorted(real)[int(54 * 0.3)], sorted(real)[int(54 * 0.99)])
 
 
 def test_sparkline(spark):
