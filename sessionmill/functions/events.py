@@ -125,9 +125,3 @@ def enriched(lines: DataFrame) -> DataFrame:
     observed = F.coalesce("observed_at", "given_ts")
     rows = rows.withColumns({"event_ts": F.coalesce(F.col("given_ts"), observed), "observed_at": observed})
     return rows.select(*EVENT_COLUMNS)
-
-
-def block_count(entry: Column, name: str) -> Column:
-    """Content blocks of this type in either place."""
-    both = F.concat(blocks(at(entry, "$.content")), blocks(at(entry, "$.message.content")))
-    return F.size(F.filter(both, lambda b: is_kind(b, name)))

@@ -28,8 +28,9 @@ def of_feed_type(name: str) -> Column:
 
 
 def searchable(events: DataFrame) -> DataFrame:
-    """Adds search_text, lower-cased once, so that a stored event table need not turn entries into text again for each search."""
-    return events.withColumn("search_text", F.lower(F.concat_ws(" ", "summary", "session_id", F.array_join("tool_uses", " "), F.to_json("entry"))))
+    """Adds search_text, lower-cased once, so that a stored event table need not turn entries into text again for each search. Entries may be JSON text already."""
+    entry = F.col("entry") if events.schema["entry"].dataType.typeName() == "string" else F.to_json("entry")
+    return events.withColumn("search_text", F.lower(F.concat_ws(" ", "summary", "session_id", F.array_join("tool_uses", " "), entry)))
 
 
 @dataclass(frozen=True)

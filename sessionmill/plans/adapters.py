@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,5 +72,15 @@ def events_table(spark: SparkSession, sf_dir: str, call: str = "event_id") -> Da
     return enriched(event_lines(spread(spark.read.parquet(f"{sf_dir}/events.parquet")), call))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share; a local one only where none is named and Spark is local."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
+    return f"{named}/{uuid.uuid4().hex}"
+
+
 def conversations_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enriched(conversation_lines(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))

@@ -12,7 +12,8 @@ from sessionmill.operators import analytics as A
 from sessionmill.operators import search as Q
 from sessionmill.operators import sessions as S
 from sessionmill.operators import sidecar as B
-from sessionmill.plans.adapters import conversations_table, events_table
+from sessionmill.operators.text_index import index_files, indexed_feed
+from sessionmill.plans.adapters import conversations_table, events_table, scratch
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -297,6 +298,16 @@ def feed_filter_tool_result(spark, sf_dir):
     return Q.feed(events_table(spark, sf_dir), Q.FilterSpec(type="tool_result")).select("session_id", "line_index")
 
 
+@query("feed_search_indexed", CV + "SELECT session_id, line_index FROM cv WHERE contains(lower(text), 'and th')")
+def feed_search_indexed(spark, sf_dir):
+    """The event table stored by session, a trigram index over its files, and a search in those that may hold the text."""
+    table, index = (f"{scratch(spark)}/{x}" for x in ("events", "index"))
+    events = conversations_table(spark, sf_dir).withColumn("entry", F.to_json("entry"))
+    events.repartitionByRange(16, "session_id").write.parquet(table)
+    index_files(spark, table, index)
+    return indexed_feed(spark, table, index, Q.FilterSpec(search="AND th")).select("session_id", "line_index")
+
+
 @query("feed_search", CV + "SELECT session_id, line_index FROM cv WHERE contains(lower(text), 'and ')")
 def feed_search(spark, sf_dir):
     return Q.feed(conversations_table(spark, sf_dir), Q.FilterSpec(search="AND ")).select("session_id", "line_index")
