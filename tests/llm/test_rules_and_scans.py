@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -132,3 +133,22 @@ def test_awkward_rows(spark):
     found = {r.doc_id: (r.n_sentences, r.sentence_ids, r.licenses) for r in rows if r.n_sentences}
     assert found == {9000: (1, "cc0_notice", "CC0-1.0"), 9001: (1, "mit_notice", "MIT"), 9002: (1, "mit_notice", "MIT")}
     assert license_scan.license_scan(awkward.empty(spark)).count() == 0
+
+
+def test_a_dear_rule_goes_last_and_a_cheap_one_that_rejects_first(spark):
+    """Ten of ten times, though what the dear rule works out is shared with others."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["word", "x" * 60]) + str(rng.randrange(400)) for _ in range(300)) for _ in range(240)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).persist()
+    shared = "size(array_distinct(transform(words, w -> sha2(w, 256))))"
+    rules = (
+        quality_rules.Rule("dear", f"{shared} < 3 or {shared} = n_words + 1"),
+        quality_rules.Rule("middling", "length(regexp_replace(body, '[^x]+', '')) = 7"),
+        quality_rules.Rule("cheap", "n_words = 300 and n_lines = 1 and word_chars % 2 = 0"),
+        quality_rules.Rule("idle", "n_words = 7"),
+    )
+    for _ in range(10):
+        failed, cost = quality_rules.measured_rules(docs, rules)
+        assert min(cost) > 0 and max(cost) == cost[0] and sum(failed.values()) == 240
+        order = [r.name for r in quality_rules.greedy_order(rules, failed, cost)]
+        assert order[0] == "cheap" and order[-1] == "dear"
