@@ -85,26 +85,42 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True) if z.size else z
 
 
-def bags(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text its distinct buckets and their shares; none for a text without subwords."""
+def counted(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct buckets and how often each stands there; none for a text without subwords."""
     out = []
     for t in texts(column, lower=True):
         found = list(subwords(t))
         cuts = [np.searchsorted(at, t.offsets) for _, at in found]
         for i in range(t.hi - t.lo):
             own = [b[c[i] : c[i + 1]] for (b, _), c in zip(found, cuts, strict=True)]
-            buckets, counts = np.unique(np.concatenate(own) if own else np.empty(0, np.int64), return_counts=True)
-            out.append((buckets, counts / max(1, counts.sum())))
+            out.append(np.unique(np.concatenate(own) if own else np.empty(0, np.int64), return_counts=True))
     return out
 
 
-def fit(column: pa.Array, labels: list[str], dims: int = 16, epochs: int = 6, rate: float = 20.0, precision: float = 0.98, seed: int = 3) -> LanguageModel:
+def bags(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct buckets and their shares."""
+    return [(buckets, n / max(1, n.sum())) for buckets, n in counted(column)]
+
+
+def _bags(batches):
+    """doc_id, lang and the buckets and counts of the text, as bytes: no more than BUCKETS of each, however long the text is."""
+    for batch in batches:
+        own = counted(batch.column(2))
+        columns = [pa.array([b.astype(np.uint16).tobytes() for b, _ in own], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in own], pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "lang", "buckets", "counts"])
+
+
+def fit(column: pa.Array, labels: list[str], **options) -> LanguageModel:
+    """Fit on texts that are here already."""
+    return fit_bags(bags(column), labels, **options)
+
+
+def fit_bags(whole: list[tuple[np.ndarray, np.ndarray]], labels: list[str], dims: int = 16, epochs: int = 6, rate: float = 20.0, precision: float = 0.98, seed: int = 3) -> LanguageModel:
     languages = tuple(sorted(set(labels)))
     y = np.array([languages.index(x) for x in labels], int)
     rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 0.1, (BUCKETS, dims)).astype(np.float32)
     weights, bias = rng.normal(0, 0.1, (dims, len(languages))), np.zeros(len(languages))
-    whole = bags(column)
     order = rng.permutation(len(y))
     kept = order[: len(y) // 5] if len(y) >= 50 else order[:0]
     learned = order[len(kept) :]
@@ -153,10 +169,14 @@ def train(docs: DataFrame, held_out_fold: int | None = 0, per_language: int = PE
     first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
     chosen = drawn.withColumn("nth", first).where(F.col("nth") <= limit).select("doc_id", "lang")  # bounded, so it may be broadcast
     rows = known.join(F.broadcast(chosen), ["doc_id", "lang"])
-    rows = rows.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "t.text", "lang").toArrow()
+    rows = rows.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "lang", "t.text")
+    # Texts stay in the tasks: the driver gets their bags, whose size has a bound.
+    rows = rows.mapInArrow(_bags, f"doc_id {dict(rows.dtypes)['doc_id']}, lang string, buckets binary, counts binary").toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(zero_copy_only=False), kind="stable")
     rows = rows.take(pa.array(order))
-    return fit(rows.column("text").combine_chunks(), rows.column("lang").to_pylist(), **options)
+    held = zip(rows.column("buckets").to_pylist(), rows.column("counts").to_pylist(), strict=True)
+    whole = [(np.frombuffer(b, np.uint16).astype(np.int64), np.frombuffer(n, np.uint32)) for b, n in held]
+    return fit_bags([(b, n / max(1, n.sum())) for b, n in whole], rows.column("lang").to_pylist(), **options)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
