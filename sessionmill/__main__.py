@@ -6,13 +6,13 @@ import argparse
 import json
 import os
 import sys
-import tempfile
 
 from pyspark.sql import SparkSession
 
 from sessionmill.exports.fragments import write_export
 from sessionmill.exports.write import FILES, exported, stream_text, write_dataset, write_folder
 from sessionmill.operators import sessions as S
+from sessionmill.plans.adapters import scratch
 from sessionmill.plans.api import UnknownSession
 from sessionmill.sources.logs import expand, read_events
 
@@ -49,10 +49,10 @@ def main(argv: list[str] | None = None) -> int:
 
         if args.feed:
             shown = ["session_id", "line_index", "event_type", "observed_at", "summary"]
-            with tempfile.TemporaryDirectory() as checkpoint:  # the driver's own; a feed starts anew each time
-                query = follow(spark, args.root, lambda rows: [print(r, flush=True) for r in rows.orderBy("observed_at", "seq").select(*shown).toJSON().toLocalIterator()], checkpoint)
-                query.awaitTermination(args.seconds) if args.seconds else query.awaitTermination()
-                query.stop()
+            # A new folder each time, as a feed starts anew.
+            query = follow(spark, args.root, lambda rows: [print(r, flush=True) for r in rows.orderBy("observed_at", "seq").select(*shown).toJSON().toLocalIterator()], scratch(spark))
+            query.awaitTermination(args.seconds) if args.seconds else query.awaitTermination()
+            query.stop()
             return 0
         facts = live_facts(tail_events(spark, args.root, "latest" if args.from_end else "earliest"))
         query = facts.writeStream.outputMode("update").format("console").start()

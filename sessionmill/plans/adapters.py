@@ -26,6 +26,27 @@ def conversation_lines(conversations: DataFrame) -> DataFrame:
     return conversations.select(F.lit("conversations").alias("source_path"), F.lit("conversations").alias("fallback_id"), c("turn").alias("line_index"), F.to_json(line).alias("raw"), at.alias("observed_at"))
 
 
+def block_lines(conversations: DataFrame) -> DataFrame:
+    """A turn as a message of one of six contents in turn: a string, text and a tool use, a tool result, thinking and text, a result of JSON with text, and kinds without text before text."""
+    c = F.col
+    quoted = lambda x: F.expr(f"substr(to_json(array({x})), 2, length(to_json(array({x}))) - 2)")
+    text, use = quoted("text"), F.concat(F.lit("t"), c("conv_id").cast("string"), F.lit("-"), c("turn").cast("string"))
+    said = F.concat(F.lit('{"type":"text","text":'), text, F.lit("}"))
+    number = F.concat(F.lit('{"n":'), c("turn").cast("string"), F.lit("}"))
+    used = F.concat(F.lit('{"type":"tool_use","name":"look","id":"'), use, F.lit('","input":'), number, F.lit("}"))
+    result = lambda body: F.concat(F.lit('{"type":"tool_result","tool_use_id":"'), use, F.lit('","content":'), body, F.lit("}"))
+    several = lambda *x: F.concat(F.lit("["), F.concat_ws(",", *x), F.lit("]"))
+    contents = (
+        text, several(said, used), several(result(text)), several(F.concat(F.lit('{"type":"thinking","thinking":'), text, F.lit("}")), said), several(result(number), said),
+        several(F.lit('{"type":"image","source":{}}'), F.lit('{"type":"chart"}'), said),
+    )
+    kind = F.pmod(c("conv_id") + c("turn"), F.lit(len(contents)))
+    content = F.coalesce(*(F.when(kind == i, x) for i, x in enumerate(contents)))
+    raw = F.concat(F.lit('{"type":"'), c("role"), F.lit('","sessionId":"conv-'), c("conv_id").cast("string"), F.lit('","message":{"content":'), content, F.lit("}}"))
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + c("conv_id") * 3600 + c("turn") * 60)
+    return conversations.select(F.lit("conversations").alias("source_path"), F.lit("conversations").alias("fallback_id"), c("turn").alias("line_index"), raw.alias("raw"), at.alias("observed_at"))
+
+
 def event_lines(events: DataFrame, call: str = "event_id") -> DataFrame:
     """A user's clicks as user messages, views as assistant messages that use a tool, purchases as top-level tool uses, errors as tool results, sign-ups as system events.
 
@@ -84,3 +105,7 @@ def scratch(spark: SparkSession) -> str:
 
 def conversations_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enriched(conversation_lines(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+def blocks_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enriched(block_lines(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))

@@ -13,7 +13,7 @@ from sessionmill.operators import search as Q
 from sessionmill.operators import sessions as S
 from sessionmill.operators import sidecar as B
 from sessionmill.operators.text_index import index_files, indexed_feed
-from sessionmill.plans.adapters import conversations_table, events_table, scratch
+from sessionmill.plans.adapters import blocks_table, conversations_table, events_table, scratch
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -345,6 +345,42 @@ def conversation(spark, sf_dir):
     return rows.select("session_id", F.col("seq.line_index").alias("line_index"), "role", F.size("parts").alias("parts"), F.get("parts", F.lit(0))["text"].alias("text"), "only_tool_results")
 
 
+# The messages of adapters.block_lines(), for DuckDB: kind, tool id and JSON number of each turn.
+BL = """
+WITH bl AS (SELECT 'conv-' || conv_id AS session_id, turn AS line_index, role, text, (conv_id + turn) % 6 AS m, 't' || conv_id || '-' || turn AS use, '{"n":' || turn || '}' AS number FROM conversations)
+"""
+
+
+@query("content_parts", BL + """, p AS (
+  SELECT *, CASE WHEN m = 0 THEN ['text'] WHEN m = 1 THEN ['text', 'tool_use'] WHEN m = 2 THEN ['tool_result'] WHEN m = 3 THEN ['thinking', 'text'] WHEN m = 4 THEN ['tool_result', 'text'] ELSE ['image', 'other', 'text'] END AS kinds
+  FROM bl WHERE role IN ('user', 'assistant', 'system', 'summary')
+), e AS (SELECT *, unnest(kinds) AS kind, generate_subscripts(kinds, 1) - 1 AS place FROM p)
+SELECT session_id, line_index, CAST(place AS INTEGER) AS place, kind, CASE WHEN kind IN ('text', 'thinking') THEN text END AS text, CASE WHEN kind = 'tool_use' THEN 'look' END AS name,
+  CASE WHEN kind IN ('tool_use', 'tool_result') THEN use END AS id, CASE WHEN kind = 'tool_use' OR (kind = 'tool_result' AND m = 4) THEN number WHEN kind = 'tool_result' THEN text END AS body, m = 2 AS only_tool_results
+FROM e""")
+def content_parts(spark, sf_dir):
+    rows = Q.conversation(blocks_table(spark, sf_dir))
+    rows = rows.select("session_id", F.col("seq.line_index").alias("line_index"), "only_tool_results", F.posexplode("parts").alias("place", "p"))
+    return rows.select("session_id", "line_index", "place", "p.kind", "p.text", "p.name", "p.id", "p.body", "only_tool_results")
+
+
+@query("export_tool_chat", BL + """, m1 AS (
+  SELECT session_id, line_index, 0 AS sub, CASE WHEN m IN (2, 4) THEN 'tool' ELSE 'user' END AS role, CASE WHEN m = 4 THEN number ELSE text END AS content, CASE WHEN m IN (2, 4) THEN use END AS tool_call_id, NULL AS call FROM bl WHERE role = 'user'
+  UNION ALL SELECT session_id, line_index, 1, 'user', text, NULL, NULL FROM bl WHERE role = 'user' AND m = 4
+  UNION ALL SELECT session_id, line_index, 0, 'assistant', CASE WHEN m <> 2 THEN text END, NULL, CASE WHEN m = 1 THEN use || ' look ' || number END FROM bl WHERE role = 'assistant'
+)
+SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY line_index, sub) - 1 AS INTEGER) AS place, role, content, tool_call_id, call FROM m1""")
+def export_tool_chat(spark, sf_dir):
+    """Every message of the tool-calling export, tool results and calls included."""
+    events = blocks_table(spark, sf_dir)
+    message = "struct<role:string,content:string,tool_call_id:string,tool_calls:array<struct<id:string,function:struct<name:string,arguments:string>>>>"
+    rows = exported(events, S.sessions(events), "openai", max_events=None).select("session_id", F.from_json("line", f"messages array<{message}>").alias("r"))
+    rows = rows.select("session_id", F.posexplode("r.messages").alias("place", "m"))
+    call = F.get("m.tool_calls", F.lit(0))
+    told = F.when(call.isNotNull(), F.concat_ws(" ", call["id"], call["function"]["name"], call["function"]["arguments"]))
+    return rows.select("session_id", "place", "m.role", "m.content", "m.tool_call_id", told.alias("call"))
+
+
 @query("min_events_filter", EV + "SELECT session_id, event_count FROM facts WHERE event_count >= 70")
 def min_events_filter(spark, sf_dir):
     return S.with_min_events(S.session_facts(events_table(spark, sf_dir)), 70).select("session_id", "event_count")
