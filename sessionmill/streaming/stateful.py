@@ -1,4 +1,4 @@
-"""Live operators with keyed state of their own: rings, latency, liveness, and every line once.
+"""Live operators with keyed state of their own: rings, latency, liveness, a rolling hour, and every line once.
 
 State is in RocksDB, one entry for each line of a ring, so an update writes what is new and reads no more than it needs. It survives
 restarts with the query's checkpoint, and the ring can be read back from there as a table.
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from sessionmill.functions.events import enriched
+from sessionmill.operators.analytics import TIMELINE_MINUTES
 from sessionmill.operators.sessions import SESSION_RING
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -22,10 +23,10 @@ PLACE = ["source_path", "line_index"]
 LIVE_MS = 10_000
 
 
-def keyed(rows: DataFrame, key: str, processor: StatefulProcessor, shape: str, time_mode: str = "None") -> DataFrame:
+def keyed(rows: DataFrame, key: str | list[str], processor: StatefulProcessor, shape: str, time_mode: str = "None") -> DataFrame:
     """Run a processor for each key. Its kind of state needs RocksDB, which is set for queries that the session starts from here on."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return rows.groupBy(key).transformWithStateInPandas(processor, shape, "Append", time_mode)
+    return rows.groupBy(*([key] if isinstance(key, str) else key)).transformWithStateInPandas(processor, shape, "Append", time_mode)
 
 
 def in_order(parts: Iterable[pd.DataFrame]) -> pd.DataFrame:
@@ -203,3 +204,51 @@ class Liveness(StatefulProcessor):
 def live_status(events: DataFrame, span_ms: int = LIVE_MS) -> DataFrame:
     """A row when a session starts to run and one when it has been still for `span_ms`, by the clock and not by later events."""
     return keyed(events.select("session_id", F.unix_millis("observed_at").alias("ms")), "session_id", Liveness(span_ms), Liveness.SHAPE, "ProcessingTime")
+
+
+class Minutes(StatefulProcessor):
+    """Events of a minute, as a running count that ends when the minute has left the view."""
+
+    SHAPE = "minute timestamp, shard long, n long"
+
+    def __init__(self, minutes: int):
+        self.span = minutes * 60_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        end = int(key[0]) * 60_000 + self.span
+        new = sum(len(part) for part in rows)
+        if end <= timerValues.getCurrentProcessingTimeInMs():
+            return  # too old for the view
+        before = self.count.get()[0] if self.count.exists() else None
+        if before is None:
+            self.handle.registerTimer(end)
+        self.count.update(((before or 0) + new,))
+        yield self._told(key, (before or 0) + new)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.count.clear()
+        yield self._told(key, 0)
+
+    def _told(self, key, n: int) -> pd.DataFrame:
+        return pd.DataFrame({"minute": [pd.Timestamp(int(key[0]) * 60_000, unit="ms", tz="UTC")], "shard": [int(key[1])], "n": [n]})
+
+    def close(self) -> None:
+        pass
+
+
+def live_minutes(events: DataFrame, minutes: int = TIMELINE_MINUTES, shards: int = 16) -> DataFrame:
+    """The rolling view of the last `minutes` minutes: each minute's running count as it grows, and 0 when the minute leaves the view, by the
+    clock and without new events. A minute is shared out over `shards` keys by file; minutes_now() adds the last count of each."""
+    shard = F.pmod(F.xxhash64("source_path"), F.lit(shards))
+    rows = events.select(F.floor(F.unix_millis("observed_at") / 60_000).cast("long").alias("at"), shard.alias("shard"))
+    return keyed(rows, ["at", "shard"], Minutes(minutes), Minutes.SHAPE, "ProcessingTime")
+
+
+def minutes_now(told: DataFrame) -> DataFrame:
+    """minute and n, from a table of the rows of live_minutes(): counts only grow until the 0 that ends them."""
+    last = told.groupBy("minute", "shard").agg(F.max("n").alias("n"), F.min("n").alias("least"))
+    return last.where("least > 0").groupBy("minute").agg(F.sum("n").alias("n"))

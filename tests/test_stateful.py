@@ -107,6 +107,38 @@ def test_a_session_turns_idle_by_the_clock():
     assert told(given(status, fake, "s", ms=[129_000])) == [("s", True, 130_000)]
 
 
+def test_a_rolling_view_decays_without_events():
+    minute = 60_000
+    view, told = stateful.Minutes(60), []
+    first = begun(view)
+    first.now = 1000 * minute + 5
+    told += [r for part in view.handleInputRows((1000, 0), iter([pd.DataFrame({"x": [1, 1, 1]})]), first) for r in part.itertuples(index=False)]
+    told += [r for part in view.handleInputRows((1000, 0), iter([pd.DataFrame({"x": [1]})]), first) for r in part.itertuples(index=False)]
+    assert [r.n for r in told] == [3, 4] and first.timers == {1060 * minute}
+    first.now = 1059 * minute
+    assert first.due(view, (1000, 0)) == []
+    first.now = 1060 * minute
+    assert [r.n for r in first.due(view, (1000, 0))] == [0] and not first.values
+    assert list(view.handleInputRows((1000, 0), iter([pd.DataFrame({"x": [1]})]), first)) == []  # read late: out of view
+
+
+def test_minutes_of_a_log(spark, started, tmp_path):
+    """A query with timers never runs out of batches, so the table is looked at until it has all."""
+    import time
+
+    root, total, rows = f"{tmp_path}/logs", 0, []
+    grow(root, FIRST)
+    grow(root, SECOND)
+    q = started(stateful.live_minutes(tail_events(spark, root)), "minutes")
+    end = time.time() + 60
+    while time.time() < end and total < 7:
+        time.sleep(0.5)
+        if q.recentProgress:
+            rows = stateful.minutes_now(spark.read.schema(stateful.Minutes.SHAPE).parquet(f"{tmp_path}/minutes")).collect()
+            total = sum(r.n for r in rows)
+    assert total == 7 and len(rows) <= 2
+
+
 def test_stretches_of_numbers():
     rng = random.Random(2)
     for _ in range(200):
