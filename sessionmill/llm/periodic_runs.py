@@ -211,7 +211,9 @@ def periodic_runs(docs: DataFrame, min_exponent: int = MIN_EXPONENT, min_length:
         raise ValueError("min_exponent is 4 or more")
     read = docs.select(F.col(f"`{id_col}`").cast("string").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     found = shared_table(read.mapInArrow(_cut(with_text), "row long, doc_id string, n_words long, kept string, text string, octave long, base long, words binary, marks array<int>"))
-    tiles = found.where("octave is not null").select("row", "octave", "base", "words", "marks").repartition("row", "octave", "base")
+    # Tiles are few bytes and much work: as many tasks as the session has for a shuffle, not as few as would hold the bytes.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = found.where("octave is not null").select("row", "octave", "base", "words", "marks").repartition(tasks, "row", "octave", "base")
     parts = tiles.mapInArrow(_solve, "row long, period long, since long, until long")
     order = Window.partitionBy("row", "period").orderBy("since", "until")
     before = F.max("until").over(order.rowsBetween(Window.unboundedPreceding, -1))
