@@ -251,7 +251,8 @@ def good_documents(docs: DataFrame, trees: Trees, threshold: float = 0.3, text_c
             score = trees.probability(all_statistics(batch.column(at)))
             yield batch.filter(pa.array(score >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # as mapInArrow reads names as paths
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from sessionmill.llm import exact_dedup, quality_model, queries, simhash
 
 def test_names():
     names = entry.queries()
-    assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert [k for k, _ in pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mix", "pack"]
 
 
