@@ -1,8 +1,10 @@
 """License scan by sentence rules, with DataFrame expressions only.
 
 A text is cut into sentences, each is normalised and looked up among known licence sentences, and
-the sequence of identifiers found is matched against ordered licence rules. A text that has none of
-the anchor strings can hold no known sentence and is not cut at all.
+the sequence of identifiers found is matched against ordered licence rules. A sentence that is not
+known as it stands is looked up again by its slots: the licence names of a notice, whatever leads
+in to them; the name of the program in a grant; the terms of an SPDX expression. A text that has
+none of the anchor strings can hold no known sentence and is not cut at all.
 """
 
 from __future__ import annotations
@@ -107,6 +109,23 @@ SENTENCES = (
     ("spdx_boost", "SPDX-License-Identifier: BSL-1.0"),
     ("spdx_ccby", "SPDX-License-Identifier: CC-BY-4.0"),
     ("spdx_ccbysa", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    ("gpl2_notice", "Licensed under the GNU GPL v2."),
+    ("gpl2_notice", "Licensed under the GPLv2."),
+    ("gpl3_notice", "Licensed under the GNU GPL v3."),
+    ("gpl3_notice", "Licensed under the GPLv3."),
+    ("lgpl21_notice", "Licensed under the GNU LGPL v2.1."),
+    ("lgpl3_notice", "Licensed under the GNU LGPL v3."),
+    ("agpl3_notice", "Licensed under the GNU AGPL v3."),
+    ("isc_notice", "Licensed under the ISC License (ISC)."),
+    ("unlicense_notice", "Licensed under the Unlicense."),
+    ("ccby_notice", "Licensed under the Creative Commons Attribution 4.0 International License."),
+    ("ccbysa_notice", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("ccbync_notice", "Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("spdx_gpl2", "SPDX-License-Identifier: GPL-2.0"),
+    ("spdx_gpl3", "SPDX-License-Identifier: GPL-3.0"),
+    ("spdx_lgpl21", "SPDX-License-Identifier: LGPL-2.1"),
+    ("spdx_lgpl3", "SPDX-License-Identifier: LGPL-3.0"),
+    ("spdx_agpl3", "SPDX-License-Identifier: AGPL-3.0"),
 )
 
 #: Ordered rules: the licence holds when these identifiers occur in this order, others between them or not, the first not again.
@@ -149,6 +168,7 @@ RULES = (
     ("Unlicense", ("unlicense_notice",)),
     ("Unlicense", ("spdx_unlicense",)),
     ("LGPL-2.1", ("lgpl21_grant", "lgpl_warranty")),
+    ("LGPL-2.1", ("lgpl21_grant", "gpl_warranty")),
     ("LGPL-3.0", ("lgpl3_grant", "gpl_warranty")),
     ("AGPL-3.0", ("agpl3_grant", "gpl_warranty")),
     ("BSD-2-Clause", ("bsd2_notice",)),
@@ -176,7 +196,7 @@ RULES = (
 )
 
 #: Each known sentence has one of these, in lower case, within a single word.
-ANCHORS = ("licens", "warrant", "permission", "redistribut", "copyright", "reserved", "unencumbered")
+ANCHORS = ("licens", "licenc", "warrant", "permission", "redistribut", "copyright", "reserved", "unencumbered", "gpl", "cc by", "cc0")
 
 #: A sentence ends at a stop or mark before white space, or before ", see"; in the first reading also at a line end, in the second only at an empty line.
 SENTENCE_ENDS = r"(?<=[.!?])[\x20\x09-\x0D]+|,[\x20\x09-\x0D]+(?=[Ss]ee )"
@@ -184,6 +204,23 @@ LINE_ENDS = SENTENCE_ENDS + r"|\n"
 PARAGRAPH_ENDS = SENTENCE_ENDS + r"|\n[\x20\x09\x0B-\x0D]*\n"
 
 
+#: Slots, over sentences in normal form. What a notice says before the names of licences, what can follow them, and what stands between them.
+NOTICE = r"^(?:[a-z0-9 ]+ )?(?:licensed|released|distributed|redistributed|available|published|provided) under (?:the )?(?:terms of )?(?:either )?(?:of )?(?:the )?"
+NOTICE_END = r" see [a-z0-9 ]+$| or (?:at your option )?(?:any )?later(?: versions?)?(?: see [a-z0-9 ]+)?$| only$"
+BETWEEN_NAMES = r" (?:or|and) (?:the )?"
+#: Words with which a sentence does not say that the licence holds.
+DENIALS = r"\b(?:not|never|cannot|unless|longer|formerly|previously|neither|nor)\b"
+#: A name is told by its other words and its version: "the MIT License" as "mit", "Apache License, Version 2.0" as "apache 2".
+FILLERS = r"\b(?:licen[sc]e|version)\b|\bv(?=[0-9])"
+#: Grants and warranties of programs by any name.
+PROGRAM = r"^[a-z0-9 ]+ is (free software you can redistribute it and or modify it under the terms of the gnu |distributed in the hope that it will be useful but )"
+VERSION = r" (?:either )?version ([0-9]+(?: [0-9]+)?) of the license(?: or at your option any later version)?$"
+#: An SPDX expression: what comes before it, exceptions, and what stands between its terms ("or later" belongs to a term).
+SPDX = "spdx license identifier "
+EXCEPTIONS = r" with [a-z0-9]+(?: [a-z0-9]+)*? (?:exception|note)(?: [0-9]+)*"
+BETWEEN_TERMS = r" or (?!later)| and "
+
+
 def normal_sentence(sentence: str) -> str:
     """Lower-case ASCII letters and digits, anything else as one space."""
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
@@ -204,6 +241,29 @@ def sentence_map() -> dict[str, str]:
     return out
 
 
+def plain_name(name: str) -> str:
+    """The name of a licence without fillers and a last zero of its version."""
+    return re.sub(r" 0$", "", re.sub(r" +", " ", re.sub(FILLERS, "", name)).strip())
+
+
+def name_map() -> dict[str, str]:
+    """Licence name, in plain form, to the identifier of its notice: from all known sentences of the form "Licensed under ..."."""
+    out: dict[str, str] = {}
+    for sentence, name in sentence_map().items():
+        if named := re.fullmatch("licensed under (?:the )?(.+)", sentence):
+            out.setdefault(plain_name(named[1]), name)
+    return out
+
+
+def _program_form(sentence: str) -> str:
+    return re.sub(VERSION, r" either version \1 of the license or at your option any later version", re.sub(PROGRAM, r"this program is \1", sentence))
+
+
+def program_map() -> dict[str, str]:
+    """Grants and warranties of "this program" to identifiers."""
+    return {_program_form(s): name for s, name in reversed(sentence_map().items()) if re.match(PROGRAM, s)}
+
+
 def _in_order(names: list[str]) -> str:
     """A pattern over identifiers, each with a space on either side."""
     return ".*".join(f" {x} " for x in names)
@@ -237,14 +297,37 @@ def _holds(ids: Column, first: str, rest: str, longer: list[str]) -> Column:
     return F.exists(F.slice(F.split(ids, f" {first} "), 2, 1 << 30), one)
 
 
+def _map(entries: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+
+
+def _by_slots(s: Column) -> Column:
+    """Identifiers of a sentence, in normal form, by what fills its slots."""
+    names, programs, known = _map(name_map()), _map(program_map()), _map(sentence_map())
+
+    def plain(name: Column) -> Column:
+        return F.regexp_replace(F.btrim(F.regexp_replace(F.regexp_replace(name, FILLERS, ""), " +", " ")), " 0$", "")
+
+    listed = F.split(F.regexp_replace(F.regexp_replace(s, NOTICE, ""), NOTICE_END, ""), BETWEEN_NAMES)
+    program = F.regexp_replace(F.regexp_replace(s, PROGRAM, "this program is $1"), VERSION, " either version $1 of the license or at your option any later version")
+    terms = F.split(F.regexp_replace(F.substr(s, F.lit(len(SPDX) + 1)), EXCEPTIONS, ""), BETWEEN_TERMS)
+    return (
+        F.when(F.startswith(s, F.lit(SPDX)), F.transform(terms, lambda t: F.try_element_at(known, F.concat(F.lit(SPDX), t))))
+        .when(s.rlike(PROGRAM), F.array(F.try_element_at(programs, program)))
+        .when(F.contains(s, F.lit("under ")) & s.rlike(NOTICE) & ~s.rlike(DENIALS), F.transform(listed, lambda x: F.try_element_at(names, plain(x))))
+        .otherwise(F.array().cast("array<string>"))
+    )
+
+
 def _ids(body: Column, ends: str) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in sentence_map().items() for x in pair])
+    known = _map(sentence_map())
     normal = F.transform(F.split(body, ends), lambda s: F.btrim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(normal, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
+    found = F.transform(normal, lambda s: F.when(F.map_contains_key(known, s), F.array(F.try_element_at(known, s))).otherwise(_by_slots(s)))
+    return F.array_compact(F.flatten(found))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return doc_id, n_sentences (known ones), sentence_ids and licenses, one row per input row.
+    """Return doc_id, n_sentences (known ones; one that names several licences counts for each), sentence_ids and licenses, one row per input row.
 
     sentence_ids joins the identifiers in text order by spaces, as read line by line; a licence
     text that is wrapped over several lines is also read paragraph by paragraph, and either reading

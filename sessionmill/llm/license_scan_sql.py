@@ -94,7 +94,24 @@ WITH known(sentence, id) AS (VALUES
     ('spdx license identifier zlib', 'spdx_zlib'),
     ('spdx license identifier bsl 1 0', 'spdx_boost'),
     ('spdx license identifier cc by 4 0', 'spdx_ccby'),
-    ('spdx license identifier cc by sa 4 0', 'spdx_ccbysa')
+    ('spdx license identifier cc by sa 4 0', 'spdx_ccbysa'),
+    ('licensed under the gnu gpl v2', 'gpl2_notice'),
+    ('licensed under the gplv2', 'gpl2_notice'),
+    ('licensed under the gnu gpl v3', 'gpl3_notice'),
+    ('licensed under the gplv3', 'gpl3_notice'),
+    ('licensed under the gnu lgpl v2 1', 'lgpl21_notice'),
+    ('licensed under the gnu lgpl v3', 'lgpl3_notice'),
+    ('licensed under the gnu agpl v3', 'agpl3_notice'),
+    ('licensed under the isc license isc', 'isc_notice'),
+    ('licensed under the unlicense', 'unlicense_notice'),
+    ('licensed under the creative commons attribution 4 0 international license', 'ccby_notice'),
+    ('licensed under the creative commons attribution sharealike 4 0 international license', 'ccbysa_notice'),
+    ('licensed under the creative commons attribution noncommercial 4 0 international license', 'ccbync_notice'),
+    ('spdx license identifier gpl 2 0', 'spdx_gpl2'),
+    ('spdx license identifier gpl 3 0', 'spdx_gpl3'),
+    ('spdx license identifier lgpl 2 1', 'spdx_lgpl21'),
+    ('spdx license identifier lgpl 3 0', 'spdx_lgpl3'),
+    ('spdx license identifier agpl 3 0', 'spdx_agpl3')
 ), rules(licence, head, rest, longer) AS (VALUES
     ('Apache-2.0', 'apache_notice', '', ''),
     ('Apache-2.0', 'apache_notice_long', '', ''),
@@ -133,6 +150,7 @@ WITH known(sentence, id) AS (VALUES
     ('Unlicense', 'unlicense_notice', '', ''),
     ('Unlicense', 'spdx_unlicense', '', ''),
     ('LGPL-2.1', 'lgpl21_grant', ' lgpl_warranty ', ''),
+    ('LGPL-2.1', 'lgpl21_grant', ' gpl_warranty ', ''),
     ('LGPL-3.0', 'lgpl3_grant', ' gpl_warranty ', ''),
     ('AGPL-3.0', 'agpl3_grant', ' gpl_warranty ', ''),
     ('BSD-2-Clause', 'bsd2_notice', '', ''),
@@ -167,10 +185,47 @@ WITH known(sentence, id) AS (VALUES
   SELECT rid, kind, string_split(regexp_replace(body, '([.!?])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM readings
 ), sentences AS (
   SELECT rid, kind, generate_subscripts(parts, 1) AS pos, unnest(parts) AS s FROM parts
+), normal AS (
+  SELECT rid, kind, pos, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM sentences
+), unknown AS (
+  SELECT rid, kind, pos, s, regexp_matches(s, '^[a-z0-9 ]+ is (free software you can redistribute it and or modify it under the terms of the gnu |distributed in the hope that it will be useful but )') AS grants
+  FROM normal WHERE s LIKE '% %' AND s NOT IN (SELECT sentence FROM known)
+), slots AS (
+  SELECT rid, kind, pos, 'spdx' AS slot, string_split_regex(replace(regexp_replace(s[25:], ' with [a-z0-9]+( [a-z0-9]+)*? (exception|note)( [0-9]+)*', '', 'g'), ' or later', ' orlater'), ' or | and ') AS fillings
+  FROM unknown WHERE starts_with(s, 'spdx license identifier ')
+  UNION ALL
+  SELECT rid, kind, pos, 'program', [s] FROM unknown WHERE grants AND NOT starts_with(s, 'spdx license identifier ')
+  UNION ALL
+  SELECT rid, kind, pos, 'notice', string_split_regex(regexp_replace(
+    regexp_extract(s, '^([a-z0-9 ]+ )?(licensed|released|distributed|redistributed|available|published|provided) under (the )?(terms of )?(either )?(of )?(the )?(.*)$', 8),
+    ' see [a-z0-9 ]+$| or (at your option )?(any )?later( versions?)?( see [a-z0-9 ]+)?$| only$', ''), ' (or|and) (the )?')
+  FROM unknown
+  WHERE NOT grants AND NOT starts_with(s, 'spdx license identifier ') AND NOT regexp_matches(s, '\b(not|never|cannot|unless|longer|formerly|previously|neither|nor)\b')
+    AND regexp_matches(s, '^([a-z0-9 ]+ )?(licensed|released|distributed|redistributed|available|published|provided) under ')
+), fillings AS (
+  SELECT rid, kind, pos, slot, generate_subscripts(fillings, 1) AS nth, unnest(fillings) AS filling FROM slots
+), asked AS (
+  SELECT rid, kind, pos, nth, slot, CASE slot
+    WHEN 'spdx' THEN replace(filling, ' orlater', ' or later')
+    WHEN 'program' THEN regexp_replace(regexp_replace(filling, '^.* is (free|distributed) ', 'x is \1 '), '( either)? version ([0-9 ]+) of the license( or at your option any later version)?$', ' \2')
+    ELSE regexp_replace(trim(regexp_replace(regexp_replace(filling, '\b(license|licence|version)\b|\bv([0-9])', '\2', 'g'), ' +', ' ', 'g')), ' 0$', '') END AS asked
+  FROM fillings
+), answers AS (
+  SELECT 'spdx' AS slot, s AS asked, id FROM (SELECT sentence[25:] AS s, id FROM known WHERE starts_with(sentence, 'spdx license identifier '))
+  UNION ALL
+  SELECT 'program', s, min(id) FROM (
+    SELECT regexp_replace(regexp_replace(sentence, '^.* is (free|distributed) ', 'x is \1 '), '( either)? version ([0-9 ]+) of the license( or at your option any later version)?$', ' \2') AS s, id
+    FROM known WHERE regexp_matches(sentence, '^this (program|library) is (free software|distributed in)')) GROUP BY s
+  UNION ALL
+  SELECT 'notice', s, min(id) FROM (
+    SELECT regexp_replace(trim(regexp_replace(regexp_replace(regexp_extract(sentence, '^licensed under (the )?(.+)$', 2), '\b(license|version)\b|\bv([0-9])', '\2', 'g'), ' +', ' ', 'g')), ' 0$', '') AS s, id
+    FROM known WHERE starts_with(sentence, 'licensed under ')) GROUP BY s
+), named AS (
+  SELECT rid, kind, pos, 0 AS nth, id FROM normal JOIN known ON s = sentence
+  UNION ALL
+  SELECT rid, kind, pos, nth, id FROM asked JOIN answers USING (slot, asked)
 ), ids AS (
-  SELECT rid, kind, ' ' || string_agg(id, '  ' ORDER BY pos) || ' ' AS ids, count(*) AS n
-  FROM (SELECT rid, kind, pos, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM sentences) JOIN known ON s = sentence
-  GROUP BY rid, kind
+  SELECT rid, kind, ' ' || string_agg(id, '  ' ORDER BY pos, nth) || ' ' AS ids, count(*) AS n FROM named GROUP BY rid, kind
 ), found AS (
   SELECT DISTINCT rid, licence FROM ids, rules
   WHERE len(list_filter(string_split(ids, ' ' || head || ' ')[2:], lambda x: (rest = '' OR regexp_matches(x, rest)) AND NOT (longer <> '' AND regexp_matches(x, longer)))) > 0
