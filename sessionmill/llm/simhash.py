@@ -9,7 +9,7 @@ fingerprints than a tile are dealt into tiles (see tiles.py). Two ways to make k
   m - radius of m blocks of bits, so every choice of m - radius blocks makes a table in which they meet
   under the same key; m grows with the number of fingerprints.
 * similar_groups() links texts by the Jaccard similarity of their shingles. Two similar texts are sure
-  to share one of their first shingles (see shingles.py), which are the keys; fingerprints of 128 bits
+  to share one of their first shingles (see shingles.py), which are the keys; fingerprints of 256 bits
   within a wide radius make candidate groups; and within these the sets themselves decide.
 """
 
@@ -37,6 +37,9 @@ RADIUS = 3
 TILE = 4096
 #: Rows that a task compares at once, about: whole keys.
 ROWS = 1 << 16
+#: Words of 64 bits in a wide fingerprint, as columns, and the share of pairs just at the limit that may lie beyond its radius.
+WIDE_WORDS, WIDE_LOSS = 4, 1e-9
+WIDE = tuple(f"word{i}" for i in range(WIDE_WORDS))
 #: Sets of at most this many shingles are candidates whatever their fingerprints: a few shingles do not make steady ones.
 FEW_SHINGLES = 40
 #: Sets of one candidate group that a task compares as wholes.
@@ -193,26 +196,31 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, shingle
     return spread_join(by_doc, named, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprint(shingle_set: np.ndarray) -> tuple[int, int]:
-    """Two words of 64 bits, each bit set where it is set in over half of the shingles; (0, 0) for none."""
+def wide_fingerprint(shingle_set: np.ndarray) -> list[int]:
+    """WIDE_WORDS words of 64 bits, each bit set where it is set in over half of the shingles; all 0 for none."""
     n = len(shingle_set)
-    counts = np.zeros(128, np.int64)
-    for i in range(0, n, 1 << 15):
-        part = shingle_set[i : i + (1 << 15)]
-        both = np.stack([part, shingles.scramble(part ^ shingles._STEP)], axis=1)
-        counts += np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int32)
-    hi, lo = np.packbits(2 * counts > n).view(np.int64)
-    return int(hi), int(lo)
+    counts = np.zeros(64 * WIDE_WORDS, np.int64)
+    with np.errstate(over="ignore"):
+        salts = [np.uint64(k) * shingles._STEP for k in range(1, WIDE_WORDS)]
+    for i in range(0, n, 1 << 14):
+        part = shingle_set[i : i + (1 << 14)]
+        words = np.stack([part, *(shingles.scramble(part ^ salt) for salt in salts)], axis=1)
+        counts += np.unpackbits(words.view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * counts > n).view(np.int64).tolist()
 
 
-def wide_radius(similarity: float, bits: int = 128) -> int:
-    """Differing bits that similar sets exceed in about one of 10,000 pairs at the limit, and far less often above it.
+def wide_radius(similarity: float, bits: int = 64 * WIDE_WORDS, loss: float = WIDE_LOSS) -> int:
+    """The least radius that at most `loss` of all pairs at the limit exceed, and far fewer above it.
 
     Sets with a Jaccard similarity of s have a cosine of at least 2s / (1 + s), so that each bit differs with a chance
-    of at most acos(2s / (1 + s)) / pi.
+    of at most acos(2s / (1 + s)) / pi; bits come from separate hashes, so the number that differ is binomial.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
+    beyond, radius = 1.0, -1
+    while beyond > loss and radius < bits:
+        radius += 1
+        beyond = math.fsum(comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(radius + 1, bits + 1))
+    return radius
 
 
 def _sketched(docs: DataFrame, common: np.ndarray, similarity: float, shingle_words: int) -> DataFrame:
@@ -221,20 +229,19 @@ def _sketched(docs: DataFrame, common: np.ndarray, similarity: float, shingle_wo
 
     def run(batches):
         for batch in batches:
-            nodes, sizes, words, heads = [], [], [], []
+            nodes, sizes, prints, heads = [], [], [], []
             for s in shingles.shingle_sets(batch.column(1), shingle_words):
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes()))
                 sizes.append(len(s))
-                words.append(wide_fingerprint(s))
+                prints.append(wide_fingerprint(s))
                 heads.append(shingles.head(s, common, wanted))
             flat = np.concatenate(heads).view(np.int64) if heads else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, heads)]), pa.int32()), pa.array(flat))
-            hi, lo = np.array(words, np.int64).reshape(-1, 2).T
-            nodes = np.array(nodes, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x) for x in (nodes, hi, lo, np.array(sizes, np.int64))), lists], ["doc_id", "mark", "node", "hi", "lo", "size", "head"])
+            own = [np.array(nodes, np.uint64).view(np.int64), *np.array(prints, np.int64).reshape(-1, WIDE_WORDS).T, np.array(sizes, np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, own), lists], ["doc_id", "mark", "node", *WIDE, "size", "head"])
 
     read = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    return read.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, mark long, node long, hi long, lo long, size long, head array<long>")
+    return read.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, mark long, node long, {', '.join(f'{w} long' for w in WIDE)}, size long, head array<long>")
 
 
 def _keys(sketches: DataFrame, common: np.ndarray) -> DataFrame:
@@ -333,8 +340,8 @@ def _similar(docs: DataFrame, similarity: float, shingle_words: int, tile: int,
     wanted, radius = shingles.as_fraction(similarity), wide_radius(similarity)
     common = shingles.common_shingles(docs, shingle_words)
     sketches = shared_table(_sketched(docs, common, similarity, shingle_words))
-    facts = sketches.groupBy("node").agg(F.min(F.struct("hi", "lo", "size")).alias("f")).select("node", "f.hi", "f.lo", "f.size")
-    rows = checkpointed(_keys(sketches, common).join(facts, "node").select("key", "node", "hi", "lo", "size"))
+    facts = sketches.groupBy("node").agg(F.min(F.struct(*WIDE, "size")).alias("f")).select("node", "f.*")
+    rows = checkpointed(_keys(sketches, common).join(facts, "node").select("key", "node", *WIDE, "size"))
     # Sizes that differ by more than the similarity allows are at least two ranks apart.
     rank = F.floor(F.log(F.col("size")) / (1.0001 * math.log(1 / similarity) + 1e-9))
     candidates = components(group_links(rows, _compare(radius, wanted), tile, rank, 1))

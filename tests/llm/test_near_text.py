@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -92,3 +93,43 @@ def test_one_row_of_each_group_stays_though_ids_repeat(spark):
     assert sorted(r.text for r in simhash.near_dedup(same).collect()) == [a, b]
     none = spark.createDataFrame([(None, a, i, i) for i in range(60)], shape)
     assert simhash.near_dedup(none).count() == 1
+
+
+def bit_differs(both, a, b):
+    """The chance that a bit of two fingerprints differs whose sets share `both` shingles and hold a and b more."""
+    chance = lambda n: [math.comb(n, k) / 2**n for k in range(n + 1)]
+
+    def above(n, limit):  # more than `limit` of n
+        return sum(x for k, x in enumerate(chance(n)) if k > limit)
+
+    out = 0.0
+    for x, p in enumerate(chance(both)):
+        s, t = above(a, (both + a) / 2 - x), above(b, (both + b) / 2 - x)
+        out += p * (s * (1 - t) + t * (1 - s))
+    return out
+
+
+@pytest.mark.parametrize("n", [41, 50, 60, 101, 300])
+def test_pairs_at_the_limit_are_within_the_radius(n):
+    """The exact chance for sets of n shingles at a similarity of just 0.8, ties of bits included."""
+    bits, radius = 64 * simhash.WIDE_WORDS, simhash.wide_radius(0.8)
+    for both in {-(-4 * n // 5), -(-9 * n // 10)}:
+        p = bit_differs(both, 5 * both // 4 - n, n - both)
+        beyond = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(radius + 1, bits + 1))
+        assert beyond < 3 * simhash.WIDE_LOSS
+    strangers = sum(math.comb(bits, k) for k in range(radius + 1)) / 2**bits
+    assert strangers < 1e-9
+
+
+def test_no_pair_is_lost_just_at_the_limit(spark):
+    """2,000 pairs of 41 to 60 shingles of their own words, as far apart as 0.8 allows."""
+    rng, rows = random.Random(11), []
+    for i in range(2000):
+        words = [f"p{i}x{j}" for j in range(rng.randrange(45, 65))]
+        n = len(words) - 4
+        gone = n - -(-8 * n // 9)  # shingles of an end that are swapped for others: n - gone of n + gone are shared
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: len(words) - gone] + [f"q{i}x{j}" for j in range(gone)]))]
+    apart = [len(a & b) / len(a | b) for a, b in ((shingles(rows[k][1]), shingles(rows[k + 1][1])) for k in range(0, len(rows), 2))]
+    assert min(apart) >= 0.8 and sum(apart) / len(apart) < 0.82
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got) and len(got) == len(rows)
