@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.exports.markdown import headings, pieces
 from sessionmill.exports.records import FORMATS, item_texts, raw_lines, record_ends
-from sessionmill.operators.sessions import SESSION_RING, recent_per_session
+from sessionmill.operators.sessions import SESSION_RING, recent_per_session, with_costs_in_order
 
 HEAD, ITEM, TAIL = 0, 1, 2
 BETWEEN_TRANSCRIPTS = "\n\n---\n\n"
@@ -53,13 +53,13 @@ def with_last_seen(rows: DataFrame, facts: DataFrame) -> DataFrame:
 
 def fragments(events: DataFrame, facts: DataFrame, fmt: str, max_events: int | None = SESSION_RING) -> DataFrame:
     """kind and text of an export in order: most recent session first. Of each session the last `max_events` events are shown, None for all."""
-    events = recent_per_session(events, max_events)
+    every_event, events = events, recent_per_session(events, max_events)
     no_seq = F.lit(None).cast(events.schema["seq"].dataType)
     if fmt == "jsonl":
         items, ends = raw_lines(events).select("session_id", "seq", F.concat("line", F.lit("\n")).alias("text")), None
     elif fmt == "markdown":
         items = pieces(events).select("session_id", "seq", F.col("piece").alias("text"))
-        ends = headings(facts).select("session_id", "last_seen", F.lit(HEAD).alias("kind"), no_seq.alias("seq"), F.col("head").alias("text"))
+        ends = headings(with_costs_in_order(facts, every_event)).select("session_id", "last_seen", F.lit(HEAD).alias("kind"), no_seq.alias("seq"), F.col("head").alias("text"))
     else:
         name = "messages" if fmt == "huggingface" else fmt
         items = item_texts(events, FORMATS[name][0])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionmill.functions.jsonx import at, blocks, kind, str_at
+from sessionmill.functions.text import format_cost
 from sessionmill.operators.search import content_of
 
 
@@ -72,7 +73,7 @@ def headings(facts: DataFrame) -> DataFrame:
         line("Model", F.col("model")),
         line("CWD", F.col("cwd"), "`"),
         line("Branch", F.col("git_branch"), "`"),
-        F.format_string("- **Events:** %d · **Cost (est.):** $%.4f · **Tokens out:** %d\n\n", "event_count", "cost_usd", "output_tokens"),
+        F.format_string("- **Events:** %d · **Cost (est.):** %s · **Tokens out:** %d\n\n", F.col("event_count"), format_cost(F.col("cost_usd")), F.col("output_tokens")),
     )
     return facts.select("session_id", "last_seen", head.alias("head"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sessionmill.exports.fragments import BETWEEN_TRANSCRIPTS, HEAD, joints, write_export, write_one_file
 from sessionmill.exports.markdown import transcripts
 from sessionmill.exports.records import FORMATS, raw_lines, records
-from sessionmill.operators.sessions import SESSION_RING, recent_per_session
+from sessionmill.operators.sessions import SESSION_RING, recent_per_session, with_costs_in_order
 
 #: Formats with the suffix and media type of their files.
 FILES = {
@@ -43,8 +43,10 @@ def exported(events: DataFrame, facts: DataFrame, fmt: str, max_events: int | No
     """
     if fmt not in FILES:
         raise ValueError(f"unknown format {fmt!r}")
-    events = recent_per_session(events.join(facts.select("session_id"), "session_id", "left_semi"), max_events)
+    own = events.join(facts.select("session_id"), "session_id", "left_semi")
+    events = recent_per_session(own, max_events)
     if fmt == "markdown":
+        facts = with_costs_in_order(facts, own)
         return transcripts(events, facts).orderBy(F.desc("last_seen"), "session_id").select("session_id", F.col("text").alias("line"))
     if fmt == "jsonl":
         lines = raw_lines(events).join(facts.select("session_id", "last_seen"), "session_id")

@@ -64,8 +64,13 @@ def is_live(last_seen: Column, now: Column, seconds: int = 10) -> Column:
     return F.unix_millis(now) - F.unix_millis(last_seen) < seconds * 1000
 
 
+def fixed(x: Column, places: int) -> Column:
+    """With that many decimal places. The exact binary value is rounded, ties to even, as C, Rust and SQL's printf do; format_string() rounds its shortest decimal form, halves up."""
+    return F.call_function("format_number", x.cast("double"), F.lit(f"0.{'0' * places}"))
+
+
 def format_cost(cost: Column) -> Column:
-    return F.format_string("$%.4f", cost)
+    return F.concat(F.lit("$"), fixed(cost, 4))
 
 
 def format_count(n: Column) -> Column:

@@ -92,6 +92,24 @@ def recent_per_session(events: DataFrame, n: int | None = SESSION_RING, block_li
     return rows.select(*events.columns)
 
 
+def with_costs_in_order(facts: DataFrame, events: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """Session facts whose cost_usd is added up in order of arrival, as a reader of the log adds it; shown to four places, another order can show another last digit.
+
+    A session of more than `block_lines` events is added up by blocks of lines, and the blocks' sums in order: it never meets in one task.
+    """
+    place = [F.col("seq.source_path").alias("path"), block_of(F.col("seq.line_index"), block_lines).alias("block")]
+    blocks = events.groupBy("session_id", *place).agg(F.array_sort(F.collect_list(F.struct("seq.line_index", "cost_usd"))).alias("lines"))
+    sizes = blocks.groupBy("session_id").agg(F.sum(F.size("lines")).alias("n"))
+    at = F.struct("path", "block")
+    stretches = blocks.join(sizes, "session_id").groupBy("session_id", F.when(F.col("n") > block_lines, at).alias("stretch"))
+    added = lambda items: F.aggregate(items, F.lit(0.0), lambda total, x: total + x["cost_usd"])
+    lines = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), "lines"))), lambda b: b["lines"]))
+    sums = stretches.agg(added(lines).alias("cost_usd"))
+    costs = sums.groupBy("session_id").agg(added(F.array_sort(F.collect_list(F.struct("stretch", "cost_usd")))).alias("__cost"))
+    joined = facts.join(costs, "session_id", "left").withColumn("cost_usd", F.coalesce("__cost", "cost_usd"))
+    return joined.select(*facts.columns)
+
+
 def last_events(events: DataFrame, n: int = GLOBAL_RING) -> DataFrame:
     """The last n events to arrive, in ascending order."""
     newest = events.orderBy(F.desc("observed_at"), F.desc("seq")).limit(n)

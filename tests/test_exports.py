@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pytest
 from helpers import events_of
+from pyspark.sql import functions as F
 
 from sessionmill.__main__ import main
 from sessionmill.exports.write import BETWEEN_TRANSCRIPTS, export_filename, exported, preview_text, stream_text, write_dataset
@@ -136,3 +137,16 @@ def test_command_line(spark, tmp_path, capsys):
 def test_file_names():
     assert export_filename("markdown", SID) == "hedge-7-é.md" and export_filename("sharegpt", "_x-Y.z") == "_x-Y-z.jsonl"
     assert export_filename("openai", now=datetime(2025, 11, 30, 23, 59, 1)) == "sessions-20251130T235901.jsonl"
+
+
+def test_markdown_cost_is_added_in_order_and_rounded_as_sql_does(spark):
+    """Of these two orders of the same costs, one ends above the tie and one below."""
+    costs = {"up": [0.01, 0.01205, 0.0], "exact": [0.03125]}
+    lines = [{"type": "user", "sessionId": s, "costUSD": c, "message": {"content": "x"}} for s, own in costs.items() for c in own]
+    df = events_of(spark, *lines).repartition(4, F.rand(1))
+    shown = {r.session_id: r.line for r in exported(df, S.sessions(df), "markdown").collect()}
+    for s, own in costs.items():
+        total = 0.0
+        for c in own:
+            total += c
+        assert f"**Cost (est.):** ${total:.4f} " in shown[s]

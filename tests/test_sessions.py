@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from helpers import events_of
 from pyspark.sql import functions as F
@@ -207,3 +209,21 @@ def test_drawing_heights_and_counts(spark):
     assert sorted((r.s, r.height) for r in A.scaled(rows, partition="s").collect()) == [("a", 0.5), ("a", 1.0), ("b", 0.0)]
     assert sorted(r.height for r in A.scaled(rows).collect()) == [0.0, 0.5, 1.0]
     assert spark.range(1).select(format_count(F.lit(1234567))).first()[0] == "1,234,567"
+
+
+@pytest.mark.parametrize("block_lines", [1 << 16, 8])
+def test_costs_are_added_in_order_of_arrival(spark, block_lines):
+    rng = random.Random(3)
+    costs = [rng.choice([1e8, 0.1, 0.3, 0.00005, 1e-9]) for _ in range(40)]
+    df = events_of(spark, *({"type": "user", "sessionId": f"s{i % 2}", "costUSD": c} for i, c in enumerate(costs))).repartition(4, F.rand(5))
+    got = {r.session_id: r.cost_usd for r in S.with_costs_in_order(S.session_facts(df), df, block_lines).collect()}
+    for s in range(2):
+        parts = {}
+        for i in range(s, len(costs), 2):
+            part = i // block_lines if len(costs) // 2 > block_lines else 0
+            parts[part] = parts.get(part, 0.0) + costs[i]
+        want = 0.0
+        for x in parts.values():
+            want += x
+        assert got[f"s{s}"] == want
+    assert S.with_costs_in_order(S.session_facts(df), df).columns == S.session_facts(df).columns
