@@ -480,7 +480,8 @@ def formatted_counts(spark, sf_dir):
 @query("display_formats", EV + f"""SELECT session_id, printf('$%.4f', cost_usd) AS cost, CASE WHEN cwd IS NULL THEN '(unknown project)' ELSE string_split(cwd, '/')[-1] END AS project, session_id AS file, session_id AS short,
   CASE WHEN s < 5 THEN 'now' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' WHEN s < 86400 THEN (s // 3600) || 'h' ELSE (s // 86400) || 'd' END AS ago, ago < 10000 AS live FROM (SELECT *, epoch_ms(TIMESTAMP '{NOW}') - last_ms AS ago, CAST(floor((epoch_ms(TIMESTAMP '{NOW}') - last_ms) / 1000.0) AS BIGINT) AS s FROM facts)""")
 def display_formats(spark, sf_dir):
-    facts, now = S.session_facts(events_table(spark, sf_dir)), F.lit(NOW).cast("timestamp")
+    events, now = events_table(spark, sf_dir), F.lit(NOW).cast("timestamp")
+    facts = S.with_costs_in_order(S.session_facts(events), events)
     seen, sid = F.col("last_seen"), F.col("session_id")
     return facts.select("session_id", format_cost(F.col("cost_usd")).alias("cost"), project_name(F.col("cwd")).alias("project"), short_filename(sid).alias("file"), short_id(sid).alias("short"), how_long_ago(seen, now).alias("ago"), is_live(seen, now).alias("live"))
 

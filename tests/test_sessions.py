@@ -4,7 +4,7 @@ import pytest
 from helpers import events_of
 from pyspark.sql import functions as F
 
-from sessionmill.functions.text import format_count
+from sessionmill.functions.text import format_cost, format_count
 from sessionmill.operators import analytics as A
 from sessionmill.operators import search as Q
 from sessionmill.operators import sessions as S
@@ -211,6 +211,12 @@ def test_drawing_heights_and_counts(spark):
     assert spark.range(1).select(format_count(F.lit(1234567))).first()[0] == "1,234,567"
 
 
+def test_shown_numbers_round_as_sql_does(spark):
+    costs = [0.03125, 0.09375, 2.00005, 0.00015, 1.00025, 1234567.00005, 0.0]
+    got = spark.createDataFrame([(c,) for c in costs], "c double").select(format_cost(F.col("c"))).collect()
+    assert [r[0] for r in got] == [f"${c:.4f}" for c in costs]
+
+
 @pytest.mark.parametrize("block_lines", [1 << 16, 8])
 def test_costs_are_added_in_order_of_arrival(spark, block_lines):
     rng = random.Random(3)
