@@ -81,6 +81,6 @@ def format_latency(ms: Column) -> Column:
     return (
         F.when(ms.isNull(), F.lit(""))
         .when(ms < 1000, F.format_string("%dms", ms.cast("long")))
-        .when(ms < 60000, F.format_string("%.1fs", ms / 1000))
+        .when(ms < 60000, F.concat(fixed(ms / 1000, 1), F.lit("s")))
         .otherwise(F.format_string("%dm %ds", F.floor(ms / 60000), F.round((ms % 60000) / 1000).cast("long")))
     )

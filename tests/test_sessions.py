@@ -4,7 +4,7 @@ import pytest
 from helpers import events_of
 from pyspark.sql import functions as F
 
-from sessionmill.functions.text import format_cost, format_count
+from sessionmill.functions.text import format_cost, format_count, format_latency
 from sessionmill.operators import analytics as A
 from sessionmill.operators import search as Q
 from sessionmill.operators import sessions as S
@@ -217,6 +217,12 @@ def test_shown_numbers_round_as_sql_does(spark):
     assert [r[0] for r in got] == [f"${c:.4f}" for c in costs]
 
 
+def test_badges_round_as_sql_does(spark):
+    times = [1000, 1050, 1150, 1250, 1350, 12_250, 12_750, 59_949, 59_950, 59_999]
+    got = spark.createDataFrame([(t,) for t in times], "t long").select(format_latency(F.col("t"))).collect()
+    assert [r[0] for r in got] == [f"{t / 1000:.1f}s" for t in times]
+
+
 @pytest.mark.parametrize("block_lines", [1 << 16, 8])
 def test_costs_are_added_in_order_of_arrival(spark, block_lines):
     rng = random.Random(3)
