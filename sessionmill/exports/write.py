@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sessionmill.exports.fragments import BETWEEN_TRANSCRIPTS, HEAD, joints, write_export, write_one_file
 from sessionmill.exports.markdown import transcripts
 from sessionmill.exports.records import FORMATS, raw_lines, records
+from sessionmill.operators.analytics import exact_sum
 from sessionmill.operators.sessions import SESSION_RING, recent_per_session, with_costs_in_order
 
 #: Formats with the suffix and media type of their files.
@@ -107,7 +108,7 @@ def _write_small(spark: SparkSession, path: str, pieces: Iterable[str]) -> None:
 
 def dataset_numbers(facts: DataFrame) -> DataFrame:
     """One row of what a dataset holds."""
-    return facts.agg(F.count(F.lit(1)).alias("num_examples"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("event_count", "input_tokens", "output_tokens", "cost_usd")))
+    return facts.agg(F.count(F.lit(1)).alias("num_examples"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("event_count", "input_tokens", "output_tokens")), F.coalesce(exact_sum("cost_usd"), F.lit(0.0)).alias("cost_usd"))
 
 
 def write_dataset(events: DataFrame, facts: DataFrame, path: str, max_events: int | None = SESSION_RING, one_file: bool = False) -> None:

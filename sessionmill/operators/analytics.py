@@ -18,11 +18,17 @@ def _total(name: str) -> Column:
     return F.coalesce(F.sum(name), F.lit(0)).cast("long").alias(name)
 
 
+def exact_sum(name: str) -> Column:
+    """The sum of a double column, each number to 15 decimal places, rounded once: the order of the rows has no part in it. Numbers too large for that are added as doubles."""
+    exact = F.col(name).try_cast("decimal(38,15)")
+    return F.coalesce(F.when(F.count(exact) == F.count(name), F.try_sum(exact).cast("double")), F.sum(name))
+
+
 def global_totals(facts: DataFrame, session_id: str | None = None) -> DataFrame:
     """One row of sums over session facts, or over one session's."""
     own = facts if session_id is None else facts.where(F.col("session_id") == session_id)
     names = ("event_count", "user_count", "assistant_count", "tool_use_count", "tool_result_count", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
-    return own.agg(F.count(F.lit(1)).alias("session_count"), *(_total(n) for n in names), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"))
+    return own.agg(F.count(F.lit(1)).alias("session_count"), *(_total(n) for n in names), F.coalesce(exact_sum("cost_usd"), F.lit(0.0)).alias("cost_usd"))
 
 
 def cache_hit(totals: DataFrame) -> DataFrame:

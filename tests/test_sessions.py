@@ -4,6 +4,7 @@ import pytest
 from helpers import events_of
 from pyspark.sql import functions as F
 
+from sessionmill.exports.write import dataset_numbers
 from sessionmill.functions.text import format_cost, format_count, format_latency
 from sessionmill.operators import analytics as A
 from sessionmill.operators import search as Q
@@ -239,3 +240,12 @@ def test_costs_are_added_in_order_of_arrival(spark, block_lines):
             want += x
         assert got[f"s{s}"] == want
     assert S.with_costs_in_order(S.session_facts(df), df).columns == S.session_facts(df).columns
+
+
+def test_totals_do_not_depend_on_the_order_of_sessions(spark):
+    facts = S.session_facts(events_of(spark, *({"type": "user", "sessionId": f"s{i}", "costUSD": 0.1} for i in range(10)))).coalesce(1)
+    assert A.global_totals(facts).first().cost_usd == dataset_numbers(facts).first().cost_usd == 1.0
+    huge = S.session_facts(events_of(spark, {"sessionId": "a", "costUSD": 1e300}, {"sessionId": "b", "costUSD": 0.5}))
+    assert A.global_totals(huge).first().cost_usd == 1e300
+    none = huge.where("false")
+    assert A.global_totals(none).first().cost_usd == dataset_numbers(none).first().cost_usd == 0.0
