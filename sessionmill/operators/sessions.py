@@ -77,8 +77,9 @@ def block_of(line_index: Column, block_lines: int = BLOCK_LINES) -> Column:
 def recent_per_session(events: DataFrame, n: int | None = SESSION_RING, block_lines: int = BLOCK_LINES) -> DataFrame:
     """The last n events of each session; None keeps all.
 
-    Counts of blocks of lines tell how many events come after each block, so blocks that are too old fall away as a whole, and each of the
-    others keeps its own last ones: no session is sorted in one task.
+    Each block of lines keeps its own last n, before the shuffle where n is small, and counts of the blocks tell how many events come after
+    each, so blocks that are too old fall away as a whole: no session is sorted in one task. There can be nearly as many blocks as events
+    where sessions are short, which Spark does not foresee, so the two meet by a shuffle and never by a broadcast through the driver.
     """
     if n is None:
         return events
@@ -88,7 +89,8 @@ def recent_per_session(events: DataFrame, n: int | None = SESSION_RING, block_li
     counts = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("__n"))
     kept = counts.select(*block, F.coalesce(F.sum("__n").over(later), F.lit(0)).alias("__after")).where(F.col("__after") < n)
     newest = Window.partitionBy(*block).orderBy(F.desc("seq"))
-    rows = rows.join(kept, block).withColumn("__nth", F.row_number().over(newest)).where(F.col("__nth") + F.col("__after") <= n)
+    rows = rows.withColumn("__nth", F.row_number().over(newest)).where(F.col("__nth") <= n)
+    rows = rows.join(kept.hint("merge"), block).where(F.col("__nth") + F.col("__after") <= n)
     return rows.select(*events.columns)
 
 
@@ -101,12 +103,12 @@ def with_costs_in_order(facts: DataFrame, events: DataFrame, block_lines: int =
     blocks = events.groupBy("session_id", *place).agg(F.array_sort(F.collect_list(F.struct("seq.line_index", "cost_usd"))).alias("lines"))
     sizes = blocks.groupBy("session_id").agg(F.sum(F.size("lines")).alias("n"))
     at = F.struct("path", "block")
-    stretches = blocks.join(sizes, "session_id").groupBy("session_id", F.when(F.col("n") > block_lines, at).alias("stretch"))
+    stretches = blocks.join(sizes.hint("merge"), "session_id").groupBy("session_id", F.when(F.col("n") > block_lines, at).alias("stretch"))
     added = lambda items: F.aggregate(items, F.lit(0.0), lambda total, x: total + x["cost_usd"])
     lines = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), "lines"))), lambda b: b["lines"]))
     sums = stretches.agg(added(lines).alias("cost_usd"))
     costs = sums.groupBy("session_id").agg(added(F.array_sort(F.collect_list(F.struct("stretch", "cost_usd")))).alias("__cost"))
-    joined = facts.join(costs, "session_id", "left").withColumn("cost_usd", F.coalesce("__cost", "cost_usd"))
+    joined = facts.join(costs.hint("merge"), "session_id", "left").withColumn("cost_usd", F.coalesce("__cost", "cost_usd"))
     return joined.select(*facts.columns)
 
 

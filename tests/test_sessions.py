@@ -249,3 +249,12 @@ def test_totals_do_not_depend_on_the_order_of_sessions(spark):
     assert A.global_totals(huge).first().cost_usd == 1e300
     none = huge.where("false")
     assert A.global_totals(none).first().cost_usd == dataset_numbers(none).first().cost_usd == 0.0
+
+
+@pytest.mark.parametrize("n", [20, 3000])
+def test_block_counts_are_not_broadcast(spark, n):
+    """Sessions of one event in blocks of one line: as many blocks as events, and nothing of that size goes through the driver."""
+    df = events_of(spark, *(entry("user", f"s{i}") for i in range(40)))
+    for rows in (S.recent_per_session(df, n, 1), S.with_costs_in_order(S.session_facts(df), df, 1)):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == 40
