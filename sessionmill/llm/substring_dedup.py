@@ -113,15 +113,17 @@ def repeated_runs(docs: DataFrame, window: int, anchor_words: int, hot_runs: int
         asks = np.zeros(len(key), np.int64)
         asks[first] = np.bincount(inverse, times, minlength=len(names))
         goes = np.where(asks > 0, anchor, scramble(key.view(np.uint64) + at.astype(np.uint64)).view(np.int64))
+        other = np.where(asks > 0, 0, anchor)  # a row that asks goes to its anchor, which is shuffled once
         for i in range(0, len(key), 1 << 17):
             s = slice(i, i + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (goes, key, at << 8 | n, anchor, asks)], ["goes", "key", "place", "anchor", "asks"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (goes, key, at << 8 | n, other, asks)], ["goes", "key", "place", "anchor", "asks"])
 
     def answer(batches):
         for table in whole_groups(batches, 1 << 17):
-            yield from told(*(table.column(i).to_numpy() for i in range(1, 5)))
+            yield from told(*(table.column(i).to_numpy() for i in range(5)))
 
-    def told(key, place, anchor, asks):
+    def told(goes, key, place, other, asks):
+        anchor = np.where(asks > 0, goes, other)
         asking = np.flatnonzero(asks)
         names, inverse = np.unique(anchor[asking], return_inverse=True)
         total = np.bincount(inverse, asks[asking], minlength=len(names)).astype(np.int64)
