@@ -77,9 +77,11 @@ def block_of(line_index: Column, block_lines: int = BLOCK_LINES) -> Column:
 def recent_per_session(events: DataFrame, n: int | None = SESSION_RING, block_lines: int = BLOCK_LINES) -> DataFrame:
     """The last n events of each session; None keeps all.
 
-    Each block of lines keeps its own last n, before the shuffle where n is small, and counts of the blocks tell how many events come after
-    each, so blocks that are too old fall away as a whole: no session is sorted in one task. There can be nearly as many blocks as events
-    where sessions are short, which Spark does not foresee, so the two meet by a shuffle and never by a broadcast through the driver.
+    Each block of lines numbers its own from the last, and counts of the blocks tell how many events come after each, so blocks that are too
+    old fall away as a whole: no session is sorted in one task. There can be nearly as many blocks as events where sessions are short, which
+    Spark does not foresee, so the two meet by a shuffle and never by a broadcast through the driver. A limit on the number alone would have
+    Spark sort all that a task reads before the shuffle, which takes memory by the size of the task's part of the table; the number is held
+    against n only together with the count. Within a block the line number is the order, so the sort carries no `seq` that nobody asks for.
     """
     if n is None:
         return events
@@ -88,8 +90,8 @@ def recent_per_session(events: DataFrame, n: int | None = SESSION_RING, block_li
     later = Window.partitionBy("session_id").orderBy(F.desc("__path"), F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("__n"))
     kept = counts.select(*block, F.coalesce(F.sum("__n").over(later), F.lit(0)).alias("__after")).where(F.col("__after") < n)
-    newest = Window.partitionBy(*block).orderBy(F.desc("seq"))
-    rows = rows.withColumn("__nth", F.row_number().over(newest)).where(F.col("__nth") <= n)
+    newest = Window.partitionBy(*block).orderBy(F.desc("line_index"))
+    rows = rows.withColumn("__nth", F.row_number().over(newest))
     rows = rows.join(kept.hint("merge"), block).where(F.col("__nth") + F.col("__after") <= n)
     return rows.select(*events.columns)
 

@@ -258,3 +258,17 @@ def test_block_counts_are_not_broadcast(spark, n):
     for rows in (S.recent_per_session(df, n, 1), S.with_costs_in_order(S.session_facts(df), df, 1)):
         assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
         assert rows.count() == 40
+
+
+@pytest.mark.parametrize("n", [20, 3000])
+def test_rings_sort_nothing_before_the_shuffle(spark, n):
+    """A sort of all that a task reads grows with its part of the table; after the shuffle only what the order needs is sorted."""
+    df = events_of(spark, *(entry("user", f"s{i % 4}") for i in range(120)))
+    rows = S.recent_per_session(df, n, 16).select("session_id", "line_index")
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[1]
+    events_side = [line for line in plan.splitlines() if line.lstrip().startswith(":")]
+    (shuffle,) = [i for i, line in enumerate(events_side) if "Exchange" in line]
+    (sort,) = [i for i, line in enumerate(events_side) if "Sort [" in line]
+    assert sort < shuffle and "seq" not in events_side[sort]
+    want = {(f"s{s}", i) for s in range(4) for i in list(range(s, 120, 4))[-n:]}
+    assert {tuple(r) for r in rows.collect()} == want and rows.count() == len(want)
